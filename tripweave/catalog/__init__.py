@@ -1,4 +1,4 @@
 """All registered queries, by area."""
 
-from tripweave.catalog import cleaning  # noqa: F401
+from tripweave.catalog import cleaning, geometry  # noqa: F401
 from tripweave.catalog.base import ORACLES, QUERIES  # noqa: F401

@@ -123,11 +123,11 @@ def sql_encode(i: str, j: str, level: int = 8) -> str:
 
 
 def sql_lat(i: str, level: int = 8) -> str:
-    return f"(-90.0 + ({i} + 0.5) * 180.0 / {2 ** gh.axis_bits(level)[0]})"
+    return f"(-90e0 + ({i} + 0.5e0) * 180e0 / {2 ** gh.axis_bits(level)[0]}e0)"
 
 
 def sql_lon(j: str, level: int = 8) -> str:
-    return f"(-180.0 + ({j} + 0.5) * 360.0 / {2 ** gh.axis_bits(level)[1]})"
+    return f"(-180e0 + ({j} + 0.5e0) * 360e0 / {2 ** gh.axis_bits(level)[1]}e0)"
 
 
 def sql_haversine(a: str, b: str, c: str, d: str) -> str:

@@ -6,9 +6,11 @@ from the antimeridian. Everything is a built-in column expression, so it stays i
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripweave.functions.once import compute_once
+
 # The geohash alphabet and the pattern of a well-formed level-8 cell.
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 CELL8_PATTERN = "^[0-9b-hjkmnp-z]{8}$"
@@ -69,7 +71,8 @@ def encode(i: Column, j: Column, level: int = 8) -> Column:
     return F.translate(digits, _WRITE_DIGITS, ALPHABET)
 
 
-def _interleaved(cell: Column) -> Column:
+def interleaved(cell: Column) -> Column:
+    """The bits of a geohash as one integer."""
     return F.conv(F.translate(cell, ALPHABET, _READ_DIGITS), 32, 10).cast("long")
 
 
@@ -80,12 +83,36 @@ def is_cell8(cell: Column) -> Column:
 
 def lat_index(cell: Column, level: int = 8) -> Column:
     """Row index i of a well-formed geohash."""
-    return _gather_bits(F.shiftright(_interleaved(cell), 0 if _latitude_is_low(level) else 1))
+    return lat_of_bits(interleaved(cell), level)
 
 
 def lon_index(cell: Column, level: int = 8) -> Column:
     """Column index j of a well-formed geohash."""
-    return _gather_bits(F.shiftright(_interleaved(cell), 1 if _latitude_is_low(level) else 0))
+    return lon_of_bits(interleaved(cell), level)
+
+
+def lat_of_bits(bits: Column, level: int = 8) -> Column:
+    return _gather_bits(F.shiftright(bits, 0 if _latitude_is_low(level) else 1))
+
+
+def lon_of_bits(bits: Column, level: int = 8) -> Column:
+    return _gather_bits(F.shiftright(bits, 1 if _latitude_is_low(level) else 0))
+
+
+def with_index(df: DataFrame, cells: dict[str, str], level: int = 8) -> DataFrame:
+    """Add lattice columns <name>_i and <name>_j for each cell column, decoding each text once.
+
+    Malformed text (checked at level 8) gives NULL.
+    """
+    whole = {
+        f"_{name}_bits": F.when(is_cell8(F.col(cell)), interleaved(F.col(cell))) if level == 8 else interleaved(F.col(cell))
+        for name, cell in cells.items()
+    }
+    axes = {}
+    for name in cells:
+        axes[f"{name}_i"] = lat_of_bits(F.col(f"_{name}_bits"), level)
+        axes[f"{name}_j"] = lon_of_bits(F.col(f"_{name}_bits"), level)
+    return compute_once(compute_once(df, whole), axes).drop(*whole)
 
 
 def centre_lat(i: Column, level: int = 8) -> Column:

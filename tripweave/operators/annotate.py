@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tripweave.functions import clock
 from tripweave.functions import geohash as gh
-from tripweave.functions.once import compute_once
 
 CELL_LEVELS = (4, 5, 6)
 
@@ -31,14 +30,12 @@ def add_times(df: DataFrame) -> DataFrame:
 
 def add_places(df: DataFrame, levels=CELL_LEVELS) -> DataFrame:
     """Lattice indices, coarser cells and centre coordinates of both ends; NULL where malformed."""
-    columns, indices = {}, {}
+    columns = {}
     for side in ("start", "end"):
         cell = F.col(f"{side}_geohash")
         for level in levels:
             columns[f"{side}_cell{level}"] = gh.truncate(cell, level)
-        indices[f"{side}_i"] = F.when(gh.is_cell8(cell), gh.lat_index(cell))
-        indices[f"{side}_j"] = F.when(gh.is_cell8(cell), gh.lon_index(cell))
-    df = compute_once(df, indices).withColumns(columns)
+    df = gh.with_index(df, {"start": "start_geohash", "end": "end_geohash"}).withColumns(columns)
     return df.withColumns(
         {
             f"{side}_{name}": centre(F.col(f"{side}_{axis}"))
