@@ -226,13 +226,13 @@ PROFILE_COLUMNS = ["mean", "std", "var", "min", "max", "cv", *qc.DURATION_LEVELS
 @query("qc_duration_before", raw_sql(_profile_sql("minutes", "duration_min", qc.DURATION_LEVELS, "true")))
 def qc_duration_before(spark, sf):
     parsed = annotate(qc.structural(raw_trips(spark, sf)))
-    return rounded(qc.profile(parsed, "duration_min"), *PROFILE_COLUMNS)
+    return rounded(qc.profile(parsed, ["duration_min"]), *PROFILE_COLUMNS)
 
 
 @query("qc_duration_after", raw_sql(_profile_sql("minutes", "duration_min", qc.DURATION_LEVELS, f"NOT ({DROPS['default']})")))
 def qc_duration_after(spark, sf):
     clean = qc.apply_policy(flagged_rows(spark, sf))
-    return rounded(qc.profile(clean, "duration_min"), *PROFILE_COLUMNS)
+    return rounded(qc.profile(clean, ["duration_min"]), *PROFILE_COLUMNS)
 
 
 @query(

@@ -261,17 +261,21 @@ def weekday_counts(df: DataFrame) -> DataFrame:
 DURATION_LEVELS = {"q00": 0.0, "q01": 0.01, "q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99, "q100": 1.0}
 
 
-def profile(df: DataFrame, column: str, levels: dict[str, float] = DURATION_LEVELS) -> DataFrame:
-    """Size, mean, sample spread, range, coefficient of variation and exact quantiles of a column."""
-    known = df.select(column).where(F.col(column).isNotNull())
-    spread = known.agg(
+def profile(df: DataFrame, columns: list[str], levels: dict[str, float] = DURATION_LEVELS) -> DataFrame:
+    """Size, mean, sample spread, range, coefficient of variation and exact quantiles per column.
+
+    The columns are stacked, so the table is read once for the moments and once for the quantiles.
+    """
+    stacked = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])
+    known = df.select(F.inline(stacked)).where("value is not null")
+    spread = known.groupBy("variable").agg(
         F.count("*").alias("n"),
-        F.avg(column).alias("mean"),
-        F.stddev_samp(column).alias("std"),
-        F.var_samp(column).alias("var"),
-        F.min(column).cast("double").alias("min"),
-        F.max(column).cast("double").alias("max"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.var_samp("value").alias("var"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     ).withColumn("cv", F.try_divide("std", "mean"))
-    # Both sides are one row.
-    quantiles = exact_quantiles(known, column, levels).withColumn("variable", F.lit(column))
-    return spread.withColumn("variable", F.lit(column)).join(F.broadcast(quantiles), "variable")
+    quantiles = exact_quantiles(known, "value", levels, ["variable"])
+    # One row per column on both sides.
+    return spread.join(F.broadcast(quantiles), "variable")

@@ -60,8 +60,9 @@ def exact_quantiles(
     within = within or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count("*").alias("_n"))
     ranked = running_totals(counts, [F.col(value).asc()], {"_to": F.col("_n")}, within)
-    sizes = counts.groupBy(*within).agg(F.sum("_n").alias("_size"))
-    ranked = ranked.join(F.broadcast(sizes), within) if within else ranked.withColumn("_size", sizes.scalar())
+    # The last running total of a group is its size.
+    sizes = ranked.groupBy(*within).agg(F.max("_to").alias("_size"))
+    ranked = ranked.join(sizes, within) if within else ranked.withColumn("_size", sizes.scalar())
     first = F.col("_to") - F.col("_n")
 
     def at(position: Column) -> Column:
