@@ -1,4 +1,4 @@
 """All registered queries, by area."""
 
-from tripweave.catalog import cleaning, exploration, geometry, peaks  # noqa: F401
+from tripweave.catalog import cleaning, exploration, flows, geometry, panels, peaks  # noqa: F401
 from tripweave.catalog.base import ORACLES, QUERIES  # noqa: F401

@@ -17,8 +17,12 @@ def observed_days(df: DataFrame, day: str = "date") -> DataFrame:
 
     The window runs in one task over at most one row per calendar day.
     """
-    days = df.select(F.col(day).alias("date")).where(F.col(day).isNotNull()).distinct()
-    return days.withColumn("day_position", (F.row_number().over(W.orderBy("date")) - 1).cast("int"))
+    return numbered(df.select(F.col(day).alias("date")).where(F.col(day).isNotNull()).distinct())
+
+
+def numbered(days: DataFrame) -> DataFrame:
+    """Positions 0, 1, ... for a frame of distinct dates; at most one row per calendar day."""
+    return days.select("date").withColumn("day_position", (F.row_number().over(W.orderBy("date")) - 1).cast("int"))
 
 
 def calendar_days(df: DataFrame, day: str = "date") -> DataFrame:
@@ -43,13 +47,14 @@ def densify(
     `counts` has the unit columns, date, slot and integer `values`, unique per key; `days` has date and
     day_position 0..D-1 without gaps. Counts outside `days` or 0..n_slots-1 are left out. `units`
     adds units without any count (and, if given, drops units not in it). `carry` columns are constant
-    per unit and come from `units`.
+    per unit and come from `units`, or from `counts` where no units are given.
     """
     carry = carry or []
     # At most one row per calendar day.
     days = F.broadcast(days)
+    kept = carry if units is None else []
     sparse = counts.where(F.col(slot).between(0, n_slots - 1)).join(days, "date").select(
-        *unit, (F.col("day_position") * n_slots + F.col(slot)).alias("_k"), *values
+        *unit, *kept, (F.col("day_position") * n_slots + F.col(slot)).alias("_k"), *values
     )
     if units is not None:
         sparse = units.select(*unit, *carry).join(sparse, unit, "left")
