@@ -10,6 +10,7 @@ from tripweave.catalog.base import DAY_TYPES, HOLIDAY, MAKEUP, query, rounded, s
 from tripweave.functions.clock import MORNING
 from tripweave.operators import cells, qc, ranking, spatiotemporal, temporal
 from tripweave.operators.annotate import add_movement, add_places, add_times
+from tripweave.session import write_through
 
 KM = sql_haversine("start_lat", "start_lon", "end_lat", "end_lon")
 # Quantile levels and duration bins of the trip profile.
@@ -289,11 +290,14 @@ flows AS (SELECT g.cell, g.hour, coalesce(dep.n, 0) AS dep, coalesce(arr.n, 0) A
   LEFT JOIN dep ON dep.cell = g.cell AND dep.hour = g.hour LEFT JOIN arr ON arr.cell = g.cell AND arr.hour = g.hour)"""
 
 
+def cell_hours(spark, sf):
+    return write_through(spatiotemporal.cell_hours(timed(spark, sf)))
+
+
 def cell_flows(spark, sf):
-    df = timed(spark, sf)
-    weekdays = df.where(~F.col("is_weekend"))
-    days = weekdays.agg(F.count_distinct("date")).scalar()
-    return spatiotemporal.cell_hour_flows(weekdays, spatiotemporal.busiest_cells(df, TOP), 2.0, days)
+    hours = cell_hours(spark, sf)
+    top = spatiotemporal.busiest_cells(hours, TOP)
+    return spatiotemporal.cell_hour_flows(spatiotemporal.weekdays_only(hours), top, 2.0)
 
 
 @query(
@@ -329,11 +333,7 @@ SELECT cell, hour, round(sum(s) / any_value(d), 6) AS net_out_day FROM e, nd WHE
     ),
 )
 def anchor_hour_net(spark, sf):
-    df = timed(spark, sf)
-    days = df.agg(F.count_distinct("date")).scalar()
-    ends = spatiotemporal.end_hours(df).where(F.col("hour").isin(8, 18))
-    net = F.sum(F.when(F.col("is_departure"), 1).otherwise(-1))
-    return rounded(ends.groupBy("cell", "hour").agg(net.alias("_n")).select("cell", "hour", (F.col("_n") / days).alias("net_out_day")), "net_out_day")
+    return rounded(spatiotemporal.anchor_net(cell_hours(spark, sf), [8, 18]), "net_out_day")
 
 
 def _stats_sql(source: str, cells_sql: str) -> str:
@@ -352,11 +352,11 @@ _STATS = ("mean", "var", "std", "p50", "p90", "cv", "var_over_mean")
 
 
 def hour_stats(spark, sf, weekdays_only=False, everywhere=False):
-    df = timed(spark, sf)
-    chosen = None if everywhere else spatiotemporal.busiest_cells(df, TOP).select("cell")
+    hours = cell_hours(spark, sf)
+    chosen = None if everywhere else spatiotemporal.busiest_cells(hours, TOP).select("cell")
     if weekdays_only:
-        df = df.where(~F.col("is_weekend"))
-    return spatiotemporal.cell_hour_stats(spatiotemporal.hourly_departures(df, chosen))
+        hours = spatiotemporal.weekdays_only(hours)
+    return spatiotemporal.cell_hour_stats(spatiotemporal.hourly_departures(hours, chosen))
 
 
 @query("cell_hour_stats", trips_sql(f"{_stats_sql(_ALL, _TOPC)} SELECT {_STATS_COLUMNS} FROM stats"))
@@ -385,17 +385,17 @@ _FIT = ("slope", "intercept", "above_poisson", "median_var_over_mean")
 
 @query("dispersion_top_cells", _fit_sql(_ALL, _TOPC))
 def dispersion_top_cells(spark, sf):
-    return rounded(spatiotemporal.dispersion_fit(hour_stats(spark, sf), 0.05), *_FIT)
+    return rounded(spatiotemporal.dispersion_fit(write_through(hour_stats(spark, sf)), 0.05), *_FIT)
 
 
 @query("dispersion_weekdays", _fit_sql("SELECT * FROM trips WHERE NOT is_weekend", _TOPC))
 def dispersion_weekdays(spark, sf):
-    return rounded(spatiotemporal.dispersion_fit(hour_stats(spark, sf, weekdays_only=True), 0.05), *_FIT)
+    return rounded(spatiotemporal.dispersion_fit(write_through(hour_stats(spark, sf, weekdays_only=True)), 0.05), *_FIT)
 
 
 @query("dispersion_all_cells", _fit_sql(_ALL, "SELECT DISTINCT start_cell6 AS cell FROM trips"))
 def dispersion_all_cells(spark, sf):
-    return rounded(spatiotemporal.dispersion_fit(hour_stats(spark, sf, everywhere=True), 0.05), *_FIT)
+    return rounded(spatiotemporal.dispersion_fit(write_through(hour_stats(spark, sf, everywhere=True)), 0.05), *_FIT)
 
 
 @query(

@@ -8,6 +8,7 @@ from tripweave.catalog.base import DAY_TYPES, I0, J0, query, rounded, sql_target
 from tripweave.functions import geohash as gh
 from tripweave.functions.clock import MORNING
 from tripweave.operators import flows, ranking, stock
+from tripweave.session import write_through
 
 
 def _gp_sql(i: str, j: str) -> str:
@@ -32,17 +33,17 @@ def ownership(spark, sf):
     row, column = F.floor((F.col("c_i") - I0) / 32), F.floor((F.col("c_j") - J0) / 32)
     outside = ((F.col("c_i") + F.col("c_j")) % 4 == 0) | (F.col("c_i") - I0 >= 4096)
     gp = F.when(outside, flows.UNASSIGNED).otherwise(F.concat(F.lit("G"), row.cast("string"), F.lit("_"), column.cast("string")))
-    return c.select(
+    table = c.select(
         "geohash", gp.alias("gp"), gh.centre_lat(F.col("c_i")).alias("lat"), gh.centre_lon(F.col("c_j")).alias("lon")
     )
+    # Elsewhere this is a table on disk; it is one here too.
+    return write_through(table)
 
 
 def grouped(spark, sf):
-    return flows.with_groups(trips(spark, sf), ownership(spark, sf))
-
-
-def groups(spark, sf):
-    return flows.assigned(ownership(spark, sf)).select("gp").distinct()
+    """Trips with the groups of both ends, and the groups."""
+    own = ownership(spark, sf)
+    return flows.with_groups(trips(spark, sf), own), flows.assigned(own).select("gp").distinct()
 
 
 # ---- core cells -------------------------------------------------------------
@@ -101,8 +102,8 @@ gf AS (SELECT x.date, g.gp, coalesce(d.n, 0) AS dep, coalesce(a.n, 0) AS arr, co
 
 def between(spark, sf):
     """Origin-destination counts, groups and target days."""
-    all_trips = grouped(spark, sf)
-    return flows.od_counts(flows.group_trips(all_trips, DAY_TYPES)), groups(spark, sf), flows.target_days(all_trips, DAY_TYPES)
+    all_trips, gps = grouped(spark, sf)
+    return flows.od_counts(flows.group_trips(all_trips, DAY_TYPES)), gps, flows.target_days(all_trips, DAY_TYPES)
 
 
 @query("group_flows_daily", trips_sql(f"{BETWEEN_SQL} SELECT date, gp, dep, arr, net_out FROM gf"))
@@ -198,7 +199,7 @@ SELECT date, n_out, n_in, n_in - n_out AS net_in, round(n_in / nullif(n_out, 0),
     ),
 )
 def group_boundary_daily(spark, sf):
-    all_trips = grouped(spark, sf)
+    all_trips, _ = grouped(spark, sf)
     events = flows.group_boundary_events(all_trips, DAY_TYPES)
     return rounded(flows.group_boundary_daily(events, flows.target_days(all_trips, DAY_TYPES)), "in_over_out")
 
@@ -211,9 +212,9 @@ SELECT gp, round(n_out / d, 6) AS out_day, round(n_in / d, 6) AS in_day, round((
     ),
 )
 def group_boundary_summary(spark, sf):
-    all_trips = grouped(spark, sf)
+    all_trips, gps = grouped(spark, sf)
     events = flows.group_boundary_events(all_trips, DAY_TYPES)
-    out = flows.group_boundary_summary(events, groups(spark, sf), flows.target_days(all_trips, DAY_TYPES))
+    out = flows.group_boundary_summary(events, gps, flows.target_days(all_trips, DAY_TYPES))
     return rounded(out, "out_day", "in_day", "net_out_day", "in_over_out")
 
 
@@ -266,14 +267,17 @@ lb AS (SELECT gp, avg(need) AS m FROM (SELECT gp, date, max(greatest(need, 0)) A
 
 
 def stock_inputs(spark, sf):
-    all_trips, gps = grouped(spark, sf), groups(spark, sf)
-    days = stock.stock_days(all_trips, DAY_TYPES)
-    return all_trips, gps, days, stock.slot_panel(all_trips, gps, days)
+    """Half-hour counts, groups, observed workdays, target days and the morning panel."""
+    all_trips, gps = grouped(spark, sf)
+    steps = write_through(stock.step_counts(all_trips))
+    workdays = write_through(stock.observed_workdays(all_trips, DAY_TYPES))
+    days = stock.stock_days(workdays, DAY_TYPES)
+    return steps, gps, workdays, days, stock.slot_panel(steps, gps, days)
 
 
 @query("stock_slot_panel", trips_sql(f"{STOCK_SQL} SELECT gp, date, slot, dep, arr FROM sp"))
 def stock_slot_panel(spark, sf):
-    return stock_inputs(spark, sf)[3]
+    return stock_inputs(spark, sf)[4]
 
 
 @query(
@@ -284,13 +288,13 @@ LEFT JOIN (SELECT gp, date, CAST(sum(d) AS BIGINT) AS dep, CAST(sum(1 - d) AS BI
     ),
 )
 def stock_hour_window(spark, sf):
-    all_trips, gps, days, _ = stock_inputs(spark, sf)
-    return stock.hour_window(all_trips, gps, days, stock.EARLY_HOURS)
+    steps, gps, _, days, _ = stock_inputs(spark, sf)
+    return stock.hour_window(steps, gps, days, stock.EARLY_HOURS)
 
 
 @query("stock_lower_bound", trips_sql(f"{STOCK_SQL} SELECT gp, round(m, 6) AS m FROM lb"))
 def stock_lower_bound(spark, sf):
-    return rounded(stock.lower_bounds(stock_inputs(spark, sf)[3]), "m")
+    return rounded(stock.lower_bounds(stock_inputs(spark, sf)[4]), "m")
 
 
 PRIOR_SQL = f"""{STOCK_SQL}, pv AS (SELECT * FROM (SELECT date, lag(date) OVER (ORDER BY date) AS previous FROM wd) WHERE previous IS NOT NULL AND date IN (SELECT date FROM tgt)),
@@ -300,8 +304,8 @@ pr AS (SELECT g.gp, CAST(coalesce(sum(CASE WHEN tot = 0 THEN arr ELSE gain END),
 
 @query("stock_previous_workday", trips_sql(f"{PRIOR_SQL} SELECT date, previous FROM pv"))
 def stock_previous_workday(spark, sf):
-    all_trips = grouped(spark, sf)
-    return stock.previous_workdays(stock.observed_workdays(all_trips, DAY_TYPES), stock.stock_days(all_trips, DAY_TYPES))
+    _, _, workdays, days, _ = stock_inputs(spark, sf)
+    return stock.previous_workdays(workdays, days)
 
 
 @query("stock_overnight_prior", trips_sql(f"{PRIOR_SQL} SELECT gp, w FROM pr"))
@@ -310,9 +314,8 @@ def stock_overnight_prior(spark, sf):
 
 
 def prior(spark, sf):
-    all_trips, gps, days, panel = stock_inputs(spark, sf)
-    pairs = stock.previous_workdays(stock.observed_workdays(all_trips, DAY_TYPES), days)
-    return panel, stock.overnight_prior(all_trips, gps, pairs)
+    steps, gps, workdays, days, panel = stock_inputs(spark, sf)
+    return panel, stock.overnight_prior(steps, gps, stock.previous_workdays(workdays, days))
 
 
 FACTORS = [1.0, 1.25, 1.5, 2.0, 3.0]
@@ -320,7 +323,8 @@ FACTORS = [1.0, 1.25, 1.5, 2.0, 3.0]
 
 def allocated(spark, sf):
     panel, w = prior(spark, sf)
-    bounds = stock.lower_bounds(panel).join(w, "gp")
+    # One row per group; every scenario starts from it.
+    bounds = write_through(stock.lower_bounds(panel).join(w, "gp"))
     return panel, stock.allocate(stock.scenarios(bounds, FACTORS), ["factor"])
 
 

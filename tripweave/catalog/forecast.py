@@ -7,11 +7,11 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tripweave.catalog.base import DAY_TYPES, HOLIDAY, MAKEUP, query, rounded, sql_workday, trips, trips_sql
-from tripweave.catalog.exploration import timed
-from tripweave.catalog.panels import HOURLY_SQL, hourly, morning_panel, panel_sql
+from tripweave.catalog.panels import HOURLY_SQL, morning_panel, panel_sql
+from tripweave.catalog.panels import hourly as hourly_panel
 from tripweave.functions.clock import MORNING
-from tripweave.functions.polygon import ring_box
 from tripweave.operators import cells, features, folds, models, panel, scoring
+from tripweave.session import write_through
 from tripweave.sources import weather as weather_source
 
 LABELLED = panel_sql(f"{sql_workday('date')} OR date = DATE '{HOLIDAY}'")
@@ -19,8 +19,14 @@ CUT = date(2024, 1, 20)
 CENTRE = (39.98, 116.32)
 
 
+def hourly(spark, sf):
+    """The hourly lag panel as a table: folds, priors and scores all read it."""
+    return write_through(hourly_panel(spark, sf))
+
+
 def labelled(spark, sf):
-    return morning_panel(spark, sf, "labelled")
+    """The slot panel of workdays and holidays as a table."""
+    return write_through(morning_panel(spark, sf, "labelled"))
 
 
 def readings(spark, sf):
@@ -233,8 +239,9 @@ FROM tagged, c GROUP BY ALL"""
     ),
 )
 def row_weights(spark, sf):
-    df = features.keep_slots(labelled(spark, sf), [0, 1, 2, 3])
-    df = features.with_score_mask(df, features.select_units(labelled(spark, sf), "top_n", 20))
+    whole = labelled(spark, sf)
+    df = features.keep_slots(whole, [0, 1, 2, 3])
+    df = features.with_score_mask(df, features.select_units(whole, "top_n", 20))
     df = df.withColumn("is_group", F.col("lat") > CENTRE[0])
     weighted = rounded(features.with_row_weights(df, 0.25, "is_group", 0.3), "weight")
     return weighted.groupBy("scored", "is_group", "weight").agg(F.count("*").alias("n"))
@@ -339,7 +346,7 @@ def seasonal_naive_fallback(spark, sf):
 
 def _measures_sql(pred: str = "pred") -> str:
     return f"""count(*) AS n, round(avg(abs({pred} - actual)), 6) AS mae, round(sqrt(avg(pow({pred} - actual, 2))), 6) AS rmse, round(avg({DEV.format(p=pred)}), 6) AS poisson_deviance,
-  round(sum({pred}), 6) AS pred_sum, CAST(sum(actual) AS DOUBLE) AS obs_sum, round(sum({pred}) / sum(actual), 6) AS calibration, round(avg({pred} - actual), 6) AS bias, round(max({pred}), 6) AS pred_max"""
+  round(sum({pred}), 6) AS pred_sum, CAST(sum(actual) AS DOUBLE) AS obs_sum, round(sum({pred}) / nullif(sum(actual), 0), 6) AS calibration, round(avg({pred} - actual), 6) AS bias, round(max({pred}), 6) AS pred_max"""
 
 
 _MEASURES = ("mae", "rmse", "poisson_deviance", "pred_sum", "calibration", "bias", "pred_max")
@@ -580,7 +587,7 @@ def model_boosted(spark, sf):
 @query("model_slot_features")
 def model_slot_features(spark, sf):
     """Feature blocks and boosted trees on the slot panel, calibrated forward."""
-    df = labelled(spark, sf).persist()
+    df = labelled(spark, sf)
     found = folds.folds(df, 3, "week_forward")
     run = models.feature_fit_predict(lambda: blocks(spark, sf), "arrivals", rounds=5, depth=4)
     preds = scoring.calibrate(models.walk_forward(df, found, run))

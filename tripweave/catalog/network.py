@@ -85,6 +85,15 @@ def network_universe(spark, sf):
     return network.cell_universe(members(spark, sf))
 
 
+@query(
+    "network_panel_members",
+    trips_sql(f"{PANEL}, {NET_SQL} SELECT DISTINCT cell AS id FROM mem WHERE kind = 'gp' AND cell IN (SELECT block_id FROM panel)"),
+)
+def network_panel_members(spark, sf):
+    ids = members(spark, sf).where("kind = 'gp'").select(F.col("cell").alias("id")).distinct()
+    return network_source.resolve_members(ids, morning_panel(spark, sf))
+
+
 # Predictions: the mean of the same unit and slot over the days before the cut.
 PRED_SQL = f"""{PANEL}, {NET_SQL}, pm AS (SELECT block_id, slot, avg(arrivals) AS pred FROM panel WHERE date < DATE '2024-01-22' GROUP BY 1, 2),
 pp AS (SELECT p.block_id, p.date, p.slot, pred, CAST(arrivals AS DOUBLE) AS actual FROM panel p JOIN pm USING (block_id, slot) WHERE date >= DATE '2024-01-22'),
@@ -186,13 +195,19 @@ fate AS (SELECT a.*, f.canonical AS from_canonical, t.canonical AS to_canonical,
 def other_cells(spark, sf):
     from tripweave.functions import geohash as gh
 
-    c = gh.with_index(ownership(spark, sf).select(F.col("geohash").alias("cell")), {"c": "cell"})
+    c = gh.with_index(ownership(spark, sf).select("geohash"), {"c": "geohash"})
+    c = c.withColumn("cell_id", F.col("c_i") * 2**20 + F.col("c_j"))
     di, dj = F.col("c_i") - I0, F.col("c_j") - J0
-    return c.select(
-        "cell",
-        (F.floor(di / 40) * 100 + F.floor(dj / 40)).alias("region"),
+    patch = (F.col("c_i") + 2 * F.col("c_j")) % 5 == 0
+    mapping = c.select(
+        "cell_id",
+        F.when(patch, "patch").otherwise("GP").alias("type"),
+        (F.floor(di / 40) * 100 + F.floor(dj / 40)).alias("gp_id"),
         (F.floor(di / 16) * 1000 + F.floor(dj / 16)).alias("patch_id"),
-        ((F.col("c_i") + 2 * F.col("c_j")) % 5 == 0).alias("is_patch"),
+    )
+    joined = network.attach_mapping(c.select("cell_id", "geohash"), mapping)
+    return joined.select(
+        F.col("geohash").alias("cell"), F.col("gp_id").alias("region"), "patch_id", (F.col("type") == "patch").alias("is_patch")
     )
 
 

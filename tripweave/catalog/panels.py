@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripweave.catalog.base import DAY_TYPES, HOLIDAY, query, rounded, sql_encode, sql_lat, sql_lon, sql_workday, trips, trips_sql
-from tripweave.catalog.exploration import timed
+from tripweave.catalog.exploration import cell_hours
 from tripweave.functions.clock import HOURLY, MORNING
 from tripweave.operators import panel as P
 from tripweave.operators import spatiotemporal
@@ -158,9 +158,9 @@ hourly AS (SELECT *, CAST(isodow(date) - 1 AS INT) AS dow, CAST(isodow(date) >=
 
 
 def hourly(spark, sf):
-    df = timed(spark, sf)
-    top = spatiotemporal.busiest_cells(df, TOP).select("cell")
-    return P.hourly_panel(spatiotemporal.hourly_departures(df, top))
+    hours = cell_hours(spark, sf)
+    top = spatiotemporal.busiest_cells(hours, TOP).select("cell")
+    return P.hourly_panel(spatiotemporal.hourly_departures(hours, top))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripweave.functions.clock import MORNING, DayTypes, Horizon
 from tripweave.operators.domain import calendar_days, densify, numbered
-from tripweave.operators.joins import lookup, member_of
+from tripweave.operators.joins import is_small, lookup, member_of
 
 UNASSIGNED = "UNASSIGNED"
 
@@ -24,9 +24,10 @@ def assigned(ownership: DataFrame) -> DataFrame:
 def with_groups(trips: DataFrame, ownership: DataFrame) -> DataFrame:
     """Group of both ends (sgp, egp), NULL outside every group, with both dates."""
     cells = assigned(ownership)
+    small = is_small(cells)
     for side, name in (("start", "sgp"), ("end", "egp")):
         renamed = cells.select(F.col("geohash").alias(f"{side}_geohash"), F.col("gp").alias(name))
-        trips = lookup(trips, renamed, [f"{side}_geohash"])
+        trips = lookup(trips, renamed, [f"{side}_geohash"], small=small)
     return trips.withColumns({"date": F.to_date("start_time"), "end_date": F.to_date("end_time")})
 
 

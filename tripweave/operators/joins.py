@@ -17,15 +17,16 @@ def is_small(dim: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 
 
 def lookup(
-    large: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS
+    large: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS, small: bool | None = None
 ) -> DataFrame:
     """Join a large table to a dimension that is unique on `keys`.
 
     A dimension within `limit` rows is broadcast and the large side is not shuffled. A bigger one is
     shuffled, after the hot keys of the large side are taken out: those are few by definition, so the
     part of the dimension they touch is broadcast, and no task receives a hot key's rows whole.
+    `small` passes on the answer of an earlier check of the same dimension.
     """
-    if is_small(dim, limit):
+    if is_small(dim, limit) if small is None else small:
         return large.join(F.broadcast(dim), keys, how)
     return split_hot_join(large, dim, keys, how)
 

@@ -74,6 +74,11 @@ def effective_multiplicity(cells: DataFrame, members: DataFrame, value: str) ->
     )
 
 
+def attach_mapping(cells: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Cells with their network role: (cell_id, geohash, ...) joined to (cell_id, type, gp_id, patch_id)."""
+    return cells.join(mapping.select("cell_id", "type", "gp_id", "patch_id"), "cell_id")
+
+
 def match_groups(other: DataFrame, own: DataFrame) -> DataFrame:
     """Map groups of another network onto ours by majority of shared cells.
 

@@ -19,6 +19,7 @@ from tripweave.functions import geohash as gh
 from tripweave.operators.annotate import annotate
 from tripweave.operators.joins import lookup
 from tripweave.operators.ranking import exact_quantiles
+from tripweave.session import write_through
 
 REQUIRED = ["action_dt", "order_id", "bike_id", "start_time", "end_time", "start_geohash", "end_geohash"]
 
@@ -101,6 +102,7 @@ def flag_duplicates(df: DataFrame, key: str, flag: str) -> DataFrame:
     task; only the repeated keys come back, through a size-checked lookup.
     """
     repeated = df.groupBy(key).count().where("count > 1").select(key, F.lit(True).alias(flag))
+    repeated = write_through(repeated)
     return lookup(df, repeated, [key]).withColumn(flag, _sure(F.col(flag)))
 
 

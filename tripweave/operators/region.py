@@ -68,9 +68,15 @@ def daily_balance(classified: DataFrame) -> DataFrame:
 
 
 def weekly_balance(daily: DataFrame) -> DataFrame:
-    """Net inflow per week ending on Sunday."""
-    week = F.date_add("date", 6 - F.weekday("date"))
-    return daily.groupBy(week.alias("week_ending")).agg(F.sum("net_in").alias("net_in"))
+    """Net inflow per week ending on Sunday; a week without crossings is zero.
+
+    At most one row per calendar week.
+    """
+    ending = F.date_add("date", 6 - F.weekday("date"))
+    weeks = daily.groupBy(ending.alias("week_ending")).agg(F.sum("net_in").alias("net_in"))
+    span = weeks.agg(F.min("week_ending").alias("lo"), F.max("week_ending").alias("hi"))
+    calendar = span.select(F.explode(F.expr("sequence(lo, hi, interval 7 days)")).alias("week_ending"))
+    return calendar.join(weeks, "week_ending", "left").fillna(0, ["net_in"])
 
 
 def one_sample_t(df: DataFrame, column: str) -> DataFrame:

@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripweave.operators.cells import cell_counts
 from tripweave.operators.domain import densify, observed_days
 from tripweave.operators.ranking import exact_quantiles
 
 
-def busiest_cells(trips: DataFrame, n: int, level: int = 6) -> DataFrame:
-    """The n most touched cells; equals in cell order. Never more than n rows."""
-    return cell_counts(trips, level).orderBy(F.desc("n_touching"), "cell").limit(n)
-
+def cell_hours(trips: DataFrame) -> DataFrame:
+    """Departures and arrivals per (cell, date, hour): the one reduction of the trips below.
 
-def end_hours(trips: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Both ends of each trip with the trip's own start hour, as (cell, hour, is_departure)."""
+    Both ends carry the trip's own start date and hour. Write it through once and read it many times.
+    """
     ends = F.array(
-        F.struct(F.col("start_cell6").alias("cell"), F.lit(True).alias("is_departure")),
-        F.struct(F.col("end_cell6").alias("cell"), F.lit(False).alias("is_departure")),
+        F.struct(F.col("start_cell6").alias("cell"), F.lit(1).alias("dep"), F.lit(0).alias("arr")),
+        F.struct(F.col("end_cell6").alias("cell"), F.lit(0).alias("dep"), F.lit(1).alias("arr")),
     )
-    return trips.select(*keep, "hour", F.explode(ends).alias("_e")).select(*keep, "hour", "_e.*")
+    both = trips.select("date", "hour", F.inline(ends))
+    return both.groupBy("cell", "date", "hour").agg(F.sum("dep").alias("dep"), F.sum("arr").alias("arr"))
 
 
-def cell_hour_flows(trips: DataFrame, cells: DataFrame, min_gross: float, days: Column) -> DataFrame:
-    """Per (cell, hour): departures, arrivals, net and gross per day, balance where gross is enough.
+def weekdays_only(hours: DataFrame) -> DataFrame:
+    return hours.where(F.weekday("date") < 5)
+
+
+def busiest_cells(hours: DataFrame, n: int) -> DataFrame:
+    """The n most touched cells; equals in cell order. Never more than n rows."""
+    touching = hours.groupBy("cell").agg(F.sum(F.col("dep") + F.col("arr")).alias("n_touching"))
+    return touching.orderBy(F.desc("n_touching"), "cell").limit(n)
+
+
+def cell_hour_flows(hours: DataFrame, cells: DataFrame, min_gross: float) -> DataFrame:
+    """Per (cell, hour): departures, arrivals, net and gross per observed day, balance where gross is enough.
 
     `cells` has at most a top-N of rows; every cell gets all 24 hours.
     """
-    counts = end_hours(trips).groupBy("cell", "hour").agg(
-        F.count_if("is_departure").alias("dep"), F.count_if(~F.col("is_departure")).alias("arr")
-    )
+    days = hours.agg(F.count_distinct("date")).scalar()
+    counts = hours.groupBy("cell", "hour").agg(F.sum("dep").alias("dep"), F.sum("arr").alias("arr"))
     grid = cells.select("cell", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
     filled = grid.join(counts, ["cell", "hour"], "left").fillna(0, ["dep", "arr"])
     net, gross = (F.col("dep") - F.col("arr")) / days, (F.col("dep") + F.col("arr")) / days
@@ -60,14 +67,23 @@ def roles(flows: DataFrame, morning=(7, 8, 9), evening=(17, 18, 19), eps: float
     return means.withColumns({"role": role, "reading": reading})
 
 
-def hourly_departures(trips: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """Complete (cell, observed day, hour) grid of departures; `cells` is a top-N, or all if None."""
-    counts = trips.select(F.col("start_cell6").alias("cell"), "date", "hour")
-    if cells is not None:
-        counts = counts.join(F.broadcast(cells.select("cell")), "cell", "left_semi")
-    sparse = counts.groupBy("cell", "date", "hour").agg(F.count("*").alias("n"))
-    units = None if cells is None else cells.select("cell")
-    return densify(sparse, ["cell"], observed_days(trips), "hour", 24, ["n"], units)
+def anchor_net(hours: DataFrame, anchors: list[int]) -> DataFrame:
+    """Net outflow per observed day of each cell at a few clock hours."""
+    days = hours.agg(F.count_distinct("date")).scalar()
+    at = hours.where(F.col("hour").isin(*anchors))
+    net = at.groupBy("cell", "hour").agg(F.sum(F.col("dep") - F.col("arr")).alias("_n"))
+    return net.select("cell", "hour", (F.col("_n") / days).alias("net_out_day"))
+
+
+def hourly_departures(hours: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Complete (cell, observed day, hour) grid of departures; `cells` is a top-N, or every origin if None."""
+    sparse = hours.where("dep > 0").select("cell", "date", "hour", F.col("dep").alias("n"))
+    if cells is None:
+        return densify(sparse, ["cell"], observed_days(hours), "hour", 24, ["n"])
+    # A top-N of cells.
+    few = F.broadcast(cells.select("cell"))
+    kept = sparse.join(few, "cell", "left_semi")
+    return densify(kept, ["cell"], observed_days(hours), "hour", 24, ["n"], few)
 
 
 def cell_hour_stats(panel: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripweave.functions.clock import MORNING, DayTypes, Horizon
+from tripweave.functions.clock import MORNING, DayTypes, Horizon, minute_of_day
 from tripweave.operators.domain import densify, numbered
 
 # Overnight hours, and the tolerances of the allocation.
@@ -22,9 +22,9 @@ def observed_workdays(grouped: DataFrame, types: DayTypes) -> DataFrame:
     return grouped.select("date").distinct().where(types.is_workday(F.col("date")))
 
 
-def stock_days(grouped: DataFrame, types: DayTypes) -> DataFrame:
+def stock_days(workdays: DataFrame, types: DayTypes) -> DataFrame:
     """Observed target days, numbered."""
-    return numbered(observed_workdays(grouped, types).where(types.is_target(F.col("date"))))
+    return numbered(workdays.where(types.is_target(F.col("date"))))
 
 
 def group_ends(grouped: DataFrame) -> DataFrame:
@@ -36,17 +36,32 @@ def group_ends(grouped: DataFrame) -> DataFrame:
     return grouped.select(F.inline(ends)).where("gp is not null")
 
 
-def slot_panel(grouped: DataFrame, gps: DataFrame, days: DataFrame, horizon: Horizon = MORNING) -> DataFrame:
-    """Complete (gp, date, slot) departures and arrivals; each end by its own date and clock."""
-    ends = group_ends(grouped).withColumn("slot", horizon.slot(F.col("ts"))).where("slot >= 0")
-    sparse = ends.groupBy("gp", F.to_date("ts").alias("date"), "slot").agg(F.sum("dep").alias("dep"), F.sum("arr").alias("arr"))
+def step_counts(grouped: DataFrame, width: int = 30) -> DataFrame:
+    """Departures and arrivals per (gp, date, step of the day): the one reduction of the trips below.
+
+    Each end has its own date and clock. Write it through once and read it many times.
+    """
+    ends = group_ends(grouped).withColumn("step", F.floor(minute_of_day(F.col("ts")) / width).cast("int"))
+    return ends.groupBy("gp", F.to_date("ts").alias("date"), "step").agg(F.sum("dep").alias("dep"), F.sum("arr").alias("arr"))
+
+
+def slot_panel(steps: DataFrame, gps: DataFrame, days: DataFrame, horizon: Horizon = MORNING, width: int = 30) -> DataFrame:
+    """Complete (gp, date, slot) departures and arrivals over a horizon made of whole steps."""
+    if horizon.start % width or horizon.width % width:
+        raise ValueError(f"the horizon does not consist of whole {width}-minute steps")
+    slot = F.floor((F.col("step") * width - horizon.start) / horizon.width).cast("int")
+    inside = steps.withColumn("slot", slot).where(F.col("slot").between(0, horizon.n_slots - 1))
+    sparse = inside.groupBy("gp", "date", "slot").agg(F.sum("dep").alias("dep"), F.sum("arr").alias("arr"))
     return densify(sparse, ["gp"], days, "slot", horizon.n_slots, ["dep", "arr"], gps).drop("day_position")
 
 
-def hour_window(grouped: DataFrame, gps: DataFrame, days: DataFrame, hours) -> DataFrame:
+def _hour(width: int):
+    return F.floor(F.col("step") * width / 60).cast("int")
+
+
+def hour_window(steps: DataFrame, gps: DataFrame, days: DataFrame, hours, width: int = 30) -> DataFrame:
     """Complete (gp, date) departures and arrivals inside clock hours."""
-    ends = group_ends(grouped).where(F.hour("ts").isin(*hours))
-    sparse = ends.groupBy("gp", F.to_date("ts").alias("date")).agg(F.sum("dep").alias("dep"), F.sum("arr").alias("arr"))
+    sparse = steps.where(_hour(width).isin(*hours)).groupBy("gp", "date").agg(F.sum("dep").alias("dep"), F.sum("arr").alias("arr"))
     dense = densify(sparse.withColumn("slot", F.lit(0)), ["gp"], days, "slot", 1, ["dep", "arr"], gps)
     return dense.select("gp", "date", "dep", "arr")
 
@@ -74,15 +89,14 @@ def previous_workdays(workdays: DataFrame, targets: DataFrame) -> DataFrame:
     return paired.where("previous is not null").join(targets.select("date"), "date", "left_semi")
 
 
-def overnight_prior(grouped: DataFrame, gps: DataFrame, pairs: DataFrame) -> DataFrame:
+def overnight_prior(steps: DataFrame, gps: DataFrame, pairs: DataFrame, width: int = 30) -> DataFrame:
     """w per group: positive net arrivals from late on the previous workday to early on the day.
 
     A night on which no group gains counts arrivals instead.
     """
-    hour = F.hour("ts")
-    ends = group_ends(grouped).where(hour.isin(*LATE_HOURS, *EARLY_HOURS))
-    counts = ends.groupBy("gp", F.to_date("ts").alias("seen"), hour.isin(*LATE_HOURS).alias("late")).agg(
-        F.sum("dep").alias("dep"), F.sum("arr").alias("arr")
+    hour = _hour(width)
+    counts = steps.where(hour.isin(*LATE_HOURS, *EARLY_HOURS)).select(
+        "gp", F.col("date").alias("seen"), hour.isin(*LATE_HOURS).alias("late"), "dep", "arr"
     )
     parts = F.array(
         F.struct(F.col("previous").alias("seen"), F.lit(True).alias("late"), F.col("date").alias("night")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}/{uuid.uuid4().hex}"
+
+
+def write_through(df: DataFrame) -> DataFrame:
+    """Write a reduction that several later steps read to the shared folder, and read it back.
+
+    Unlike a checkpoint the table is columnar: readers prune columns, and its true size lets the
+    planner broadcast it where it is small. Lost executors cost a re-read.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "tables")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write the frame to the checkpoint folder and cut its lineage there.
 
