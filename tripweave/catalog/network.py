@@ -8,6 +8,7 @@ from tripweave.catalog.base import I0, J0, query, rounded, sql_workday, trips_sq
 from tripweave.catalog.flows import OWN_SQL, ownership
 from tripweave.catalog.panels import morning_panel, panel_sql
 from tripweave.operators import flows, network, scoring
+from tripweave.session import write_through
 from tripweave.sources import network as network_source
 
 PANEL = panel_sql(sql_workday("date"))
@@ -37,7 +38,7 @@ def nested_network(spark, sf):
 
 def members(spark, sf):
     gp_cells, _, arc_cells = network_source.explode_network(nested_network(spark, sf))
-    return network.membership(gp_cells, arc_cells)
+    return write_through(network.membership(gp_cells, arc_cells))
 
 
 @query("network_membership", trips_sql(f"{NET_SQL} SELECT kind, id, cell, CASE kind WHEN 'gp' THEN cell ELSE 'arc' || id || ':' || cell END AS row_id FROM mem"))
@@ -103,10 +104,10 @@ roll AS (SELECT kind, id, date, slot, sum(pred) AS pred_total, sum(actual) AS ac
 
 
 def predictions(spark, sf):
-    df = morning_panel(spark, sf)
+    df = write_through(morning_panel(spark, sf))
     means = df.where("date < date'2024-01-22'").groupBy("block_id", "slot").agg(F.avg("arrivals").alias("pred"))
     later = df.where("date >= date'2024-01-22'").join(means, ["block_id", "slot"])
-    return later.select("block_id", "date", "slot", "pred", F.col("arrivals").cast("double").alias("actual"))
+    return write_through(later.select("block_id", "date", "slot", "pred", F.col("arrivals").cast("double").alias("actual")))
 
 
 @query(

@@ -8,6 +8,7 @@ from tripweave.catalog.base import query, rounded, sql_encode, sql_lat, sql_lon,
 from tripweave.catalog.exploration import timed
 from tripweave.catalog.geometry import RING, sql_inside
 from tripweave.operators import hotspots
+from tripweave.session import write_through
 
 N = 5
 
@@ -28,7 +29,7 @@ bl AS (SELECT c.peak, c.cell, c.i, c.j, any_value(c.weekdays) AS weekdays, any_v
 
 
 def peak_cells(spark, sf):
-    return hotspots.peak_cells(timed(spark, sf), RING)
+    return write_through(hotspots.peak_cells(timed(spark, sf), RING))
 
 
 @query(

@@ -18,20 +18,22 @@ Ring = list[tuple[float, float]]
 
 def ring_edges(ring: Ring) -> Column:
     """Literal array of the ring's edges, in order, with their index."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("edge"),
-                F.lit(float(a[0])).alias("lat1"),
-                F.lit(float(a[1])).alias("lon1"),
-                F.lit(float(b[0])).alias("lat2"),
-                F.lit(float(b[1])).alias("lon2"),
-            )
-            for k, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1]))
-        ]
+    return literal_structs(
+        {"edge": k, "lat1": a[0], "lon1": a[1], "lat2": b[0], "lon2": b[1]}
+        for k, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1]))
     )
 
 
+def literal_structs(rows) -> Column:
+    """Literal array of structs of ints and floats, as one parsed expression."""
+
+    def text(value) -> str:
+        return str(value) if isinstance(value, int) else f"{float(value)!r}D"
+
+    structs = ("named_struct(" + ", ".join(f"'{k}', {text(v)}" for k, v in row.items()) + ")" for row in rows)
+    return F.expr("array(" + ", ".join(structs) + ")")
+
+
 def ring_box(ring: Ring) -> tuple[float, float, float, float]:
     """(south, west, north, east)."""
     lats, lons = [p[0] for p in ring], [p[1] for p in ring]
@@ -41,17 +43,8 @@ def ring_box(ring: Ring) -> tuple[float, float, float, float]:
 def inside(lat: Column, lon: Column, ring: Ring) -> Column:
     """Even-odd rule. The box test first keeps the fold off rows that cannot be inside."""
     sloped = [e for e in zip(ring, ring[1:] + ring[:1]) if e[0][0] != e[1][0]]
-    edges = F.array(
-        *[
-            F.struct(
-                F.lit(float(a[0])).alias("lat1"),
-                F.lit(float(a[1])).alias("lon1"),
-                F.lit(float(b[0])).alias("lat2"),
-                F.lit(float(b[1] - a[1])).alias("run"),
-                F.lit(float(b[0] - a[0])).alias("rise"),
-            )
-            for a, b in sloped
-        ]
+    edges = literal_structs(
+        {"lat1": a[0], "lon1": a[1], "lat2": b[0], "run": b[1] - a[1], "rise": b[0] - a[0]} for a, b in sloped
     )
 
     def flip(state: Column, e: Column) -> Column:

@@ -10,6 +10,7 @@ from tripweave.functions import geohash as gh
 from tripweave.functions import polygon
 from tripweave.operators.cells import with_centre
 from tripweave.operators.ranking import global_rank
+from tripweave.session import write_through
 
 # Three-hour peaks.
 PEAKS = {"am": (7, 8, 9), "pm": (17, 18, 19)}
@@ -169,7 +170,7 @@ def hotspots(cells: DataFrame, n: int = 10, rank_by: str = "block") -> DataFrame
     if rank_by not in ("single", "block"):
         raise ValueError(f"rank_by is single or block, not {rank_by!r}")
     rows = peak_rows(cells.where("in_region"))
-    blocks = block_sums(rows)
+    blocks = write_through(block_sums(rows))
     score = "block_net" if rank_by == "block" else "centre_net"
     picks = disjoint_top(ranked_directions(blocks, score), n).select("peak", "direction", "cell")
     own = global_rank(

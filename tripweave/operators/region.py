@@ -152,13 +152,10 @@ def edge_table(spark, ring: Ring, target_m: float = 300.0, latitude: float = gh.
     Consecutive edges join an arc until it is at least `target_m` long. The ring is a parameter of at
     most a few thousand vertices, so the table is folded once as an ordered array.
     """
-    edges = F.transform(
-        polygon.ring_edges(ring),
-        lambda e: F.struct(
-            e["edge"].alias("edge"), e["lat1"].alias("lat1"), e["lon1"].alias("lon1"),
-            e["lat2"].alias("lat2"), e["lon2"].alias("lon2"),
-            F.element_at(F.array(*[F.lit(m) for m in edge_lengths(ring, latitude)]), e["edge"] + 1).alias("length_m"),
-        ),
+    lengths = edge_lengths(ring, latitude)
+    edges = polygon.literal_structs(
+        {"edge": k, "lat1": a[0], "lon1": a[1], "lat2": b[0], "lon2": b[1], "length_m": lengths[k]}
+        for k, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1]))
     )
     start = F.struct(
         F.lit(0).alias("arc"), F.lit(0.0).alias("metres"), F.array().cast("array<int>").alias("arcs")
