@@ -335,7 +335,7 @@ sh AS (SELECT *, total * v / sum(v) OVER (PARTITION BY factor) AS a, m / (total
 rt AS (SELECT x.factor, x.gp, any_value(x.m) AS m, any_value(x.a) AS a, any_value(x.press) AS press, any_value(x.total) AS total,
   any_value(x.total) - coalesce(sum(y.m), 0) AS need, any_value(x.total) - coalesce(sum(y.a), 0) AS free
   FROM sh x LEFT JOIN sh y ON y.factor = x.factor AND (y.press > x.press OR (y.press = x.press AND y.gp < x.gp)) GROUP BY 1, 2),
-ok AS (SELECT factor, max(press) AS press, arg_max(need / free, press) AS rate FROM rt WHERE free > 1e-12 AND press <= need / free * (1 + 1e-9) GROUP BY 1),
+ok AS (SELECT factor, max(press) AS press, arg_min(need / free, (-press, gp)) AS rate FROM rt WHERE free > 1e-12 AND press <= need / free * (1 + 1e-9) GROUP BY 1),
 al AS (SELECT rt.*, CASE WHEN ok.press IS NULL OR rt.press > ok.press THEN m ELSE a * rate END AS stock, ok.press IS NULL OR rt.press > ok.press AS pinned FROM rt LEFT JOIN ok USING (factor))"""
 
 
