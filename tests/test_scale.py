@@ -91,3 +91,18 @@ def test_plans_prune_and_stay_in_codegen(spark, sf):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     profile = base.trips(spark, sf).groupBy("start_geohash").count()._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<start_geohash:string>" in profile
+
+
+def test_null_keys_survive_the_hot_split(spark):
+    large = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("k"), "id")
+    dim = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    want = large.join(dim, "k", "left").agg(F.count("*"), F.sum("v"), F.sum("id")).first()
+    assert joins.lookup(large, dim, ["k"], limit=1).agg(F.count("*"), F.sum("v"), F.sum("id")).first() == want
+
+
+def test_one_place_per_slot_is_limited_before_the_shuffle(spark, sf):
+    """The ranking of the flagship query keeps a bounded number of rows per task before shuffling."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["panel_slot_net_ranked"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

@@ -12,6 +12,9 @@ from tripweave.operators.cells import with_centre
 from tripweave.operators.ranking import global_rank
 from tripweave.session import write_through
 
+# Parts a group is cut into before its best candidates are brought together.
+SLICES = 256
+
 # Three-hour peaks.
 PEAKS = {"am": (7, 8, 9), "pm": (17, 18, 19)}
 
@@ -115,13 +118,18 @@ def disjoint_top(candidates: DataFrame, n: int, reach: int = 2, groups=("peak",
     """Greedy top n per group such that any two picks are more than `reach` rows or columns apart.
 
     A pick rules out only the (2 reach + 1)^2 lattice positions around it, so the n-th pick is among
-    the first (n - 1)(2 reach + 1)^2 + 1 candidates. Only that many are kept per group, by a bounded
-    heap in every task, and the greedy choice is one fold over this short array: no rounds, and exact.
+    the first (n - 1)(2 reach + 1)^2 + 1 candidates. Only that many are kept, first per slice of a
+    group (a group may hold most of the table), then per group; the greedy choice is one fold over
+    this short array: no rounds, and exact.
     """
     enough = (n - 1) * (2 * reach + 1) ** 2 + 1
-    order = W.partitionBy(*groups).orderBy(F.desc("score"), "cell")
-    # A rank limit over a partitioned window is pushed below the shuffle as a per-task limit.
-    short = candidates.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= enough)
+
+    def best(df: DataFrame, *parts) -> DataFrame:
+        order = W.partitionBy(*parts).orderBy(F.desc("score"), "cell")
+        return df.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= enough)
+
+    slices = F.pmod(F.xxhash64("cell"), F.lit(SLICES))
+    short = best(best(candidates.withColumn("_slice", slices), *groups, "_slice"), *groups)
     item = F.struct("_place", "score", "cell", "i", "j")
     lists = short.groupBy(*groups).agg(F.sort_array(F.collect_list(item)).alias("_list"))
     empty = F.array().cast("array<struct<_place:int,score:double,cell:string,i:bigint,j:bigint>>")

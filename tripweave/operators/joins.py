@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +43,17 @@ def hot_keys(large: DataFrame, keys: list[str], share: float = HOT_SHARE) -> Dat
 def split_hot_join(
     large: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", share: float = HOT_SHARE
 ) -> DataFrame:
-    """Join hot keys by broadcast and everything else by shuffle."""
+    """Join hot keys by broadcast and everything else by shuffle.
+
+    Rows with a NULL key match nothing; they stay on the broadcast side too, where they do not meet in
+    one task.
+    """
     hot = F.broadcast(hot_keys(large, keys, share).withColumn("_hot", F.lit(True)))
-    tagged = large.join(hot, keys, "left")
+    unknown = reduce(or_, [F.col(k).isNull() for k in keys])
+    tagged = large.join(hot, keys, "left").withColumn("_hot", F.coalesce("_hot", unknown))
     hot_dim = F.broadcast(dim.join(hot.select(*keys), keys, "left_semi"))
-    few = tagged.where(F.col("_hot")).drop("_hot").join(hot_dim, keys, how)
-    rest = tagged.where(F.col("_hot").isNull()).drop("_hot").join(dim, keys, how)
+    few = tagged.where("_hot").drop("_hot").join(hot_dim, keys, how)
+    rest = tagged.where("not _hot").drop("_hot").join(dim, keys, how)
     return few.unionByName(rest)
 
 

@@ -11,6 +11,7 @@ from tripweave.functions.clock import DayTypes, Horizon
 from tripweave.functions.once import compute_once
 from tripweave.operators.annotate import endpoints
 from tripweave.operators.domain import densify, observed_days
+from tripweave.session import write_through
 
 KEYS = ["block_id", "date", "slot"]
 
@@ -59,6 +60,8 @@ def build_panel(
     counts = slot_counts(trips, horizon, types, rule, level, shape)
     days = observed_days(trips.where(types.keep(F.col("date"), rule)))
     if units is None and min_events > 1:
+        # Read twice: once for the totals, once for the grid.
+        counts = write_through(counts)
         units = universe(counts, min_events).select("block_id")
     if units is None:
         counts = _with_unit_centre(counts, level, shape)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tripweave.operators.joins import lookup
 from tripweave.session import materialise
 
 
@@ -171,5 +172,6 @@ def average_rank_correlation(df: DataFrame, left: str, right: str) -> DataFrame:
         values = ranked.groupBy(column).agg(F.count("*").alias("_n"))
         places = running_totals(values, [F.col(column).asc()], {"_to": F.col("_n")})
         places = places.select(column, (F.col("_to") - (F.col("_n") - 1) / 2.0).alias(f"_rank_{column}"))
-        ranked = ranked.join(places, column)
+        # A common value may be most of the rows.
+        ranked = lookup(ranked, places, [column], "inner")
     return ranked.agg(F.count("*").alias("n"), F.corr(f"_rank_{left}", f"_rank_{right}").alias("rho"))
