@@ -130,8 +130,13 @@ def daily_baseline(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return rated.withColumn("low", _sure(F.col("ratio") < policy.low_day_ratio))
 
 
-def derived_flags(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Flags of the annotated columns. The two that need totals come from small side tables."""
+def derived_flags(df: DataFrame, policy: Policy = Policy(), basis: DataFrame | None = None) -> DataFrame:
+    """Flags of the annotated columns. The two that need totals come from small side tables.
+
+    Those are counted on `basis` (date and both cells of the same trips) where one is given, so that
+    they read three columns instead of carrying the annotation along.
+    """
+    basis = df if basis is None else basis
     minutes = F.col("duration_min")
     outside = F.lit(False)
     if policy.study_start is not None:
@@ -150,7 +155,7 @@ def derived_flags(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
         }
     )
     # A kept prefix holds at least min_prefix_share of all ends, so at most 1/min_prefix_share exist.
-    kept = prefix_shares(df, policy).where("kept").select("prefix")
+    kept = prefix_shares(basis, policy).where("kept").select("prefix")
     for side in ("start", "end"):
         found = F.broadcast(kept.select(F.col("prefix").alias(f"_{side}"), F.lit(True).alias(f"_{side}_in")))
         prefix = F.substring(f"{side}_geohash", 1, policy.prefix_length)
@@ -159,13 +164,14 @@ def derived_flags(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
         "qc_cross_region", F.col("_start_in").isNull() | F.col("_end_in").isNull()
     ).drop("_start", "_end", "_start_in", "_end_in")
     # One row per calendar day at most.
-    low = F.broadcast(daily_baseline(df, policy).where("low").select("date", F.lit(True).alias("qc_anomaly_day")))
+    low = F.broadcast(daily_baseline(basis, policy).where("low").select("date", F.lit(True).alias("qc_anomaly_day")))
     return flagged.join(low, "date", "left").withColumn("qc_anomaly_day", _sure(F.col("qc_anomaly_day")))
 
 
 def flag_all(raw: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Raw text trips to annotated trips with all thirteen flags; every row is kept."""
-    return derived_flags(annotate(structural(raw)), policy)
+    basis = raw.select("start_geohash", "end_geohash", F.to_date(clock.parse_minute(F.col("start_time"))).alias("date"))
+    return derived_flags(annotate(structural(raw)), policy, basis)
 
 
 def apply_policy(flagged: DataFrame, policy: Policy = Policy()) -> DataFrame:
