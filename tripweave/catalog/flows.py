@@ -356,6 +356,19 @@ def stock_scenarios(spark, sf):
     return rounded(stock.scenario_report(out), "total", "allocated", "max_stock")
 
 
+@query(
+    "stock_feasibility",
+    trips_sql(
+        f"""{STOCK_SQL} SELECT f AS factor, round(f * s, 6) AS total, round(s, 6) AS least, f * s >= s - 1e-9 AS feasible
+FROM (SELECT sum(m) AS s FROM lb), (VALUES (0.5e0), (0.9e0), (1.0e0), (1.5e0)) AS v(f)"""
+    ),
+)
+def stock_feasibility(spark, sf):
+    panel, w = prior(spark, sf)
+    bounds = write_through(stock.lower_bounds(panel).join(w, "gp"))
+    return rounded(stock.feasibility(stock.scenarios(bounds, [0.5, 0.9, 1.0, 1.5])), "total", "least")
+
+
 @query(
     "stock_capacity",
     trips_sql(

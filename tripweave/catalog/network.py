@@ -95,6 +95,19 @@ def network_panel_members(spark, sf):
     return network_source.resolve_members(ids, morning_panel(spark, sf))
 
 
+@query(
+    "network_containment",
+    trips_sql(
+        f"""{PANEL}, {NET_SQL}, g AS (SELECT DISTINCT cell FROM gpc)
+SELECT count(*) AS cells, count(*) FILTER (cell IN (SELECT block_id FROM panel)) AS inside, count(*) FILTER (cell NOT IN (SELECT block_id FROM panel)) AS outside FROM g"""
+    ),
+)
+def network_containment(spark, sf):
+    """Group cells against the units of the morning panel."""
+    units = morning_panel(spark, sf).select(F.col("block_id").alias("cell"))
+    return network.containment(members(spark, sf).where("kind = 'gp'"), units)
+
+
 # Predictions: the mean of the same unit and slot over the days before the cut.
 PRED_SQL = f"""{PANEL}, {NET_SQL}, pm AS (SELECT block_id, slot, avg(arrivals) AS pred FROM panel WHERE date < DATE '2024-01-22' GROUP BY 1, 2),
 pp AS (SELECT p.block_id, p.date, p.slot, pred, CAST(arrivals AS DOUBLE) AS actual FROM panel p JOIN pm USING (block_id, slot) WHERE date >= DATE '2024-01-22'),

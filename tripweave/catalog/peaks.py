@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripweave.catalog.base import query, rounded, sql_encode, sql_lat, sql_lon, trips_sql
+from tripweave.catalog.base import query, raw_trips, rounded, sql_encode, sql_lat, sql_lon, trips_sql
+from tripweave.catalog.cleaning import raw_sql
 from tripweave.catalog.exploration import timed
 from tripweave.catalog.geometry import RING, sql_inside
 from tripweave.operators import hotspots
+from tripweave.operators.annotate import add_times
+from tripweave.operators.qc import structural
 from tripweave.session import write_through
 
 N = 5
@@ -46,6 +49,14 @@ def q_peak_cells(spark, sf):
     return rounded(cells, *[f"{m}_{p}_day" for m in ("dep", "arr", "net") for p in ("am", "pm")])
 
 
+@query(
+    "peak_input_violations",
+    raw_sql("SELECT count(*) FILTER (broken0) AS bad_start, count(*) FILTER (broken1) AS bad_end, count(*) FILTER (t0 IS NULL) AS no_time FROM raw"),
+)
+def peak_input_violations(spark, sf):
+    return hotspots.input_violations(add_times(structural(raw_trips(spark, sf))))
+
+
 @query(
     "peak_blocks_3x3",
     trips_sql(

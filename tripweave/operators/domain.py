@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tripweave.functions.once import compute_once
+
 
 def observed_days(df: DataFrame, day: str = "date") -> DataFrame:
     """Distinct days with their position 0, 1, ... in calendar order.
@@ -44,35 +46,37 @@ def densify(
 ) -> DataFrame:
     """Fill a sparse count table out to every (unit, day, slot).
 
-    `counts` has the unit columns, date, slot and integer `values`, unique per key; `days` has date and
-    day_position 0..D-1 without gaps. Counts outside `days` or 0..n_slots-1 are left out. `units`
+    `counts` has the unit columns, date, slot and integer `values`, unique per key; `days` has the dates
+    of the grid. Counts outside `days` or 0..n_slots-1 are left out. `units`
     adds units without any count (and, if given, drops units not in it). `carry` columns are constant
     per unit and come from `units`, or from `counts` where no units are given.
     """
     carry = carry or []
-    # At most one row per calendar day.
-    days = F.broadcast(days)
+    # The days as one sorted array, read as a one-value subquery wherever it is needed: the rows do
+    # not carry it, and what `days` is derived from is scanned once. One element per calendar day.
+    dates = days.agg(F.sort_array(F.collect_set("date"))).scalar()
     kept = carry if units is None else []
-    sparse = counts.where(F.col(slot).between(0, n_slots - 1)).join(days, "date").select(
-        *unit, *kept, (F.col("day_position") * n_slots + F.col(slot)).alias("_k"), *values
-    )
+    place = F.array_position(dates, F.col("date")) - 1
+    # Placed once per count; otherwise the test would be pushed down to every trip.
+    sparse = compute_once(counts.where(F.col(slot).between(0, n_slots - 1)), {"_day": place}).where("_day >= 0")
+    sparse = sparse.select(*unit, *kept, (F.col("_day") * n_slots + F.col(slot)).alias("_k"), *values)
     if units is not None:
         sparse = units.select(*unit, *carry).join(sparse, unit, "left")
-    # The number of grid positions, as a one-value subquery.
-    size = (days.agg(F.coalesce(F.max("day_position") + 1, F.lit(0)).alias("d")).select(F.col("d") * n_slots)).scalar()
     by_unit = W.partitionBy(*unit).orderBy("_k")
-    runs = (
-        sparse.withColumn("_size", size)
-        .withColumn("_next", F.coalesce(F.lead("_k").over(by_unit), F.col("_size")))
-        .withColumn("_from", F.when(F.row_number().over(by_unit) == 1, F.lit(0)).otherwise(F.col("_k")))
-        .where(F.col("_next") > F.col("_from"))
-    )
+    end = (F.size(dates) * n_slots).cast("long")
+    runs = sparse.withColumns(
+        {
+            "_next": F.coalesce(F.lead("_k").over(by_unit), end),
+            "_from": F.when(F.row_number().over(by_unit) == 1, F.lit(0)).otherwise(F.col("_k")).cast("long"),
+        }
+    ).where("_next > _from")
     dense = runs.withColumn("_p", F.explode(F.expr("sequence(_from, _next - 1)")))
-    dense = dense.select(
+    day = F.expr(f"_p div {int(n_slots)}").cast("int")
+    return dense.select(
         *unit,
         *carry,
-        F.expr(f"_p div {int(n_slots)}").cast("int").alias("day_position"),
+        F.element_at(dates, day + 1).alias("date"),
         (F.col("_p") % n_slots).cast("int").alias(slot),
         *[F.when(F.col("_p") == F.col("_k"), F.col(v)).otherwise(F.lit(0)).cast("long").alias(v) for v in values],
+        day.alias("day_position"),
     )
-    return dense.join(days, "day_position").select(*unit, *carry, "date", slot, *values, "day_position")

@@ -19,14 +19,20 @@ SLICES = 256
 PEAKS = {"am": (7, 8, 9), "pm": (17, 18, 19)}
 
 
+def input_violations(trips: DataFrame) -> DataFrame:
+    """Trips with a malformed cell at either end or without a time; one aggregation over the table."""
+    return trips.agg(
+        F.count_if(~gh.is_cell8(F.col("start_geohash"))).alias("bad_start"),
+        F.count_if(~gh.is_cell8(F.col("end_geohash"))).alias("bad_end"),
+        F.count_if(F.col("hour").isNull() | F.col("is_weekend").isNull()).alias("no_time"),
+    )
+
+
 def check_weekday_input(trips: DataFrame) -> None:
-    """Refuse malformed cells or unknown hours; one aggregation over the table."""
-    bad = trips.agg(
-        F.count_if(~gh.is_cell8(F.col("start_geohash")) | ~gh.is_cell8(F.col("end_geohash"))).alias("cells"),
-        F.count_if(F.col("hour").isNull() | F.col("is_weekend").isNull()).alias("times"),
-    ).first()
-    if bad["cells"] or bad["times"]:
-        raise ValueError(f"{bad['cells']} trips with a malformed cell, {bad['times']} without a time")
+    """Refuse malformed cells or unknown hours."""
+    found = {k: v for k, v in input_violations(trips).first().asDict().items() if v}
+    if found:
+        raise ValueError(f"trips that cannot be placed: {found}")
 
 
 def peak_cells(trips: DataFrame, ring: polygon.Ring, peaks: dict[str, tuple[int, ...]] = PEAKS) -> DataFrame:

@@ -139,6 +139,15 @@ def cell_universe(members: DataFrame) -> DataFrame:
     )
 
 
+def containment(part: DataFrame, whole: DataFrame, key: str = "cell") -> DataFrame:
+    """How many cells of `part` the universe holds, and how many it lacks."""
+    known = whole.select(key).distinct().withColumn("_in", F.lit(True))
+    tagged = part.select(key).distinct().join(known, key, "left")
+    return tagged.agg(
+        F.count("*").alias("cells"), F.count_if(F.col("_in")).alias("inside"), F.count_if(F.col("_in").isNull()).alias("outside")
+    )
+
+
 def check_contained(part: DataFrame, whole: DataFrame, key: str = "cell") -> None:
     """Refuse cells of `part` that `whole` lacks."""
     stray = part.select(key).join(whole.select(key), key, "left_anti").take(3)

@@ -149,6 +149,12 @@ def check_feasible(groups: DataFrame, total: float) -> None:
         raise ValueError(f"a total of {total} cannot cover lower bounds that add up to {least}")
 
 
+def feasibility(scenario_rows: DataFrame) -> DataFrame:
+    """Per scenario: its total, the sum of the floors, and whether the floors fit."""
+    sums = scenario_rows.groupBy("factor").agg(F.max("total").alias("total"), F.sum("m").alias("least"))
+    return sums.withColumn("feasible", F.col("total") >= F.col("least") - SLACK)
+
+
 def scenarios(bounds: DataFrame, factors: list[float]) -> DataFrame:
     """Every group once per total, the totals being multiples of the sum of the floors."""
     least = bounds.agg(F.sum("m")).scalar()
