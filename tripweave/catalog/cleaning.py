@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripweave.catalog.base import I0, TRIPS_SQL, query, raw_trips, rounded, sql_haversine, trips, trips_sql
+from tripweave.catalog.base import TRIPS_SQL, query, raw_trips, rounded, sql_haversine, trips, trips_sql
 from tripweave.functions import geohash as gh
 from tripweave.operators import qc
 from tripweave.operators.annotate import annotate

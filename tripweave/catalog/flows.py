@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tripweave.catalog.base import DAY_TYPES, I0, J0, query, rounded, sql_target, sql_workday, trips, trips_sql
 from tripweave.functions import geohash as gh
-from tripweave.functions.clock import MORNING
 from tripweave.operators import flows, ranking, stock
 from tripweave.session import write_through
 
