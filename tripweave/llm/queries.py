@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, jaccard
+from . import bpe, decontam, jaccard, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,10 @@ FROM words w LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path))
+
+
+@_query
+def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    files = records.write(docs, records.new_folder(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return records.read(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
