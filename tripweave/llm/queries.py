@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, jaccard, records
+from . import bpe, decontam, jaccard, records, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,29 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     files = records.write(docs, records.new_folder(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return records.read(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@_query
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
+    return url_rules.judge(_table(spark, sf_dir, "pages"), rules)
+
+
+ORACLES["op2_url_rules"] = f"""
+WITH rules(rh, rp, rv) AS (VALUES {', '.join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}
+), tails AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages
+), parts AS (
+    SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), {_UPPER}, {_LOWERED}) AS host,
+        regexp_extract(substr(tail, length(regexp_extract(tail, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM tails
+), fits AS (
+    SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+    FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+    GROUP BY ALL
+)
+SELECT page_id, p.host, p.path, rule, coalesce(rv, 'allow') AS verdict FROM parts p LEFT JOIN fits USING (host, path)
+"""
