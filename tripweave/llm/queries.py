@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, jaccard, records, url_rules
+from . import bpe, decontam, jaccard, records, sampling, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,8 @@ WITH rules(rh, rp, rv) AS (VALUES {', '.join(f"('{h}', '{p}', '{v}')" for h, p,
 )
 SELECT page_id, p.host, p.path, rule, coalesce(rv, 'allow') AS verdict FROM parts p LEFT JOIN fits USING (host, path)
 """
+
+
+@_query
+def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.with_edited(_table(spark, sf_dir, "documents"))
