@@ -97,14 +97,20 @@ def spans(buffer: np.ndarray, alphabet: np.ndarray, breaks: np.ndarray) -> tuple
     return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
 
-def _hash_slice(buffer: np.ndarray, alphabet: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_slice(buffer: np.ndarray, alphabet: np.ndarray, breaks: np.ndarray, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lowered = LOWER[buffer]
     start, end = spans(lowered, alphabet, breaks)
     up, down = _powers(len(buffer) + 1)
+    hashes = np.zeros((1 + len(stems), len(start)), np.uint64)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[lowered] * up[:-1], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start]), start, end
+        hashes[0] = mix((sums[end] - sums[start]) * down[start])
+        for row, size in enumerate(stems, 1):
+            longer = np.flatnonzero(end - start > size)
+            at = start[longer]
+            hashes[row, longer] = mix((sums[at + size] - sums[at]) * down[at] + np.uint64(size))
+    return hashes, start, end
 
 
 def _cut(buffer: np.ndarray, low: int, high: int, alphabet: np.ndarray) -> int:
@@ -118,11 +124,12 @@ def _cut(buffer: np.ndarray, low: int, high: int, alphabet: np.ndarray) -> int:
     return high
 
 
-def hashed_words(column, alphabet: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Yield (first row, last row + 1, word hashes, bounds, starts, ends) for slices of whole rows.
+def hashed_stems(column, alphabet: np.ndarray, stems: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Yield (first row, last row + 1, hashes, bounds, starts, ends) for slices of whole rows.
 
-    Words of row first + i are those from bounds[i] to bounds[i + 1]; starts and ends are byte positions in the row's
-    slice of raw_bytes, counted from the slice's first byte. A-Z is lowered before hashing.
+    hashes has a row for whole words and one for each number of bytes in stems, for the first so many bytes of each longer
+    word (0 for the others). Words of row first + i are those from bounds[i] to bounds[i + 1]; starts and ends are byte
+    positions in the row's slice of raw_bytes, counted from the slice's first byte. A-Z is lowered before hashing.
     """
     buffer, offsets = raw_bytes(column)
     rows, first = len(offsets) - 1, 0
@@ -130,20 +137,26 @@ def hashed_words(column, alphabet: np.ndarray) -> Iterator[tuple[int, int, np.nd
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1)
         low, high = int(offsets[first]), int(offsets[last])
         if high - low <= SLICE_BYTES:
-            hashes, start, end = _hash_slice(buffer[low:high], alphabet, offsets[first : last + 1] - low)
+            hashes, start, end = _hash_slice(buffer[low:high], alphabet, offsets[first : last + 1] - low, stems)
         else:
             parts, at = [], low
             while at < high:
                 to = _cut(buffer, at, high, alphabet)
-                h, s, e = _hash_slice(buffer[at:to], alphabet, np.zeros(0, np.int64))
+                h, s, e = _hash_slice(buffer[at:to], alphabet, np.zeros(0, np.int64), stems)
                 parts.append((h, s + (at - low), e + (at - low)))
                 at = to
-            hashes, start, end = (np.concatenate(x) for x in zip(*parts))
+            hashes, start, end = (np.concatenate(x, axis=-1) for x in zip(*parts))
         bounds = np.searchsorted(start, offsets[first : last + 1] - low)
         yield first, last, hashes, bounds, start, end
         first = last
 
 
+def hashed_words(column, alphabet: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """hashed_stems for whole words only, with a plain array of hashes."""
+    for first, last, hashes, bounds, start, end in hashed_stems(column, alphabet, ()):
+        yield first, last, hashes[0], bounds, start, end
+
+
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n consecutive words; fewer words, but not none, are one run."""
     if not len(words):
@@ -154,3 +167,33 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
         for j in range(min(n, len(words))):
             out += words[j : j + count] * np.uint64(pow(_BASE, j + 1, 1 << 64))
     return mix(out)
+
+
+def gram_counts(column, sizes: tuple[int, ...], bits: int, lower: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the buckets (ascending) of its byte n-grams of all sizes (4 at most) and of its words, and how often
+    each occurs. N-grams have the first 2**bits buckets, words the next 2**bits; one last bucket counts words that repeat
+    the word before them."""
+    buffer, offsets = raw_bytes(column)
+    for first, last, words, bounds, _, _ in hashed_words(column, SPACED):
+        for i in range(last - first):
+            counts = np.zeros((2 << bits) + 1, np.int64)
+            own = words[bounds[i] : bounds[i + 1]]
+            counts[-1] = np.count_nonzero(own[1:] == own[:-1])
+            counts[1 << bits : 2 << bits] = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            low, high = int(offsets[first + i]), int(offsets[first + i + 1])
+            for at in range(low, high, SLICE_BYTES):
+                piece = buffer[at : min(high, at + SLICE_BYTES + max(sizes) - 1)]
+                piece = (LOWER[piece] if lower else piece).astype(np.uint32)
+                for size in sizes:
+                    count = min(SLICE_BYTES, len(piece) - size + 1)
+                    if count <= 0:
+                        continue
+                    gram = piece[:count].copy()
+                    for j in range(1, size):
+                        gram |= piece[j : j + count] << np.uint32(8 * j)
+                    gram *= np.uint32(0x9E3779B1)
+                    gram ^= gram >> np.uint32(15)
+                    gram *= np.uint32(0x85EBCA6B + 2 * size)
+                    counts[: 1 << bits] += np.bincount(gram >> np.uint32(32 - bits), minlength=1 << bits)
+            held = np.flatnonzero(counts)
+            yield held.astype(np.int32), counts[held]

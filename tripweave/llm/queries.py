@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, jaccard, records, sampling, url_rules
+from . import bpe, decontam, jaccard, language, quality, records, sampling, toxicity, training, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,26 @@ SELECT page_id, p.host, p.path, rule, coalesce(rv, 'allow') AS verdict FROM part
 @_query
 def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.with_edited(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", training.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def _classified(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", training.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _classified(toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"))), 0.5)
+
+
+@_query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _classified(quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels"))), 0.3)
