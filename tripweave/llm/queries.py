@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, jaccard, language, quality, records, sampling, toxicity, training, url_rules
+from . import bpe, decontam, jaccard, language, quality, records, sampling, templates, toxicity, training, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +152,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _classified(quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels"))), 0.3)
+
+
+@_query
+def op4_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(_table(spark, sf_dir, "pages"))
