@@ -269,9 +269,13 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
     return encoded.select(id_col, ids_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """Token count and checksums of what decode() returns."""
+def digests(decoded: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Token count and checksums of what decode() returns, and the columns named in keep."""
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return decoded.select(
-        id_col, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256")
+        id_col,
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
+        *keep,
     )
