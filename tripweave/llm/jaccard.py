@@ -10,12 +10,14 @@ q * |A & B| >= p * |A | B|. The join is exact up to collisions of 64-bit hashes.
   at most d blocks of either differ. Take the first d + 1 non-empty blocks of both: the first one that is equal in both
   is among them, because at most d differing ones precede it. So linked sets share one of d + 1 keys (band, block, XOR).
   A set with d non-empty blocks or fewer gives all of them and one key for the rest of its band.
-* Keys meet by a partial aggregation to the smallest class of each key; each other class of the key hangs on that one.
-  Components of those hints are independent clusters: no link leaves a cluster.
-* In a cluster, bit sketches are compared by Hamming distance, which is a lower bound of the symmetric difference too,
-  and what passes is verified on the sets. Large clusters are dealt out as pairs of chunks, so no task holds more than
-  two chunks. A task returns, for each class, the number of documents it links to and a spanning forest of the links:
-  rows in proportion to its input, never pairs.
+* Keys meet by a partial aggregation. Classes that share a key with at most CROWD classes are paired, if their sizes
+  allow a link, and a pair is dropped when the Hamming distance of its bit sketches (each token flips one bit; about a bit
+  for each token), which is a lower bound of the symmetric difference too, is too large. In a crowded key, each class
+  hangs on the smallest one instead, so that no crowd is written out as pairs.
+* Components of these hints are independent clusters: no link leaves a cluster. In a cluster, finer sketches are compared
+  and what passes is verified on the sets. Large clusters are dealt out as pairs of chunks, so no task holds more than two
+  chunks. A task returns, for each class, the number of documents it links to and a spanning forest of the links: rows in
+  proportion to its input, never pairs.
 
 Equal sets are one class from the start (named by a 64-bit hash of the set), so copies cost one row each.
 """
@@ -36,6 +38,8 @@ from .common import connected, sized
 
 #: A size band ends at so many times its start. Wider bands repeat fewer sets in two bands, but give short sets more keys.
 BAND = 1.7
+#: Keys shared by more classes than this are not written out as pairs.
+CROWD = 64
 _SALT = numbered(4, 2)
 
 
@@ -56,7 +60,7 @@ def blocks(d: int) -> int:
         return 64
     if d < 16:
         return 4 * (d + 1)
-    return math.ceil((1.5 if d < 64 else 1.25) * (d + 1))
+    return math.ceil((1.5 if d < 64 else 1.2 if d < 256 else 1.12) * (d + 1))
 
 
 def block_keys(tokens: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -99,17 +103,18 @@ def token_sets(column, n: int) -> Iterator[np.ndarray]:
 def _signatures(n: int, p: int, q: int):
     def run(batches):
         for batch in batches:
-            sizes, names, keys, ends = [], [], [], [0]
+            sizes, names, keys, ends, sketches = [], [], [], [0], []
             for tokens in token_sets(batch.column(2), n):
                 sizes.append(len(tokens))
                 names.append(class_id(tokens) if len(tokens) else None)
                 keys.append(block_keys(tokens, p, q))
                 ends.append(ends[-1] + len(keys[-1]))
+                sketches.append(bit_sketches([tokens], 1)[0].tobytes() if len(tokens) else b"")
             flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["row", "id", "size", "class", "keys"],
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(sketches, pa.binary())],
+                names=["row", "id", "size", "class", "keys", "sketch"],
             )
 
     return run
@@ -127,10 +132,11 @@ def _sets(n: int):
     return run
 
 
-def bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of 64-bit words a set: every token flips one bit."""
+def bit_sketches(sets: list[np.ndarray], per_token: int) -> np.ndarray:
+    """One row of 64-bit words a set: every token flips one bit. Rows have the next power of two of bits from per_token for
+    each token of the largest set, 64 at least."""
     bits = 64
-    while bits < 2 * max(map(len, sets)):
+    while bits < per_token * max(map(len, sets)):
         bits *= 2
     out = np.zeros((len(sets), bits // 64), np.uint64)
     for row, tokens in zip(out, sets):
@@ -140,10 +146,31 @@ def bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches, the longer one folded to the size of the other: bits that fall together are XORed,
+    as if it had been made at that size."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near(p: int, q: int):
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column(2).to_numpy()
+            far = np.array([distance(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column(3), batch.column(4))], np.int64)
+            yield batch.select([0, 1]).filter(pa.array(far * (q + p) <= sizes * (q - p)))
+
+    return run
+
+
 def verified_links(sets: list[np.ndarray], p: int, q: int, left: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each set the later ones it links to. With left, only links between the first left sets and the others."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    sketch = bit_sketches(sets)
+    sketch = bit_sketches(sets, 2)
     step = max(1, (1 << 22) // sketch.shape[1])
     for i in range(len(sets) if left is None else left):
         begin, found = (i + 1 if left is None else left), []
@@ -217,16 +244,29 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("similarity must be a fraction p / q, 0 < p <= q")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = write_through(rows.mapInArrow(_signatures(n, p, q), f"row bigint, id {kind}, size bigint, class bigint, keys array<bigint>"))
+    signed = write_through(rows.mapInArrow(_signatures(n, p, q), f"row bigint, id {kind}, size bigint, class bigint, keys array<bigint>, sketch binary"))
 
-    keyed = signed.where("class IS NOT NULL").select("class", F.explode("keys").alias("key"))
+    keyed = signed.where("class IS NOT NULL").select("class", "size", F.explode("keys").alias("key"))
     shared = write_through(keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key", "least"))
-    hints = write_through(keyed.join(sized(shared), "key").where("class != least").select("class", "least").distinct())
-    clusters = connected(hints)
+    meeting = write_through(keyed.join(sized(shared), "key").groupBy("key", "least", "class").agg(F.max("size").alias("size")))
+    crowds = write_through(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD).select("key"))
+    candidates = write_through(meeting.select("class").distinct())
+    classes = write_through(
+        signed.join(sized(candidates), "class").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), F.first("sketch").alias("sketch"))
+    )
+    few = meeting.join(sized(crowds), "key", "left_anti").select("key", "class", "size")
+    other = few.select("key", F.col("class").alias("other"), F.col("size").alias("other_size"))
+    fits = f"class < other AND {q} * least(size, other_size) >= {p} * greatest(size, other_size)"
+    pairs = few.join(other, "key").where(fits).select("class", "other", (F.col("size") + F.col("other_size")).alias("sizes")).distinct()
+    sketched = pairs.join(classes.select("class", "sketch"), "class").join(
+        classes.select(F.col("class").alias("other"), F.col("sketch").alias("other_sketch")), "other"
+    )
+    near = sketched.select("class", "other", "sizes", "sketch", "other_sketch").mapInArrow(_near(p, q), "class bigint, other bigint")
+    crowded = meeting.join(sized(crowds), "key").where("class != least").select("class", F.col("least").alias("other")).distinct()
+    clusters = connected(near.unionByName(crowded))
     members = write_through(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).unionByName(
         clusters.select(F.col("root").alias("class"), F.col("root").alias("cluster")).distinct()))
-
-    classes = write_through(signed.select("class", "row").join(sized(members), "class").groupBy("class", "cluster").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")))
+    classes = write_through(classes.drop("sketch").join(members, "class"))
     texts = rows.join(sized(classes.select("row")), "row").select("text")
     sets = texts.mapInArrow(_sets(n), "class bigint, tokens binary")
     # Chunks of a cluster of c classes: sqrt(c) / 8, so that pairs of chunks repeat a class that many times at most.
