@@ -73,10 +73,11 @@ def test_bundle_round_trip_and_refusals(spark, hourly, tmp_path):
         return [features.Calendar(DayTypes()), features.Trend(), features.Profile()]
 
     chain = features.FeatureSet(made())
-    chain.blocks[0].pin(date(2026, 3, 2))
     chain.fit(panel)
     model = models.boosted(chain.columns, rounds=2, depth=2).fit(models.boosted_columns(chain.transform_keeping(panel), chain.columns, "arrivals"))
-    saved = bundle.Bundle(model, chain, 1.2)
+    with pytest.raises(ValueError, match="first day"):
+        bundle.Bundle(model, chain, 1.2).save(str(tmp_path / "a"))
+    saved = bundle.Bundle(model, chain, 1.2, first_day=date(2026, 3, 2))
     saved.save(str(tmp_path / "b"))
     again = bundle.Bundle.load(spark, str(tmp_path / "b"), made())
     one_day = panel.where("date = date'2026-03-15'")
@@ -84,6 +85,9 @@ def test_bundle_round_trip_and_refusals(spark, hourly, tmp_path):
     assert gap["unmatched"] == 0 and gap["max_difference"] == 0.0
     with pytest.raises(ValueError):
         bundle.Bundle.load(spark, str(tmp_path / "b"), made()[:2])
+    other = [features.Calendar(DayTypes(holidays=(date(2026, 3, 3),))), *made()[1:]]
+    with pytest.raises(ValueError, match="holidays"):
+        bundle.Bundle.load(spark, str(tmp_path / "b"), other)
 
 
 def test_units_and_slots(spark):

@@ -209,9 +209,12 @@ def test_monday_folds(spark):
     found = folds.folds(df, 4, "week_forward")
     assert len(found) == 3 and all(f.start.weekday() == 0 for f in found)
     folds.check_forward(folds.fold_table(df, found))
-    assert folds.count_edges(23, 4) == [0, 5, 11, 17, 23]
-    with pytest.raises(ValueError):
-        folds.monday_edges(business_days(date(2026, 5, 5), 10), 4)
+    plain = spark.createDataFrame([(date(2026, 5, 1) + timedelta(days=k),) for k in range(23)], "date date")
+    assert [f.start.day for f in folds.folds(plain, 4, "walk_forward")] == [6, 12, 18]
+    assert [f.end.day for f in folds.folds(plain, 4, "walk_forward")] == [11, 17, 23]
+    few = spark.createDataFrame([(d,) for d in business_days(date(2026, 5, 5), 10)], "date date")
+    with pytest.raises(ValueError, match="Mondays"):
+        folds.folds(few, 4, "week_forward")
     with pytest.raises(ValueError):
         folds.folds(df, 30, "walk_forward")
 
@@ -297,7 +300,19 @@ def test_trend_borrows_missing_day_type(spark):
     data = [("u", date(2026, 4, 1) + timedelta(days=k), 0, 10, 0) for k in range(5)]
     df = spark.createDataFrame(data, "block_id string, date date, slot int, arrivals int, dow int")
     block = features.Trend().fit(df)
-    assert block.borrowed == ["weekend"] and block.lines["weekend"] == block.lines["weekday"] and block.notes()
+    rows = {r["weekend"]: r for r in block.table.collect()}
+    assert rows[True]["borrowed"] and not rows[False]["borrowed"] and block.notes()
+    assert rows[True]["intercept"] == rows[False]["intercept"] and rows[True]["slope"] == rows[False]["slope"]
+
+
+def test_trend_needs_no_calendar(spark):
+    """Without the calendar's columns the weekday decides; the lines are those with the columns."""
+    data = [("u", date(2026, 4, 1) + timedelta(days=k), 0, 10 + k, 0) for k in range(20)]
+    df = spark.createDataFrame(data, "block_id string, date date, slot int, arrivals int, departures int")
+    bare = features.FeatureSet([features.Trend()]).fit(df).transform(df)
+    dated = features.FeatureSet([features.Calendar(clock.DayTypes()), features.Trend()]).fit(df).transform(df)
+    left, right = ({r["date"]: r["trend_scale"] for r in x.select("date", "trend_scale").collect()} for x in (bare, dated))
+    assert left == pytest.approx(right) and len(left) == 20 and len(set(left.values())) > 5
 
 
 def test_previous_workday_skips_the_weekend(spark):

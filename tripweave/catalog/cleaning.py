@@ -145,7 +145,7 @@ def qc_prefix_shares(spark, sf):
     raw_sql("SELECT date, trips, baseline, round(trips / baseline, 6) AS ratio, trips / baseline < 0.5 AS low FROM rated"),
 )
 def qc_daily_baseline(spark, sf):
-    return rounded(qc.daily_baseline(annotate(qc.structural(raw_trips(spark, sf)))), "ratio")
+    return rounded(qc.daily_baseline(annotate(qc.parse(raw_trips(spark, sf)), ["date"])), "ratio")
 
 
 @query(
@@ -164,7 +164,7 @@ def qc_geohash_lengths(spark, sf):
     ),
 )
 def qc_redundant_date(spark, sf):
-    return qc.redundant_date(qc.structural(raw_trips(spark, sf)))
+    return qc.redundant_date(qc.parse(raw_trips(spark, sf)))
 
 
 @query(
@@ -191,26 +191,25 @@ def qc_blank_counts(spark, sf):
     ),
 )
 def qc_time_coverage(spark, sf):
-    cover = qc.time_coverage(annotate(qc.structural(raw_trips(spark, sf))))
+    cover = qc.time_coverage(annotate(qc.parse(raw_trips(spark, sf)), ["date"]))
     times = ("start_first", "start_last", "end_first", "end_last")
     return cover.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in times})
 
 
 @query(
     "qc_missing_dates",
-    """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+    """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders),
 span AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM days)
 SELECT date FROM span WHERE date NOT IN (SELECT date FROM days)""",
 )
 def qc_missing_dates(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
-    urgent = orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
-    return qc.missing_dates(urgent.select(F.to_date("o_orderdate").alias("date")))
+    return qc.missing_dates(orders.select(F.to_date("o_orderdate").alias("date")))
 
 
 @query("qc_weekday_counts", trips_sql("SELECT dow, count(*) AS n FROM trips GROUP BY 1"))
 def qc_weekday_counts(spark, sf):
-    return qc.weekday_counts(annotate(trips(spark, sf)))
+    return qc.weekday_counts(annotate(trips(spark, sf), ["dow"]))
 
 
 def _profile_sql(source: str, column: str, levels: dict[str, float], where: str) -> str:
@@ -225,7 +224,7 @@ PROFILE_COLUMNS = ["mean", "std", "var", "min", "max", "cv", *qc.DURATION_LEVELS
 
 @query("qc_duration_before", raw_sql(_profile_sql("minutes", "duration_min", qc.DURATION_LEVELS, "true")))
 def qc_duration_before(spark, sf):
-    parsed = annotate(qc.structural(raw_trips(spark, sf)))
+    parsed = annotate(qc.parse(raw_trips(spark, sf)), ["duration_min"])
     return rounded(qc.profile(parsed, ["duration_min"]), *PROFILE_COLUMNS)
 
 

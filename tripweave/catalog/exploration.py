@@ -149,15 +149,15 @@ def daily_volume(spark, sf):
 
 @query(
     "daily_volume_gaps",
-    """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY 1),
+    """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1),
 c AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d),
 j AS (SELECT c.date, n FROM c LEFT JOIN d ON c.date = d.date)
 SELECT date, n, CAST(isodow(date) - 1 AS INT) AS dow, isodow(date) >= 6 AS is_weekend, n IS NULL AS removed,
   round(CASE WHEN count(n) OVER w >= 4 THEN avg(n) OVER w END, 6) AS roll7 FROM j WINDOW w AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
 )
 def daily_volume_gaps(spark, sf):
-    """The same over a long order series with days missing."""
-    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
+    """The same over all orders, a series of years in which a few days are missing."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
     return rounded(temporal.daily_volume(orders.select(F.to_date("o_orderdate").alias("date"))), "roll7")
 
 
@@ -279,7 +279,7 @@ def slot_assignment(spark, sf):
 
 # ---- cell by hour ----------------------------------------------------------
 
-TOP = 12
+TOP = 30
 TOUCH = f"""touch AS (SELECT cell, count(*) AS n FROM (SELECT start_cell6 AS cell FROM trips UNION ALL SELECT end_cell6 FROM trips) GROUP BY 1
   ORDER BY n DESC, cell LIMIT {TOP})"""
 FLOWS = f"""{TOUCH}, wk AS (SELECT * FROM trips WHERE NOT is_weekend), nd AS (SELECT count(DISTINCT date) AS d FROM wk),

@@ -157,16 +157,19 @@ def od_matrix(spark, sf):
     return rounded(flows.od_matrix(od, days), "per_day")
 
 
+# Every group there is: the ownership table names them by row and column.
+GROUPS = [f"G{row}_{column}" for row in range(5) for column in range(5)]
+
+
 @query(
     "od_matrix_wide",
     trips_sql(
-        f"""{OD_SQL} SELECT sgp, round(coalesce(sum(per_day) FILTER (egp = 'G0_0'), 0.0), 6) AS "G0_0", round(coalesce(sum(per_day) FILTER (egp = 'G2_3'), 0.0), 6) AS "G2_3",
-  round(coalesce(sum(per_day) FILTER (egp = 'G4_4'), 0.0), 6) AS "G4_4" FROM od GROUP BY 1"""
+        f"""{OD_SQL} SELECT sgp, {', '.join(f"round(coalesce(sum(per_day) FILTER (egp = '{g}'), 0.0), 6) AS {g}" for g in GROUPS)} FROM od GROUP BY 1"""
     ),
 )
 def od_matrix_wide(spark, sf):
     od, _, days = between(spark, sf)
-    return rounded(flows.od_wide(od, days, ["G0_0", "G2_3", "G4_4"]), "G0_0", "G2_3", "G4_4")
+    return rounded(flows.od_wide(od, days, GROUPS), *GROUPS)
 
 
 @query("od_top_pairs", trips_sql(f"{OD_SQL} SELECT sgp, egp, trips, round(per_day, 6) AS per_day FROM od ORDER BY trips DESC, sgp, egp LIMIT 15"))

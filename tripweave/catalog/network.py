@@ -125,10 +125,12 @@ def predictions(spark, sf):
 
 @query(
     "network_rollup",
-    trips_sql(f"{PRED_SQL} SELECT kind, id, date, slot, round(pred_total, 6) AS pred_total, n_cells, missing_cells, round(pred_total / greatest(n_cells, 1), 6) AS pred_per_cell FROM roll"),
+    trips_sql(f"{PRED_SQL} SELECT kind, id, date, slot, from_gp, to_gp, round(pred_total, 6) AS pred_total, n_cells, missing_cells, round(pred_total / greatest(n_cells, 1), 6) AS pred_per_cell FROM roll LEFT JOIN arc ON kind = 'arc' AND id = CAST(arc_id AS VARCHAR)"),
 )
 def network_rollup(spark, sf):
-    out = network.rollup(predictions(spark, sf), members(spark, sf), ["pred"])
+    gp_cells, arcs, arc_cells = network_source.explode_network(nested_network(spark, sf))
+    both = write_through(network.membership(gp_cells, arc_cells))
+    out = network.rollup(predictions(spark, sf), both, ["pred"], arcs)
     return rounded(out, "pred_total", "pred_per_cell")
 
 

@@ -146,7 +146,7 @@ def panel_violations(spark, sf):
 
 # ---- hourly lag panel -------------------------------------------------------
 
-TOP = 8
+TOP = 30
 HOURLY_SQL = f"""touch AS (SELECT cell FROM (SELECT start_cell6 AS cell FROM trips UNION ALL SELECT end_cell6 FROM trips) GROUP BY 1 ORDER BY count(*) DESC, cell LIMIT {TOP}),
 grid AS (SELECT cell, date, CAST(h AS INT) AS hour FROM touch, (SELECT DISTINCT date FROM trips), range(24) AS r(h)),
 base AS (SELECT g.cell, g.date, g.hour, coalesce(n, 0) AS n FROM grid g LEFT JOIN (SELECT start_cell6 AS cell, date, hour, count(*) AS n FROM trips GROUP BY 1, 2, 3) c
@@ -173,7 +173,7 @@ def panel_hourly_lags(spark, sf):
 
 @query(
     "panel_calendar_lags",
-    """WITH d AS (SELECT o_orderpriority AS cell, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2),
+    """WITH d AS (SELECT o_orderpriority AS cell, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1, 2),
 span AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d),
 grid AS (SELECT cell, date FROM (SELECT DISTINCT cell FROM d), span),
 base AS (SELECT g.cell, g.date, coalesce(n, 0) AS n FROM grid g LEFT JOIN d ON d.cell = g.cell AND d.date = g.date)
@@ -182,7 +182,7 @@ FROM base WINDOW w AS (PARTITION BY cell ORDER BY date)""",
 )
 def panel_calendar_lags(spark, sf):
     """Daily lags over the full calendar of a long series with missing days."""
-    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderstatus = 'P'")
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
     counts = orders.groupBy(F.col("o_orderpriority").alias("cell"), F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n"))
     dense = densify(counts.withColumn("slot", F.lit(0)), ["cell"], calendar_days(counts), "slot", 1, ["n"])
     lagged = P.add_lags(dense, ["cell"], "slot", "n", (1, 7))

@@ -10,10 +10,10 @@ from tripweave.catalog.exploration import timed
 from tripweave.catalog.geometry import RING, sql_inside
 from tripweave.operators import hotspots
 from tripweave.operators.annotate import add_times
-from tripweave.operators.qc import structural
+from tripweave.operators.qc import parse
 from tripweave.session import write_through
 
-N = 5
+N = 10
 
 PEAK_SQL = f"""wk AS (SELECT * FROM trips WHERE NOT is_weekend), nd AS (SELECT count(DISTINCT date) AS weekdays FROM wk),
 pe AS (SELECT s_i AS i, s_j AS j, hour, 1 AS d FROM wk UNION ALL SELECT e_i, e_j, hour, 0 FROM wk),
@@ -54,7 +54,7 @@ def q_peak_cells(spark, sf):
     raw_sql("SELECT count(*) FILTER (broken0) AS bad_start, count(*) FILTER (broken1) AS bad_end, count(*) FILTER (t0 IS NULL) AS no_time FROM raw"),
 )
 def peak_input_violations(spark, sf):
-    return hotspots.input_violations(add_times(structural(raw_trips(spark, sf))))
+    return hotspots.input_violations(add_times(parse(raw_trips(spark, sf))))
 
 
 @query(

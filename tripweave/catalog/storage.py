@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tripweave.catalog.base import query, raw_trips, rounded, sql_workday, trips_sql
 from tripweave.catalog.cleaning import DROPS, raw_sql
-from tripweave.catalog.forecast import CUT, LABELLED, blocks, labelled
+from tripweave.catalog.forecast import CUT, LABELLED, blocks, labelled, slot_rows
 from tripweave.catalog.panels import morning_panel, panel_sql
 from tripweave.functions.clock import MORNING
 from tripweave.operators import bundle, features, folds, models, qc, scoring
@@ -90,16 +90,16 @@ def sink_result_csv(spark, sf):
 # ---- saved models -----------------------------------------------------------
 
 
-def saved_bundle(spark, sf, panel):
-    """Blocks and trees fitted on the days before the cut, and the factor of the days after it."""
-    train = panel.where(F.col("date") < F.lit(CUT))
-    chain = features.FeatureSet(blocks(spark, sf))
-    chain.blocks[0].pin(train.agg(F.min("date")).first()[0])
-    chain.fit(train)
+def saved_bundle(spark, sf, panel, until=None):
+    """Blocks and trees fitted on the days before `until`, or on all days, with a calibration factor."""
+    train = panel if until is None else panel.where(F.col("date") < F.lit(until))
+    chain = features.FeatureSet(blocks(spark, sf)).fit(train)
     columns = chain.columns
     prepared = models.boosted_columns(chain.transform_keeping(train), columns, "arrivals")
     model = models.boosted(columns, label="arrivals", rounds=3, depth=4).fit(prepared)
-    return bundle.Bundle(model, chain, 1.1, {"target": "arrivals", "trained_before": str(CUT)})
+    first_day = train.agg(F.min("date")).first()[0]
+    factor = models.level_factor(model, prepared, "arrivals")
+    return bundle.Bundle(model, chain, factor, {"target": "arrivals", "trained_before": str(until)}, first_day)
 
 
 def reloaded(spark, sf, saved):
@@ -110,49 +110,88 @@ def reloaded(spark, sf, saved):
     return bundle.Bundle.load(spark, path, fresh)
 
 
-@query("model_reload", trips_sql(f"{LABELLED} SELECT count(*) AS n, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS DOUBLE) AS max_difference FROM panel"))
+_SAME = trips_sql(f"{LABELLED} SELECT count(*) AS n, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS DOUBLE) AS max_difference FROM panel")
+
+
+@query("model_reload", _SAME)
 def model_reload(spark, sf):
-    """A saved bundle predicts from bare keys exactly what it predicted before saving."""
+    """A bundle of the model refitted on all days predicts from bare keys exactly what it predicted before saving."""
     panel = labelled(spark, sf)
     saved = saved_bundle(spark, sf, panel)
     again = reloaded(spark, sf, saved)
     return bundle.largest_difference(saved.predict(panel), again.predict(panel), ["block_id", "date", "slot"])
 
 
-@query("model_evaluate_bundle")
-def model_evaluate_bundle(spark, sf):
-    """The reloaded bundle scored on its deployment days only."""
+@query("model_day_alone", _SAME.replace("FROM panel", "FROM panel WHERE date = (SELECT max(date) FROM panel)"))
+def model_day_alone(spark, sf):
+    """The last day predicted alone equals the same day predicted with all others."""
     panel = labelled(spark, sf)
     again = reloaded(spark, sf, saved_bundle(spark, sf, panel))
+    last = F.col("date") == panel.agg(F.max("date")).scalar()
+    return bundle.largest_difference(again.predict(panel).where(last), again.predict(panel.where(last)), ["block_id", "date", "slot"])
+
+
+@query(
+    "model_evaluate_bundle",
+    trips_sql(f"{LABELLED} SELECT count(*) AS n, CAST(sum(arrivals) AS DOUBLE) AS obs_sum, true AS scored FROM panel WHERE date >= DATE '{CUT}'"),
+)
+def model_evaluate_bundle(spark, sf):
+    """The reloaded bundle on its deployment days only: rows, observed total, and that every row has a score."""
+    panel = labelled(spark, sf)
+    again = reloaded(spark, sf, saved_bundle(spark, sf, panel, CUT))
     later = panel.where(F.col("date") >= F.lit(CUT))
     preds = again.predict(later).join(later.select("block_id", "date", "slot", F.col("arrivals").alias("actual")), ["block_id", "date", "slot"])
-    return scoring.score(preds)
+    return scoring.score(preds).select("n", "obs_sum", ((F.col("poisson_deviance") >= 0) & (F.col("pred_sum") > 0)).alias("scored"))
 
 
-@query("model_ablation")
-def model_ablation(spark, sf):
-    """Score without each feature block in turn."""
-    panel = labelled(spark, sf)
-    found = folds.folds(panel, 3, "week_forward")[-1:]
+BLOCKS = ("calendar", "geometry", "trend", "profile", "weather")
+# Days that the folds of three blocks validate: from the first cut, the Monday nearest to a third of the days.
+_VALID = f"""{LABELLED}, dl AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p, count(*) OVER () AS d FROM (SELECT DISTINCT date FROM panel)),
+cut AS (SELECT p AS c FROM dl WHERE isodow(date) = 1 AND p < d - 1 AND p > 0 ORDER BY abs(p - d / 3e0), p LIMIT 1),
+valid AS (SELECT * FROM panel WHERE date >= (SELECT date FROM dl JOIN cut ON p = c))"""
 
-    def two_blocks():
-        return [b for b in blocks(spark, sf) if b.name in ("calendar", "geometry")]
 
-    return models.ablation(panel, found, two_blocks, "arrivals", rounds=2, depth=3)
+@query(
+    "model_ablation",
+    trips_sql(
+        f"""{_VALID}, t AS (SELECT 'arrivals' AS target, arrivals AS v FROM valid UNION ALL SELECT 'departures', departures FROM valid)
+SELECT target, dropped, count(*) AS n, CAST(sum(v) AS DOUBLE) AS obs_sum, true AS scored FROM t, (VALUES ('none'), {', '.join(f"('{b}')" for b in BLOCKS)}) AS b(dropped) GROUP BY 1, 2"""
+    ),
+)
+def model_ablation(spark, sf):
+    """All folds with every block and without each of the five in turn, for both targets."""
+    panel = labelled(spark, sf)
+    found = folds.folds(panel, 3, "week_forward")
+    parts = [
+        models.ablation(panel, found, lambda t=target: blocks(spark, sf, t), target, rounds=2, depth=3).withColumn("target", F.lit(target))
+        for target in features.TARGETS
+    ]
+    scored = (F.col("poisson_deviance") >= 0) & (F.col("pred_sum") > 0)
+    return parts[0].unionByName(parts[1]).select("target", "dropped", "n", "obs_sum", scored.alias("scored"))
 
 
 @query("model_search")
 def model_search(spark, sf):
-    """Folded loss of every combination of a small grid, on the scored units only."""
+    """Loss of every combination of a small grid over all folds, with the run's rows and weights."""
     panel = labelled(spark, sf)
-    found = folds.folds(panel, 3, "week_forward")[-1:]
-    units = features.top_units(panel, 20).select("block_id")
+    found, rows = folds.folds(panel, 3, "week_forward"), slot_rows(spark, sf, panel)
 
     def make(depth, rounds):
-        return models.feature_fit_predict(lambda: [blocks(spark, sf)[0]], "arrivals", depth=depth, rounds=rounds)
+        return models.feature_fit_predict(lambda: [blocks(spark, sf)[0]], "arrivals", rows, depth=depth, rounds=rounds)
+
+    return models.search(panel, found, make, {"depth": [2, 4], "rounds": [2]}, lambda preds: models.run_loss(preds, 0.3))
+
+
+@query("model_search_equals_run", "SELECT CAST(0 AS DOUBLE) AS difference, true AS known")
+def model_search_equals_run(spark, sf):
+    """The loss that a search reports for a combination against the loss of a run with it."""
+    panel = labelled(spark, sf)
+    found, rows = folds.folds(panel, 3, "week_forward"), slot_rows(spark, sf, panel)
 
-    def loss(preds):
-        scored = preds.join(F.broadcast(units), "block_id", "left_semi")
-        return scored.agg(F.avg(scoring.poisson_deviance("actual", "pred_raw")).alias("loss"))
+    def make(depth):
+        return models.feature_fit_predict(lambda: [blocks(spark, sf)[0]], "arrivals", rows, depth=depth, rounds=2)
 
-    return models.search(panel, found, make, {"depth": [2, 4], "rounds": [2]}, loss)
+    searched = models.search(panel, found, make, {"depth": [3]}, lambda preds: models.run_loss(preds, 0.3))
+    run = models.run_loss(models.walk_forward(panel, found, make(3)), 0.3)
+    both = searched.select(F.col("loss").alias("a")).join(F.broadcast(run.select(F.col("loss").alias("b"))), F.lit(True))
+    return both.select(F.abs(F.col("a") - F.col("b")).alias("difference"), (F.col("a") > 0).alias("known"))

@@ -9,6 +9,8 @@ from tripweave.functions import clock
 from tripweave.functions import geohash as gh
 
 CELL_LEVELS = (4, 5, 6)
+TIMES = ("duration_min", "date", "hour", "minute", "dow", "is_weekend", "slot_15", "slot_60")
+DISTANCES = ("crowfly_km", "implied_speed_kmh")
 
 
 def add_times(df: DataFrame) -> DataFrame:
@@ -61,9 +63,26 @@ def add_movement(df: DataFrame) -> DataFrame:
     )
 
 
-def annotate(df: DataFrame) -> DataFrame:
-    """All derived columns; the ones a query does not use are pruned away."""
-    return add_movement(add_places(add_times(df)))
+def annotate(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Derived columns: all, or what the listed ones need.
+
+    Decoding a cell is a step that the optimizer does not remove (see compute_once), so a caller that
+    reads times only says so, and neither cell column is scanned.
+    """
+
+    def wanted(*names: str) -> bool:
+        return columns is None or not set(names).isdisjoint(columns)
+
+    far = wanted(*DISTANCES)
+    levels = [n for n in CELL_LEVELS if wanted(f"start_cell{n}", f"end_cell{n}")]
+    places = [f"{side}_{what}" for side in ("start", "end") for what in ("i", "j", "lat", "lon")]
+    if far or wanted(*TIMES):
+        df = add_times(df)
+    if far or levels or wanted(*places):
+        df = add_places(df, levels)
+    if far:
+        return add_movement(df)
+    return df.withColumn("is_same_cell", F.col("start_geohash") == F.col("end_geohash")) if wanted("is_same_cell") else df
 
 
 def endpoints(df: DataFrame, keep: list[str] = (), level: int | None = None) -> DataFrame:

@@ -16,12 +16,16 @@ from tripweave.operators.models import boosted_columns, boosted_predictions
 class Bundle:
     """Model, fitted blocks, column order, calibration factor and notes.
 
-    Predicting needs the key columns, and lat and lon where a block asks for them.
+    Predicting needs the key columns, and lat and lon where a block asks for them. The window of the calendar starts at
+    `first_day`, the first training date, whatever days are predicted; a bundle without one is not saved.
     """
 
-    def __init__(self, model: PipelineModel, features: FeatureSet, factor: float = 1.0, meta: dict | None = None):
+    def __init__(self, model: PipelineModel, features: FeatureSet, factor: float = 1.0, meta: dict | None = None, first_day: date | None = None):
         self.model, self.features, self.factor = model, features, float(factor)
         self.meta = dict(meta or {})
+        for block in features.blocks:
+            if first_day is not None and getattr(block, "origin", first_day) is None:
+                block.origin = first_day
 
     def predict(self, keys: DataFrame) -> DataFrame:
         columns = self.features.columns
@@ -37,6 +41,8 @@ class Bundle:
 
     def save(self, path: str) -> None:
         """Write the model, one Parquet table per learnt table, and a JSON description."""
+        if any(getattr(block, "origin", 0) is None for block in self.features.blocks):
+            raise ValueError("the calendar's window has no first day")
         self.model.write().overwrite().save(f"{path}/model")
         spark = SparkSession.active()
         described: dict = {"factor": self.factor, "meta": self.meta, "columns": self.features.columns, "blocks": {}}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripweave.operators.folds import Fold
+from tripweave.operators.joins import member_of
 from tripweave.operators.scoring import measures
 
 # What a missing reading becomes for a tree; outside every feature's range.
@@ -64,13 +66,14 @@ def seasonal_naive_walk(blocked: DataFrame, keys: list[str], coarse: list[str],
 
 
 def glm(family: str, label: str = "n", numeric: list[str] = LAG_FEATURES, power: float = 1.4) -> Pipeline:
-    """Log-link count GLM on cell, hour and weekday effects plus numeric columns.
+    """Log-link count GLM on hour and weekday effects, the cell's level and numeric columns.
 
-    family="poisson", or "tweedie" whose variance grows as mean^power, for over-dispersed counts.
+    family="poisson", or "tweedie" whose variance grows as mean^power, for over-dispersed counts. A cell enters by the log
+    of its training mean, one column however many cells there are: the solver's normal equations take 4,096 at most.
     """
-    # Indexing text makes every effect a category; an unseen category gets the reference level.
+    # Indexing text makes hour and weekday categories; an unseen one gets the reference level.
     formula = RFormula(
-        formula=f"{label} ~ cell + hour_text + dow_text + " + " + ".join(numeric),
+        formula=f"{label} ~ hour_text + dow_text + cell_level + " + " + ".join(numeric),
         handleInvalid="keep", featuresCol="features", labelCol="label",
     )
     shape = {"variancePower": power, "linkPower": 0.0} if family == "tweedie" else {"link": "log"}
@@ -81,7 +84,8 @@ def glm(family: str, label: str = "n", numeric: list[str] = LAG_FEATURES, power:
 
 
 def glm_columns(df: DataFrame) -> DataFrame:
-    return df.withColumns({"hour_text": F.col("hour").cast("string"), "dow_text": F.col("dow").cast("string")})
+    level = F.log(F.greatest(F.col("cell_prior"), F.lit(0.01)))
+    return df.withColumns({"hour_text": F.col("hour").cast("string"), "dow_text": F.col("dow").cast("string"), "cell_level": level})
 
 
 def pearson_dispersion(model: PipelineModel) -> float:
@@ -90,18 +94,19 @@ def pearson_dispersion(model: PipelineModel) -> float:
 
 
 def boosted(
-    numeric: list[str], categorical: list[str] = (), label: str = "n", weight: str | None = None, depth: int = 5, rounds: int = 20, step: float = 0.1
+    numeric: list[str], categorical: list[str] = (), label: str = "n", weight: str | None = None, depth: int = 5, rounds: int = 20, step: float = 0.1, bins: int = 64
 ) -> Pipeline:
     """Gradient-boosted trees on log1p of the count; categories keep the training set's codes.
 
-    Spark trees have no Poisson objective, so the squared loss is taken on the log scale.
+    Spark trees have no Poisson objective, so the squared loss is taken on the log scale; level_factor() brings the mean
+    back. `bins` has to be at least the number of values of the largest category, see category_bins().
     """
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_code", handleInvalid="keep") for c in categorical]
     columns = [f"{c}_code" for c in categorical] + list(numeric)
     assemble = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
     trees = GBTRegressor(
         featuresCol="features", labelCol="log_label", predictionCol="log_pred", maxDepth=depth, maxIter=rounds,
-        stepSize=step, maxBins=64, seed=0, **({"weightCol": weight} if weight else {}),
+        stepSize=step, maxBins=bins, seed=0, **({"weightCol": weight} if weight else {}),
     )
     return Pipeline(stages=[*indexers, assemble, trees])
 
@@ -112,9 +117,24 @@ def boosted_columns(df: DataFrame, numeric: list[str], label: str | None = None)
     return df if label is None else df.withColumn("log_label", F.log1p(F.col(label).cast("double")))
 
 
-def boosted_predictions(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Predicted counts, never negative."""
-    return model.transform(df).withColumn("pred", F.greatest(F.expm1("log_pred"), F.lit(0.0)))
+def category_bins(df: DataFrame, categorical: list[str], least: int = 64) -> int:
+    """Bins that hold every value of each category and the code for unseen ones; one pass."""
+    if not categorical:
+        return least
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first()
+    return max(least, *[n + 1 for n in counts])
+
+
+def boosted_predictions(model: PipelineModel, df: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Predicted counts, never negative, times the factor that level_factor() found on the training rows."""
+    return model.transform(df).withColumn("pred", F.greatest(F.expm1("log_pred"), F.lit(0.0)) * F.lit(float(factor)))
+
+
+def level_factor(model: PipelineModel, prepared: DataFrame, label: str, weight: str | None = None) -> float:
+    """Observed over predicted total of the training rows: exp of a mean of logs lies below the mean."""
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    sums = boosted_predictions(model, prepared).agg(F.sum(w * F.col(label)).alias("seen"), F.sum(w * F.col("pred")).alias("made")).first()
+    return float(sums["seen"] / sums["made"]) if sums["made"] else 1.0
 
 
 # ---- walk-forward -----------------------------------------------------------
@@ -142,40 +162,90 @@ def glm_fit_predict(family: str) -> FitPredict:
     return run
 
 
-def boosted_fit_predict(numeric: list[str], categorical: list[str] = ("cell",), **options) -> FitPredict:
+def boosted_fit_predict(numeric: list[str], categorical: list[str] = (), **options) -> FitPredict:
+    """Trees on numeric columns, among them the cell's training mean, and on categories where they are wanted."""
+
     def run(train: DataFrame, valid: DataFrame) -> DataFrame:
         prepared = boosted_columns(with_cell_prior(train, train), numeric, "n").persist()
         try:
-            model = boosted(numeric, list(categorical), **options).fit(prepared)
+            model = boosted(numeric, list(categorical), bins=category_bins(prepared, list(categorical)), **options).fit(prepared)
+            factor = level_factor(model, prepared, "n")
         finally:
             prepared.unpersist()
-        return boosted_predictions(model, boosted_columns(with_cell_prior(train, valid), numeric))
+        return boosted_predictions(model, boosted_columns(with_cell_prior(train, valid), numeric), factor)
 
     return run
 
 
-def feature_fit_predict(blocks: Callable[[], list], target: str, horizon_units: DataFrame | None = None, **options) -> FitPredict:
-    """Feature blocks fitted on the training side, boosted trees on their columns."""
+@dataclass(frozen=True)
+class Rows:
+    """Which rows train, what they weigh and which count toward the score.
+
+    train_units and train_slots choose the training rows; score_units and score_slots the scored ones. Training rows that
+    are not scored weigh `off_target`, and a positive `group_weight` gives that share of the weight to the units of `group`
+    (a frame of block_id). Nothing given: every row trains, weighs one and is scored.
+    """
+
+    train_units: DataFrame | None = None
+    train_slots: object = "all"
+    score_units: DataFrame | None = None
+    score_slots: object = "all"
+    off_target: float = 1.0
+    group: DataFrame | None = None
+    group_weight: float = 0.0
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        """Columns scored and in_group of each row."""
+        from tripweave.operators import features
+
+        units = df.select("block_id").distinct() if self.score_units is None else self.score_units
+        marked = features.with_score_mask(df, units, self.score_slots)
+        if self.group is None:
+            return marked.withColumn("in_group", F.lit(False))
+        return member_of(marked, "block_id", self.group.select("block_id"), "in_group")
+
+    def training(self, df: DataFrame) -> DataFrame:
+        """The training rows with their weight."""
+        from tripweave.operators import features
+
+        kept = features.keep_slots(df, self.train_slots)
+        if self.train_units is not None:
+            kept = kept.join(self.train_units.select("block_id").distinct(), "block_id", "left_semi")
+        group = None if self.group is None else "in_group"
+        return features.with_row_weights(self.mark(kept), self.off_target, group, self.group_weight).drop("scored", "in_group")
+
+
+def feature_fit_predict(blocks: Callable[[], list], target: str, rows: Rows = Rows(), **options) -> FitPredict:
+    """Feature blocks fitted on the training rows, weighted boosted trees on their columns; predictions say which rows are
+    scored and which are in the group."""
     from tripweave.operators.features import FeatureSet
 
     def run(train: DataFrame, valid: DataFrame) -> DataFrame:
-        if horizon_units is not None:
-            train = train.join(horizon_units, "block_id", "left_semi")
-        features = FeatureSet(blocks()).fit(train)
+        chosen = rows.training(train)
+        features = FeatureSet(blocks()).fit(chosen.drop("weight"))
         numeric = features.columns
-        prepared = boosted_columns(features.transform_keeping(train), numeric, target).persist()
+        prepared = boosted_columns(features.transform_keeping(chosen), numeric, target).persist()
         try:
-            model = boosted(numeric, label=target, **options).fit(prepared)
+            model = boosted(numeric, label=target, weight="weight", **options).fit(prepared)
+            factor = level_factor(model, prepared, target, "weight")
         finally:
             prepared.unpersist()
-        scored = boosted_predictions(model, boosted_columns(features.transform_keeping(valid), numeric))
-        return scored.select("block_id", "date", "slot", F.col(target).alias("actual"), F.col("pred").alias("pred_raw"))
+        made = boosted_predictions(model, boosted_columns(features.transform_keeping(rows.mark(valid)), numeric), factor)
+        return made.select("block_id", "date", "slot", "scored", "in_group", F.col(target).alias("actual"), F.col("pred").alias("pred_raw"))
 
     return run
 
 
+def run_loss(preds: DataFrame, gamma: float | None = None) -> DataFrame:
+    """One row with the loss of the scored rows: the mean deviance, or with a gamma the blend of group and others."""
+    from tripweave.operators import scoring
+
+    losses = scoring.group_losses(preds.where("scored").withColumnRenamed("pred_raw", "pred"), "in_group")
+    return scoring.blend(losses, [0.0 if gamma is None else gamma], "off" if gamma is None else "group_mean").select("loss")
+
+
 def ablation(panel: DataFrame, found: list[Fold], blocks: Callable[[], list], target: str, **options) -> DataFrame:
-    """Score with every block, then without each of them."""
+    """Score over all folds with every block, then without each of them."""
     names = [b.name for b in blocks()]
     parts = []
     for dropped in [None, *names]:
@@ -187,7 +257,10 @@ def ablation(panel: DataFrame, found: list[Fold], blocks: Callable[[], list], ta
 
 
 def search(panel: DataFrame, found: list[Fold], make: Callable[..., FitPredict], grid: dict[str, Iterable], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Folded score of every parameter combination; `score` reduces predictions to one row with `loss`."""
+    """Score of every parameter combination over all folds; `score` reduces predictions to one row with `loss`.
+
+    `make` gets the combination and returns what a run with it would use, rows and weights included.
+    """
     names = sorted(grid)
     parts = []
     for values in product(*[list(grid[n]) for n in names]):

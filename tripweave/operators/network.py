@@ -16,12 +16,17 @@ def membership(gp_cells: DataFrame, arc_cells: DataFrame) -> DataFrame:
     return gp.unionByName(arc).distinct()
 
 
-def rollup(cells: DataFrame, members: DataFrame, values: list[str]) -> DataFrame:
+def rollup(cells: DataFrame, members: DataFrame, values: list[str], arcs: DataFrame | None = None) -> DataFrame:
     """Sum cell values per entity, date and slot, with present and missing member cells.
 
     Presence is over the whole table, not per slot. A cell may serve several arcs, so arc totals
-    overlap on purpose. The members are broadcast only after their size is checked.
+    overlap on purpose. The members are broadcast only after their size is checked. With `arcs`
+    (arc_id, from_gp, to_gp) the rows of arcs say which groups they join; both are NULL for groups.
+    Cells of which none is a member are refused: ids of another grid or network would sum to nothing.
     """
+    known = members.select(F.col("cell").alias("block_id")).distinct()
+    if not cells.select("block_id").join(known, "block_id", "left_semi").take(1):
+        raise ValueError("no cell of the table is a member of any entity")
     members = F.broadcast(members) if is_small(members) else members
     present = cells.select(F.col("block_id").alias("cell")).distinct().withColumn("_here", F.lit(1))
     coverage = members.join(present, "cell", "left").groupBy("kind", "id").agg(
@@ -30,7 +35,11 @@ def rollup(cells: DataFrame, members: DataFrame, values: list[str]) -> DataFrame
     joined = cells.withColumnRenamed("block_id", "cell").join(members, "cell")
     totals = joined.groupBy("kind", "id", "date", "slot").agg(*[F.sum(v).alias(f"{v}_total") for v in values])
     out = totals.join(coverage, ["kind", "id"])
-    return out.withColumns({f"{v}_per_cell": F.col(f"{v}_total") / F.greatest("n_cells", F.lit(1)) for v in values})
+    out = out.withColumns({f"{v}_per_cell": F.col(f"{v}_total") / F.greatest("n_cells", F.lit(1)) for v in values})
+    if arcs is None:
+        return out
+    ends = arcs.select(F.lit("arc").alias("kind"), F.col("arc_id").cast("string").alias("id"), "from_gp", "to_gp").distinct()
+    return out.join(F.broadcast(ends) if is_small(ends) else ends, ["kind", "id"], "left")
 
 
 def with_actuals(rolled: DataFrame, panel: DataFrame, members: DataFrame, target: str) -> DataFrame:

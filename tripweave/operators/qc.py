@@ -73,8 +73,8 @@ def missing_columns(raw: DataFrame) -> list[str]:
     return [c for c in REQUIRED if c not in raw.columns]
 
 
-def structural(raw: DataFrame) -> DataFrame:
-    """Flags of the raw text, with both times parsed and the text kept as *_text."""
+def parse(raw: DataFrame) -> DataFrame:
+    """Flags of each raw row by itself, with both times parsed and the text kept as *_text."""
     if missing_columns(raw):
         raise ValueError(f"input lacks the columns {missing_columns(raw)}")
     blank = reduce(or_, [F.coalesce(F.col(c), F.lit("")) == "" for c in REQUIRED])
@@ -91,8 +91,12 @@ def structural(raw: DataFrame) -> DataFrame:
             "end_time": clock.parse_minute(F.col("end_time_text")),
         }
     )
-    parsed = parsed.withColumn("qc_unparsed", F.col("start_time").isNull() | F.col("end_time").isNull())
-    return flag_duplicates(parsed, "order_id", "qc_dup_order")
+    return parsed.withColumn("qc_unparsed", F.col("start_time").isNull() | F.col("end_time").isNull())
+
+
+def structural(raw: DataFrame) -> DataFrame:
+    """The parsed rows with the flag of repeated keys, which counts all keys first."""
+    return flag_duplicates(parse(raw), "order_id", "qc_dup_order")
 
 
 def flag_duplicates(df: DataFrame, key: str, flag: str) -> DataFrame:
@@ -106,21 +110,32 @@ def flag_duplicates(df: DataFrame, key: str, flag: str) -> DataFrame:
     return lookup(df, repeated, [key]).withColumn(flag, _sure(F.col(flag)))
 
 
-def prefix_shares(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Share of trip ends per cell prefix, both ends pooled, and whether the prefix is kept."""
+def tally(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Trips per date and prefixes of both ends, written once: both side tables below read it instead of the trips.
+
+    Its size depends on days and prefixes, not on trips.
+    """
+    prefixes = {f"{side}_geohash": F.substring(f"{side}_geohash", 1, policy.prefix_length) for side in ("start", "end")}
+    counted = df.select("date", *[c.alias(n) for n, c in prefixes.items()]).groupBy("date", *prefixes).agg(F.count("*").alias("trips"))
+    return write_through(counted)
+
+
+def prefix_shares(df: DataFrame, policy: Policy = Policy(), weight: str | None = None) -> DataFrame:
+    """Share of trip ends per cell prefix, both ends pooled, and whether the prefix is kept. A row counts once, or as often
+    as its weight column says."""
     size = policy.prefix_length
+    times = F.lit(1) if weight is None else F.col(weight)
     ends = df.select(
-        F.explode(F.array(F.substring("start_geohash", 1, size), F.substring("end_geohash", 1, size))).alias("prefix")
+        times.alias("_times"), F.explode(F.array(F.substring("start_geohash", 1, size), F.substring("end_geohash", 1, size))).alias("prefix")
     )
-    counts = ends.groupBy("prefix").agg(F.count("*").alias("n"))
-    # Two ends per row: counting rows reads no column.
-    total = df.agg(2 * F.count("*")).scalar()
+    counts = ends.groupBy("prefix").agg(F.sum("_times").alias("n"))
+    total = df.agg(2 * (F.count("*") if weight is None else F.sum(weight))).scalar()
     return counts.withColumn("share", F.col("n") / total).withColumn("kept", F.col("share") >= policy.min_prefix_share)
 
 
-def daily_baseline(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def daily_baseline(df: DataFrame, policy: Policy = Policy(), weight: str | None = None) -> DataFrame:
     """Trips per day against a centred seven-row median; at most one row per calendar day."""
-    daily = df.where("date is not null").groupBy("date").agg(F.count("*").alias("trips"))
+    daily = df.where("date is not null").groupBy("date").agg((F.count("*") if weight is None else F.sum(weight)).alias("trips"))
     near = W.orderBy("date").rowsBetween(-3, 3)
     overall = daily.agg(F.percentile("trips", F.lit(0.5))).scalar()
     local = F.when(F.count("trips").over(near) >= 3, F.percentile("trips", F.lit(0.5)).over(near))
@@ -136,7 +151,7 @@ def derived_flags(df: DataFrame, policy: Policy = Policy(), basis: DataFrame | N
     Those are counted on `basis` (date and both cells of the same trips) where one is given, so that
     they read three columns instead of carrying the annotation along.
     """
-    basis = df if basis is None else basis
+    counts = tally(df if basis is None else basis, policy)
     minutes = F.col("duration_min")
     outside = F.lit(False)
     if policy.study_start is not None:
@@ -155,7 +170,7 @@ def derived_flags(df: DataFrame, policy: Policy = Policy(), basis: DataFrame | N
         }
     )
     # A kept prefix holds at least min_prefix_share of all ends, so at most 1/min_prefix_share exist.
-    kept = prefix_shares(basis, policy).where("kept").select("prefix")
+    kept = prefix_shares(counts, policy, "trips").where("kept").select("prefix")
     for side in ("start", "end"):
         found = F.broadcast(kept.select(F.col("prefix").alias(f"_{side}"), F.lit(True).alias(f"_{side}_in")))
         prefix = F.substring(f"{side}_geohash", 1, policy.prefix_length)
@@ -164,7 +179,7 @@ def derived_flags(df: DataFrame, policy: Policy = Policy(), basis: DataFrame | N
         "qc_cross_region", F.col("_start_in").isNull() | F.col("_end_in").isNull()
     ).drop("_start", "_end", "_start_in", "_end_in")
     # One row per calendar day at most.
-    low = F.broadcast(daily_baseline(basis, policy).where("low").select("date", F.lit(True).alias("qc_anomaly_day")))
+    low = F.broadcast(daily_baseline(counts, policy, "trips").where("low").select("date", F.lit(True).alias("qc_anomaly_day")))
     return flagged.join(low, "date", "left").withColumn("qc_anomaly_day", _sure(F.col("qc_anomaly_day")))
 
 

@@ -108,16 +108,16 @@ def blend(losses: DataFrame, gammas: list[float], mode: str = "group_mean") -> D
     """Blend the two group means for each gamma; nothing is refitted or rescanned.
 
     group_mean: gamma and 1 - gamma on the means, or the overall mean if a group is empty.
-    row_weighted: each row weighs gamma or 1 - gamma. off: the overall mean.
+    row_weighted: each row weighs gamma or 1 - gamma. off: the overall mean, once and without a gamma.
     """
     if mode not in ("group_mean", "row_weighted", "off") or not all(0 <= g <= 1 for g in gammas):
         raise ValueError("mode is group_mean, row_weighted or off, and gamma lies in [0, 1]")
+    if mode == "off":
+        return losses.withColumns({"gamma": F.lit(None).cast("double"), "loss": F.col("loss_all"), "mode": F.lit("off")})
     swept = losses.withColumn("gamma", F.explode(F.array(*[F.lit(float(g)) for g in gammas])))
     g, own, rest = F.col("gamma"), F.col("loss_group"), F.col("loss_other")
     empty = (F.col("n_group") == 0) | (F.col("n_other") == 0)
-    if mode == "off":
-        loss, label = F.col("loss_all"), F.lit("off")
-    elif mode == "row_weighted":
+    if mode == "row_weighted":
         in_weight, out_weight = g * F.col("n_group"), (1 - g) * F.col("n_other")
         weighted = F.coalesce(own, F.lit(0.0)) * in_weight + F.coalesce(rest, F.lit(0.0)) * out_weight
         loss, label = F.try_divide(weighted, in_weight + out_weight), F.lit("row_weighted")

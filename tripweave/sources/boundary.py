@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tripweave.functions.polygon import Ring
 from tripweave.operators.region import scanline_ring
 
-# A boundary is a parameter of a job; this many vertices is far beyond any drawn outline.
-MAX_VERTICES = 20_000
 
 
 def read_scanlines(spark: SparkSession, by_lon_path: str, by_lat_path: str) -> tuple[DataFrame, DataFrame]:
@@ -28,9 +26,13 @@ def read_scanlines(spark: SparkSession, by_lon_path: str, by_lat_path: str) -> t
     return tables[0], tables[1]
 
 
-def ring_from_scanlines(by_lon: DataFrame) -> Ring:
-    """The ring as a parameter: its vertices, after checking that there are few enough."""
-    vertices = scanline_ring(by_lon).orderBy("position").select("lat", "lon").take(MAX_VERTICES + 1)
-    if len(vertices) > MAX_VERTICES:
-        raise ValueError(f"more than {MAX_VERTICES} vertices: not a boundary")
+def ring_from_scanlines(by_lon: DataFrame, max_vertices: int | None = None) -> Ring:
+    """The ring as a parameter of a job: all its vertices, on the driver.
+
+    A drawn outline has few of them. `max_vertices` lets a caller refuse a table that is none.
+    """
+    ordered = scanline_ring(by_lon).orderBy("position").select("lat", "lon")
+    vertices = ordered.collect() if max_vertices is None else ordered.take(max_vertices + 1)
+    if max_vertices is not None and len(vertices) > max_vertices:
+        raise ValueError(f"more than {max_vertices} vertices: not a boundary")
     return [(v["lat"], v["lon"]) for v in vertices]
