@@ -6,13 +6,14 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
-from tripweave.session import local_session  # noqa: E402
+from tripweave.session import clean_up, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, "tripweave-tests", "4g")
     yield session
+    clean_up(session)
     session.stop()
 
 

@@ -10,6 +10,7 @@ from tripweave.catalog.base import DAY_TYPES, HOLIDAY, MAKEUP, query, rounded, s
 from tripweave.functions.clock import MORNING
 from tripweave.operators import cells, qc, ranking, spatiotemporal, temporal
 from tripweave.operators.annotate import add_movement, add_places, add_times
+from tripweave.operators.joins import lookup
 from tripweave.session import write_through
 
 KM = sql_haversine("start_lat", "start_lon", "end_lat", "end_lon")
@@ -424,3 +425,18 @@ SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r"""
 def rank_correlation(spark, sf):
     counts = cells.cell_counts(trips(spark, sf), 8)
     return rounded(ranking.average_rank_correlation(counts, "n_departures", "n_arrivals"), "rho")
+
+
+@query(
+    "lookup_beyond_limit",
+    trips_sql(
+        """c AS (SELECT start_geohash AS cell, count(*) AS n FROM trips GROUP BY 1 HAVING count(*) > 1)
+SELECT n, count(*) AS trips FROM trips LEFT JOIN c ON cell = end_geohash GROUP BY 1"""
+    ),
+)
+def lookup_beyond_limit(spark, sf):
+    """Departures of each trip's last cell, by the path of dimensions that are too large to broadcast (limit of one byte)."""
+    made = trips(spark, sf).select("order_id", F.col("end_geohash").alias("cell"))
+    starts = trips(spark, sf).groupBy(F.col("start_geohash").alias("cell")).agg(F.count("*").alias("n")).where("n > 1")
+    found = lookup(made, write_through(starts), ["cell"], limit=1)
+    return found.groupBy("n").agg(F.count("*").alias("trips"))

@@ -69,6 +69,18 @@ def write_through(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application wrote below its checkpoint folder: tables of write_through, checkpoints, scratch files.
+
+    Spark gives every application a folder of its own there, so nothing of others is touched. Call it when the results are
+    written elsewhere; frames read from those tables are unusable afterwards.
+    """
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write the frame to the checkpoint folder and cut its lineage there.
 
