@@ -21,23 +21,29 @@ library has it. One output row for each input row, repeated rows and ids include
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 19
 #: Words whose encodings a worker process keeps; the table starts anew when it is full.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 _NEVER = 1 << 60
 
-# The word pattern of byte-level BPE as its authors published it.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Validity of so many token pairs is kept as well.
+KEPT_PAIRS = 200_000
+
+# The word pattern of byte-level BPE as its authors published it, with white space, letters and numbers up to
+# U+024F spelled out.
+_S, _L, _N = "\t-\r \x85\xa0", "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
 def byte_letters() -> list[str]:
@@ -50,6 +56,25 @@ def byte_letters() -> list[str]:
     return out
 
 
+def token_bytes(spec: dict) -> list[bytes]:
+    """The bytes of each id."""
+    to_byte = {letter: b for b, letter in enumerate(byte_letters())}
+    out = {i: bytes(to_byte[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+    for token in spec["added_tokens"]:
+        out[token["id"]] = token["content"].encode()
+    return [out.get(i, b"") for i in range(max(out) + 1)]
+
+
+class Decoder:
+    """A vocabulary's ids to text: no more than the bytes of each id."""
+
+    def __init__(self, definition: str) -> None:
+        self._bytes = token_bytes(json.loads(definition))
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self._bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
 class Encoder:
     """One vocabulary, given as the text of a tokenizers file."""
 
@@ -62,13 +87,12 @@ class Encoder:
         added = spec["added_tokens"]
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("special tokens that take neighbouring text with them are not supported")
-        to_byte = {letter: b for b, letter in enumerate(byte_letters())}
-        self.bytes = {i: bytes(to_byte[c] for c in token) for token, i in model["vocab"].items()}
+        self.bytes = token_bytes(spec)
         self.special = {t["content"]: t["id"] for t in added}
-        names = sorted(map(regex.escape, self.special), key=len, reverse=True)
-        self._split = regex.compile(f"({'|'.join(names)})") if names else None
-        self._words = regex.compile(WORDS)
-        self._ids = {b: i for i, b in self.bytes.items()}
+        names = sorted(map(re.escape, self.special), key=len, reverse=True)
+        self._split = re.compile(f"({'|'.join(names)})") if names else None
+        self._words = re.compile(WORDS)
+        self._ids = {self.bytes[i]: i for i in model["vocab"].values()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         vocab, self._rank, self._made = model["vocab"], {}, {}
         for rank, (left, right) in enumerate(merges):
@@ -81,9 +105,8 @@ class Encoder:
         if any(bytes([b]) not in self._ids for b in range(256)):
             raise ValueError("a byte has no token")
         self._longest = max(map(len, self._ids))
-        self._kept: dict[str, list[int]] = {}
-        for i in self.special.values():
-            self.bytes.setdefault(i, next(k for k, v in self.special.items() if v == i).encode())
+        self._kept: dict[str, bytes] = {}
+        self._pairs: dict[int, bool] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge of a token while it is built, each with the rank of the merge that ends it."""
@@ -122,10 +145,12 @@ class Encoder:
                     return False
         return True
 
-    def encode_words(self, words: list[str]) -> Iterator[list[int]]:
-        """Encodings of words that are sorted by their UTF-8 bytes."""
-        ids, valid, longest = self._ids, self.valid, self._longest
+    def encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Encodings (ids as 32-bit integers) of words that are sorted by their UTF-8 bytes."""
+        find, valid, longest, pairs = self._ids.get, self.valid, self._longest, self._pairs
         last, before = [-1], b""
+        if len(pairs) > KEPT_PAIRS:
+            pairs.clear()
         for word in words:
             raw, shared = word.encode(), 0
             for x, y in zip(raw, before):
@@ -135,16 +160,25 @@ class Encoder:
             del last[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
                 for start in range(max(0, end - longest), end):
-                    token = ids.get(raw[start:end])
-                    if token is not None and (not start or valid(last[start], token)):
-                        last.append(token)
-                        break
+                    token = find(raw[start:end])
+                    if token is None:
+                        continue
+                    if start:
+                        pair = last[start] << 32 | token
+                        fits = pairs.get(pair)
+                        if fits is None:
+                            fits = pairs[pair] = valid(last[start], token)
+                        if not fits:
+                            continue
+                    last.append(token)
+                    break
             out, end = [], len(raw)
             while end:
                 out.append(last[end])
                 end -= len(self.bytes[last[end]])
             before = raw
-            yield out[::-1]
+            out.reverse()
+            yield array("i", out).tobytes()
 
     def pieces(self, text: str) -> Iterator[str]:
         at = 0
@@ -156,7 +190,7 @@ class Encoder:
             at = gap.start()
         yield text[at:]
 
-    _gap = regex.compile(r"(?<=\S) (?=\S)")
+    _gap = re.compile(r"(?<=\S) (?=\S)")
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. The texts' distinct new words are put through the trie together."""
@@ -167,13 +201,13 @@ class Encoder:
             yield np.concatenate([ids for part in self._parts(text) for piece in self.pieces(part) for ids in self._whole([piece])])
 
     def _cut(self, text: str) -> list[str]:
-        """Words of the pre-tokenizer. The pattern's classes are the same in every Unicode version up to U+024F; a text
-        with characters beyond goes through the library's own pre-tokenizer, so that both agree on what a letter is."""
+        """Words of the pre-tokenizer. A text with characters beyond U+024F goes through the library's own, so that both
+        agree on what a letter is."""
         if self._beyond.search(text) is None:
             return self._words.findall(text)
         return [text[a:b] for _, (a, b) in self._before.pre_tokenize_str(text)]
 
-    _beyond = regex.compile(r"[^\u0000-\u024f]")
+    _beyond = re.compile(r"[^\u0000-\u024f]")
     _before = ByteLevel(add_prefix_space=False, use_regex=True)
 
     def _parts(self, text: str) -> list[str]:
@@ -195,25 +229,22 @@ class Encoder:
             kept.clear()
             new = set(chain.from_iterable(split))
         for name, i in special.items():
-            kept[name] = [i]
+            kept[name] = array("i", [i]).tobytes()
             new.discard(name)
         order = sorted(new, key=str.encode)
         kept.update(zip(order, self.encode_words(order)))
         for words in split:
-            yield np.fromiter(chain.from_iterable(map(kept.__getitem__, words)), dtype=np.int32)
-
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+            yield np.frombuffer(b"".join(map(kept.__getitem__, words)), dtype=np.int32)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_MADE: dict[tuple[type, str], Encoder | Decoder] = {}
 
 
-def _encoder(definition: str) -> Encoder:
+def _shared(kind: type, definition: str) -> Encoder | Decoder:
     """One for each worker process and vocabulary."""
-    if definition not in _ENCODERS:
-        _ENCODERS[definition] = Encoder(definition)
-    return _ENCODERS[definition]
+    if (kind, definition) not in _MADE:
+        _MADE[kind, definition] = kind(definition)
+    return _MADE[kind, definition]
 
 
 def read_definition(path: str) -> str:
@@ -242,7 +273,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def run(batches):
-        encoder = _encoder(definition.value)
+        encoder = _shared(Encoder, definition.value)
         for batch in batches:
             for first, texts in slices(batch.column(1)):
                 found = list(encoder.encode(texts))
@@ -258,11 +289,11 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
     definition = encoded.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def run(batches):
-        encoder = _encoder(definition.value)
+        decoder = _shared(Decoder, definition.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [encoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in part.column(1)]
+                texts = [decoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
