@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tripweave.session import write_through
 
-#: A written side of at most so many rows of a few fixed-width columns (16-24 bytes a row, so 24 MB) is broadcast.
+#: A written side of at most so many rows of a few fixed-width columns (16-24 bytes a row, so 48 MB) is broadcast.
 #: Beyond it both sides are shuffled, and adaptive execution splits skewed keys.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 2_000_000
 
 
 def sized(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

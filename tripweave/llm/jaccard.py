@@ -6,12 +6,12 @@ q * |A & B| >= p * |A | B|. The join is exact up to collisions of 64-bit hashes.
 * Parity sketch: a token's hash picks a block, and the token flips its bits there, so a block holds the XOR of its
   tokens. A token on which two sets differ touches one block only: the number of blocks that differ is a lower bound of
   the symmetric difference. If A is the smaller set, linked sets differ in at most d = floor(|A| (q - p) / p) tokens.
-* Pigeonhole for each size band: sets whose smaller one lies in a band use the same d and the same number of blocks, and
-  at most d blocks of either differ. Take the first d + 1 non-empty blocks of both: the first one that is equal in both
-  is among them, because at most d differing ones precede it. So linked sets share one of d + 1 keys (band, block, XOR).
-  A set with d non-empty blocks or fewer gives all of them and one key for the rest of its band.
+* Pigeonhole for each size band: sets whose smaller one lies in a band use the same d and the same number of blocks, a few
+  more than d, and at most d non-empty blocks of either differ. So linked sets with x and y non-empty blocks share at least
+  max(x, y) - d keys (band, block, XOR). A set with d non-empty blocks or fewer gives one key more, for the rest of its
+  band, which any two such sets share.
 * Keys meet by a partial aggregation. Classes that share a key with at most CROWD classes are paired, if their sizes
-  allow a link, and a pair is dropped when the Hamming distance of its bit sketches (each token flips one bit; about a bit
+  allow a link. A pair is dropped when it shares too few keys (unless one of them is crowded), and when the Hamming distance of its bit sketches (each token flips one bit; about a bit
   for each token), which is a lower bound of the symmetric difference too, is too large. In a crowded key, each class
   hangs on the smallest one instead, so that no crowd is written out as pairs.
 * Components of these hints are independent clusters: no link leaves a cluster. In a cluster, finer sketches are compared
@@ -63,11 +63,12 @@ def blocks(d: int) -> int:
     return math.ceil((1.5 if d < 64 else 1.2 if d < 256 else 1.12) * (d + 1))
 
 
-def block_keys(tokens: np.ndarray, p: int, q: int) -> np.ndarray:
-    """The keys under which a set (sorted distinct 64-bit hashes) can meet any set it links to."""
+def block_keys(tokens: np.ndarray, p: int, q: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, need, keys) for each band in which a set (sorted distinct 64-bit hashes) can meet a set it links to. Linked
+    sets share at least the need of either in the band of the smaller one."""
     size = len(tokens)
     if not size:
-        return np.zeros(0, np.uint64)
+        return []
     starts = band_starts(size)
     own = len(starts) - 2
     smallest = -(-size * p // q)  # of a set that links to this one
@@ -82,10 +83,11 @@ def block_keys(tokens: np.ndarray, p: int, q: int) -> np.ndarray:
         first = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
         parity = np.bitwise_xor.reduceat(tokens * _SALT[0], first)
         place = mix(block[first] + np.uint64(band << 40))
-        out.append(mix(parity ^ place)[: d + 1])
+        keys = mix(parity ^ place)
         if len(first) <= d:
-            out.append(mix(np.array([band], np.uint64) + _SALT[1]))
-    return np.concatenate(out)
+            keys = np.append(keys, mix(np.array([band], np.uint64) + _SALT[1]))
+        out.append((band, max(1, len(first) - d), keys))
+    return out
 
 
 def class_id(tokens: np.ndarray) -> int:
@@ -102,18 +104,26 @@ def token_sets(column, n: int) -> Iterator[np.ndarray]:
 
 def _signatures(n: int, p: int, q: int):
     def run(batches):
-        for batch in batches:
-            sizes, names, keys, ends, sketches = [], [], [], [0], []
+        # A row holds hundreds of keys: few rows at a time keep the worker and the Arrow buffers small.
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            sizes, names, keys, bands, needs, ends, sketches = [], [], [], [], [], [0], []
             for tokens in token_sets(batch.column(2), n):
                 sizes.append(len(tokens))
                 names.append(class_id(tokens) if len(tokens) else None)
-                keys.append(block_keys(tokens, p, q))
-                ends.append(ends[-1] + len(keys[-1]))
+                found = block_keys(tokens, p, q)
+                keys += [k for _, _, k in found]
+                bands += [np.full(len(k), band, np.int32) for band, _, k in found]
+                needs += [np.full(len(k), need, np.int32) for _, need, k in found]
+                ends.append(ends[-1] + sum(len(k) for _, _, k in found))
                 sketches.append(bit_sketches([tokens], 1)[0].tobytes() if len(tokens) else b"")
-            flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+            none = np.zeros(0, np.int32)
+            flat = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.concatenate([*bands, none])), pa.array(np.concatenate([*needs, none]))],
+                names=["key", "band", "need"],
+            )
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(sketches, pa.binary())],
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(sketches, pa.binary())],
                 names=["row", "id", "size", "class", "keys", "sketch"],
             )
 
@@ -244,20 +254,24 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("similarity must be a fraction p / q, 0 < p <= q")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = write_through(rows.mapInArrow(_signatures(n, p, q), f"row bigint, id {kind}, size bigint, class bigint, keys array<bigint>, sketch binary"))
+    signed = write_through(rows.mapInArrow(_signatures(n, p, q), f"row bigint, id {kind}, size bigint, class bigint, keys array<struct<key:bigint,band:int,need:int>>, sketch binary"))
 
-    keyed = signed.where("class IS NOT NULL").select("class", "size", F.explode("keys").alias("key"))
+    keyed = signed.where("class IS NOT NULL").select("class", "size", F.inline("keys"))
     shared = write_through(keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key", "least"))
-    meeting = write_through(keyed.join(sized(shared), "key").groupBy("key", "least", "class").agg(F.max("size").alias("size")))
+    meeting = write_through(keyed.join(sized(shared), "key").groupBy("key", "least", "class").agg(*[F.max(c).alias(c) for c in ("size", "band", "need")]))
     crowds = write_through(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD).select("key"))
     candidates = write_through(meeting.select("class").distinct())
     classes = write_through(
         signed.join(sized(candidates), "class").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), F.first("sketch").alias("sketch"))
     )
-    few = meeting.join(sized(crowds), "key", "left_anti").select("key", "class", "size")
-    other = few.select("key", F.col("class").alias("other"), F.col("size").alias("other_size"))
+    few = meeting.join(sized(crowds), "key", "left_anti").select("key", "class", "size", "band", "need")
+    other = few.select("key", F.col("class").alias("other"), F.col("size").alias("other_size"), F.col("need").alias("other_need"))
     fits = f"class < other AND {q} * least(size, other_size) >= {p} * greatest(size, other_size)"
-    pairs = few.join(other, "key").where(fits).select("class", "other", (F.col("size") + F.col("other_size")).alias("sizes")).distinct()
+    shares = few.join(other, "key").where(fits).groupBy("class", "other", "band").agg(
+        F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need", "other_need")).alias("need"), F.max(F.col("size") + F.col("other_size")).alias("sizes")
+    )
+    # Two classes that share a crowded key hang together anyway; of all others every shared key is counted here.
+    pairs = shares.where("shared >= need").select("class", "other", "sizes").distinct()
     sketched = pairs.join(classes.select("class", "sketch"), "class").join(
         classes.select(F.col("class").alias("other"), F.col("sketch").alias("other_sketch")), "other"
     )
