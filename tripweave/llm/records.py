@@ -21,7 +21,9 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from .arrow_text import raw_bytes
 from .bpe import byte_letters, read_definition
 
 #: Chunks of text (what white space separates) whose encodings a worker process keeps.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 300_000
 PIECE_BYTES = 1 << 20
 _HEAD, _CRC, _OWN = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BBq")
 
@@ -93,26 +95,39 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._letters = byte_letters()
         self._special = [t["content"] for t in spec["added_tokens"]]
+        if any("<" not in s for s in self._special):
+            self.by_chunk = False
         self._plain = re.compile(f"[\x21-\x7e{self._LATIN}]+")
         self._cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{self._LATIN}]+|[0-9]|[^a-z0-9{self._LATIN}]+")
         self._chunks: dict[bytes, bytes] = {}
-        self._pieces: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        found = self._pieces.get(piece)
-        if found is None:
-            if len(self._pieces) >= KEPT_CHUNKS:
-                self._pieces.clear()
-            found = self._pieces[piece] = [t.id for t in self.tokenizer.model.tokenize("".join(map(self._letters.__getitem__, piece.encode())))]
+        self._pieces: dict[str, bytes] = {}
+
+    def _ids(self, ids: list[int]) -> bytes:
+        out = array("H" if self.dtype.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece of the pattern, lower-cased, by the library's model."""
+        if len(self._pieces) >= KEPT_CHUNKS:
+            self._pieces.clear()
+        letters = piece if piece.isascii() else "".join(map(self._letters.__getitem__, piece.encode()))
+        found = self._pieces[piece] = self._ids([t.id for t in self.tokenizer.model.tokenize(letters)])
         return found
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if self._plain.fullmatch(text) and not any(s in text for s in self._special):
-            ids = [i for piece in self._cut.findall(text.lower()) for i in self._piece(piece)]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Encode chunks that are not kept yet."""
+        kept, known, piece = self._chunks, self._pieces.get, self._piece
+        plain, cut = self._plain.fullmatch, self._cut.findall
+        # No chunk holds a newline.
+        for chunk, text in zip(chunks, b"\n".join(chunks).decode("utf-8", "replace").split("\n")):
+            if not plain(text) or ("<" in text and any(s in text for s in self._special)):
+                kept[chunk] = self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                continue
+            text = text.lower()
+            found = known(text)
+            kept[chunk] = b"".join([known(p) or piece(p) for p in cut(text)]) if found is None else found
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text in UTF-8, as little-endian integers of dtype."""
@@ -127,12 +142,12 @@ class ChunkEncoder:
             chunks = text[at:to].split()
             at = to
             kept = self._chunks
-            new = [c for c in set(chunks) if c not in kept]
+            new = set(chunks).difference(kept)
             if len(kept) + len(new) > KEPT_CHUNKS:
                 kept.clear()
                 new = set(chunks)
-            for chunk in new:
-                kept[chunk] = self._chunk(chunk)
+            if new:
+                self._learn(list(new))
             out.append(b"".join(map(kept.__getitem__, chunks)))
         return b"".join(out)
 
