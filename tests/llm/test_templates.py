@@ -73,3 +73,24 @@ def test_classes_and_nesting():
 
 def test_path_of_marks_with_slashes():
     assert templates._parent("/html/body/div[class=a/b]") == "/html/body" and templates._parent("/html") == ""
+
+
+def test_marks_of_html_and_body_are_no_boilerplate(spark):
+    page = "<html class='with-header'><body class='post has-sidebar'><div class='menu'>Menu</div><article>Text {0}</article></body></html>"
+    assert run(spark, [(k, "http://s.org/", page.format(k)) for k in range(4)]) == {k: f"Text {k}" for k in range(4)}
+
+
+def test_marks_of_one_page(spark):
+    """Marks that only one page or some pages have do not hide the main container or a repeated menu from the template."""
+    page = "<body class='postid-{0}'><div id='w-{0}'>Popular {1}</div><article id='post-{0}' class='post {2}'>Text {0}</article><div id='x-{0}'>More {1}</div></body>"
+    rows = [(k, "http://p.org/", page.format(k, "things", ("news", "news", "news", "sport", "art")[k])) for k in range(5)]
+    assert run(spark, rows) == {k: f"Text {k}" for k in range(5)}
+    page = "<body class='postid-{0}'><div id='w-{0}'>Popular things</div><div id='post-{0}'>Text {0}</div><div>More things</div></body>"
+    assert run(spark, [(k, "http://q.org/", page.format(k)) for k in range(5)]) == {k: f"Text {k}" for k in range(5)}
+
+
+def test_marks_with_slashes(spark):
+    page = "<body><div class='w-1/2 md:w-[50%]'><div>Menu</div><p>Text {0}</p></div></body>"
+    assert run(spark, [(k, "http://u.org/", page.format(k)) for k in range(4)]) == {k: f"Text {k}" for k in range(4)}
+    page = "<body><div class='a/main'>Menu</div><div>Text {0}</div></body>"
+    assert run(spark, [(k, "http://v.org/", page.format(k)) for k in range(4)]) == {k: f"Text {k}" for k in range(4)}

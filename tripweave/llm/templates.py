@@ -1,13 +1,13 @@
 """Main text of web pages by deducing each host's template from equivalence classes of tokens.
 
 A page's tokens are its tags and its runs of text, each with the path of containers it stands in (elements that hold other
-blocks, with class and id). A token's occurrence vector says how often it occurs on each page of the host. Tokens with the
+blocks, with those words of class, id and role that SHARE of the host's pages give such an element). A token's occurrence vector says how often it occurs on each page of the host. Tokens with the
 same vector are an equivalence class: what one piece of the host's template wrote. A class is valid if it is frequent (on
 SHARE of the host's pages) and nested: the container its tokens stand in is itself in a valid class. Valid classes, nested
 by their paths, are the template; what lies between their tokens are slots.
 
 Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are boilerplate,
-told by element or by the words of class, id and role. If the template has article or main containers, the text in those is
+told by element or by the words of class, id and role (those of html and body say nothing). If the template has article or main containers, the text in those is
 the main text. If not, it is all other slots, without the runs of text that are themselves in the template (on SHARE of
 at least RUN_PAGES pages). A page without the main container of its host's template is read as if there were none.
 
@@ -50,6 +50,7 @@ INLINE = frozenset(
 SKIPPED = frozenset("head header footer nav aside form menu dialog".split())
 RAW = frozenset("script style noscript template iframe svg math object select textarea button title canvas audio video".split())
 MAIN = frozenset(("article", "main"))
+PAGE = frozenset(("html", "body"))
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer masthead "
     "notice cookie cookies consent popup modal overlay newsletter subscribe share sharing social related recommended comment comments disqus login signup "
@@ -59,81 +60,113 @@ BOILERPLATE = frozenset(
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)""", re.S)
 _MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
+_BRACKETS = re.compile(r"\[[^\]]*\]")
+_CODED = {ord(c): f"%{ord(c):02X}" for c in "%/[]"}
 
 
-def marks(attributes: str) -> str:
-    """Class, id and role of a tag, in the order of their names."""
+def marks(attributes: str) -> tuple[str, ...]:
+    """Class words, id and role of a tag as sorted "name=value"."""
     if "=" not in attributes:
-        return ""
-    found = sorted((name.lower(), value.strip("\"'").lower()) for name, value in _MARK.findall(attributes))
-    return "".join(f"[{name}={value}]" for name, value in found)
+        return ()
+    found = set()
+    for name, value in _MARK.findall(attributes):
+        value = value.strip("\"'").lower()
+        found |= {f"{name.lower()}={v}" for v in (value.split() if name.lower() == "class" else [value.strip()]) if v}
+    return tuple(sorted(found))
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """The page in order: ("open", name, marks), ("close", name, "") and ("text", run, "") with references still coded.
+def step_name(name: str, found: tuple[str, ...]) -> str:
+    """A tag with its marks as one step of a path; signs that part steps and marks are written as %XX."""
+    return name + "".join(f"[{m.translate(_CODED)}]" for m in found)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+    """The page in order: ("open", name, marks), ("close", name, ()) and ("text", run, ()) with references still coded.
     What scripts, styles and other raw elements hold is left out; comments vanish without a break."""
     at, end = 0, len(page)
     while at < end:
         tag = _TAG.search(page, at)
         if tag is None:
-            yield "text", page[at:], ""
+            yield "text", page[at:], ()
             return
         if tag.start() > at:
-            yield "text", page[at : tag.start()], ""
+            yield "text", page[at : tag.start()], ()
         at = tag.end()
         name = (tag[2] or tag[5] or "").lower()
         if not name:
             continue
         if tag[1] or tag[4]:
-            yield "close", name, ""
+            yield "close", name, ()
         elif name in RAW:
             attributes = tag[3] or tag[6] or ""
             if not attributes.endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else end
-            yield "open", name, ""
-            yield "close", name, ""
+            yield "open", name, ()
+            yield "close", name, ()
         else:
             yield "open", name, marks(tag[3] or tag[6] or "")
 
 
 class Path:
-    """The stack of open containers. An end tag closes the innermost container of its name and all within, if there is one."""
+    """The stack of open containers. An end tag closes the innermost container of its name and all within, if there is one.
+    Steps are compared by name and by the marks that are frequent on the host (name, mark); html and body, of which a page
+    has one, by name alone. Boilerplate words are looked for in all marks of the page, but not in those of html and body."""
 
-    def __init__(self) -> None:
+    def __init__(self, frequent: frozenset[tuple[str, str]]) -> None:
+        self.frequent = frequent
         self.names: list[str] = []
-        self.steps: list[str] = []
+        self.steps: list[str] = []  # paths with frequent marks
+        self.bare: list[str] = []  # paths of names alone
+        self.skips: list[bool] = []
 
-    def open(self, name: str, mark: str) -> None:
+    def open(self, name: str, found: tuple[str, ...]) -> None:
+        kept = () if name in PAGE else tuple(m for m in found if (name, m) in self.frequent)
         self.names.append(name)
-        self.steps.append(f"{self.steps[-1] if self.steps else ''}/{name}{mark}")
+        self.steps.append(f"{self.text}/{step_name(name, kept)}")
+        self.bare.append(f"{self.bare[-1] if self.bare else ''}/{name}")
+        self.skips.append(self.skip or boilerplate(name, found))
 
     def close(self, name: str) -> None:
         if name in self.names:
-            while self.names.pop() != name:
-                self.steps.pop()
-            self.steps.pop()
+            while self._pop() != name:
+                pass
+
+    def _pop(self) -> str:
+        self.steps.pop()
+        self.bare.pop()
+        self.skips.pop()
+        return self.names.pop()
 
     @property
     def text(self) -> str:
         return self.steps[-1] if self.steps else ""
 
+    @property
+    def skip(self) -> bool:
+        return bool(self.skips) and self.skips[-1]
+
 
 def plain(run: str) -> str:
     return " ".join(html.unescape(run).split())
 
 
-def page_tokens(page: str) -> Counter:
+def page_marks(page: str) -> set[tuple[str, str]]:
+    """The marks (name, mark) of the page's containers."""
+    return {(value, m) for kind, value, found in tokens(page) if kind == "open" and value in CONTAINERS and value not in PAGE for m in found}
+
+
+def page_tokens(page: str, frequent: frozenset[tuple[str, str]]) -> Counter:
     """How often each token (path, kind, name) occurs; the kind is tag or run."""
     found: Counter = Counter()
-    path = Path()
+    path = Path(frequent)
     for kind, value, mark in tokens(page):
         if kind == "open":
             if value in CONTAINERS:
                 path.open(value, mark)
                 found[path.text, "tag", value] += 1
             else:
-                found[path.text, "tag", f"{value}{mark}"] += 1
+                found[path.text, "tag", step_name(value, mark)] += 1
         elif kind == "close":
             found[path.text, "tag", f"/{value}"] += 1
             if value in CONTAINERS:
@@ -150,24 +183,22 @@ def run_name(run: str) -> str:
     return run if len(run) <= 200 else f"{run[:100]}\n{len(run)}\n{hashlib.md5(run.encode('utf-8', 'replace')).hexdigest()}"
 
 
-def skipped(step: str) -> bool:
-    """Whether a path has a container of boilerplate."""
-    for part in step.split("/")[1:]:
-        name, _, mark = part.partition("[")
-        if name in SKIPPED or (mark and not BOILERPLATE.isdisjoint(_WORD.findall(mark))):
-            return True
-    return False
+def boilerplate(name: str, found: tuple[str, ...]) -> bool:
+    """Whether a container is boilerplate by its element or by the words of its marks."""
+    return name in SKIPPED or (name not in PAGE and any(not BOILERPLATE.isdisjoint(_WORD.findall(m)) for m in found))
 
 
-def main_path(step: str) -> bool:
-    return any(part.partition("[")[0] in MAIN for part in step.split("/")[1:]) and not skipped(step)
+def bare(path: str) -> str:
+    """A path without marks."""
+    return _BRACKETS.sub("", path)
 
 
-def extract(page: str, paths: frozenset[str], runs: frozenset[tuple[str, str]]) -> str:
-    """Main text of a page under a template given by its container paths and its runs (path, text)."""
-    mains = {p for p in paths if main_path(p)}
+def extract(page: str, paths: frozenset[str], runs: frozenset[tuple[str, str]], frequent: frozenset[tuple[str, str]]) -> str:
+    """Main text of a page under a template given by its container paths and its runs (path, text). Main containers are
+    known again by the names on their path, whatever marks a page gives them."""
+    mains = {b for b in map(bare, paths) if not MAIN.isdisjoint(b.split("/"))}
     blocks: list[tuple[bool, list[str], list[tuple[str, str]]]] = []  # in a main container, runs as written, runs as tokens
-    path, inside, skip, new = Path(), False, False, True
+    path, inside, skip, new = Path(frequent), False, False, True
     for kind, value, mark in tokens(page):
         if kind == "text":
             if skip:
@@ -184,8 +215,8 @@ def extract(page: str, paths: frozenset[str], runs: frozenset[tuple[str, str]])
                 path.open(value, mark)
             else:
                 path.close(value)
-            skip = skipped(path.text)
-            inside = any(step in mains for step in path.steps)
+            skip = path.skip
+            inside = not mains.isdisjoint(path.bare)
         if value not in INLINE:
             new = True
     if any(in_main for in_main, _, _ in blocks):
@@ -195,20 +226,41 @@ def extract(page: str, paths: frozenset[str], runs: frozenset[tuple[str, str]])
     return "\n".join(t for t in texts if t)
 
 
+def frequent_marks(pages: DataFrame, *, share: float = SHARE) -> DataFrame:
+    """For pages (host, html): host, and the marks of containers on share of its pages as an array of (name, mark)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(host, *m) for host, page in zip(*(c.to_pylist() for c in batch.columns)) for m in page_marks(page or "")]
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["host", "name", "mark"])
+
+    found = pages.select("host", "html").mapInArrow(run, "host string, name string, mark string")
+    counted = found.groupBy("host", "name", "mark").agg(F.count(F.lit(1)).alias("on_pages"))
+    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    kept = counted.join(sizes, "host").where(F.col("on_pages") >= share * F.col("pages"))
+    return kept.groupBy("host").agg(F.collect_list(F.struct("name", "mark")).alias("marks"))
+
+
+def mark_set(marks: list[dict] | None) -> frozenset[tuple[str, str]]:
+    return frozenset((m["name"], m["mark"]) for m in marks or ())
+
+
 def templates(pages: DataFrame, *, share: float = SHARE) -> DataFrame:
-    """For pages (host, page number, html): host, and its template as an array of (path, kind, name, class)."""
+    """For pages (host, page number, html, frequent marks of the host): host, and its template as an array of (path, kind,
+    name, class)."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for host, number, page in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(host, number, path, kind, name, count) for (path, kind, name), count in page_tokens(page or "").items()]
+            for host, number, page, marks in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(host, number, path, kind, name, count) for (path, kind, name), count in page_tokens(page or "", mark_set(marks)).items()]
                 if len(rows) > 20_000:
                     yield _rows(rows)
                     rows = []
             yield _rows(rows)
 
-    occurrences = pages.select("host", "number", "html").mapInArrow(run, "host string, number bigint, path string, kind string, name string, n bigint")
+    occurrences = pages.select("host", "number", "html", "marks").mapInArrow(run, "host string, number bigint, path string, kind string, name string, n bigint")
     vectors = occurrences.groupBy("host", "path", "kind", "name").agg(
         F.count(F.lit(1)).alias("on_pages"), F.bit_xor(F.xxhash64("number", "n")).alias("vector")
     )
@@ -256,23 +308,25 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     as a stored table does."""
     host, _ = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    found = write_through(templates(rows.withColumn("number", F.monotonically_increasing_id())))
+    marked = write_through(frequent_marks(rows))
+    numbered = rows.withColumn("number", F.monotonically_increasing_id()).join(marked, "host", "left")
+    found = write_through(templates(numbered).join(marked, "host", "left"))
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
         known: dict[bytes, tuple] = {}
         for batch in batches:
             texts = []
-            for page, template in zip(batch.column(2), batch.column(3)):
-                key = template.as_py() or []
-                mark = hash(tuple((t["path"], t["kind"], t["name"], t["class"]) for t in key))
+            for page, template, marks in zip(batch.column(2), batch.column(3), batch.column(4)):
+                key, frequent = template.as_py() or [], mark_set(marks.as_py())
+                mark = hash((tuple((t["path"], t["kind"], t["name"], t["class"]) for t in key), frequent))
                 if mark not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[mark] = nest(key)
-                texts.append(extract(page.as_py() or "", *known[mark]))
+                texts.append(extract(page.as_py() or "", *known[mark], frequent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    joined = rows.join(found, "host", "left").select("id", "url", "html", "template")
+    joined = rows.join(found, "host", "left").select("id", "url", "html", "template", "marks")
     out = joined.mapInArrow(run, f"id {id_type}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))
