@@ -2,14 +2,14 @@
 
 A page's tokens are its tags and its runs of text, each with the path of containers it stands in (elements that hold other
 blocks, with those words of class, id and role that SHARE of the host's pages give such an element). A token's occurrence vector says how often it occurs on each page of the host. Tokens with the
-same vector are an equivalence class: what one piece of the host's template wrote. A class is valid if it is frequent (on
-SHARE of the host's pages) and nested: the container its tokens stand in is itself in a valid class. Valid classes, nested
-by their paths, are the template; what lies between their tokens are slots.
+same vector are an equivalence class: what one piece of the host's template wrote. A class is frequent if it is on SHARE of the
+host's pages, a run besides on RUN_PAGES pages. On each page a class is valid as far as its tokens come in the host's order
+(that of their mean first places), all once and then again all; tokens out of order belong to the text. Containers nest by
+their paths. Valid classes are the template; what lies between their tokens are slots.
 
 Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are boilerplate,
 told by element or by the words of class, id and role (those of html and body say nothing). If the template has article or main containers, the text in those is
-the main text. If not, it is all other slots, without the runs of text that are themselves in the template (on SHARE of
-at least RUN_PAGES pages). A page without the main container of its host's template is read as if there were none.
+the main text. If not, it is all other slots, without the runs of text that are tokens of valid classes. A page without the main container of its host's template is read as if there were none.
 
 Vectors are never built: a token's vector is known by the XOR of hashes of (page, count) and the number of pages, which is a
 partial aggregate. A template has at most 1 / SHARE times as many tokens as a page. Templates are joined back to the pages by
@@ -29,8 +29,9 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
+from bisect import bisect
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -156,25 +157,30 @@ def page_marks(page: str) -> set[tuple[str, str]]:
     return {(value, m) for kind, value, found in tokens(page) if kind == "open" and value in CONTAINERS and value not in PAGE for m in found}
 
 
-def page_tokens(page: str, frequent: frozenset[tuple[str, str]]) -> Counter:
-    """How often each token (path, kind, name) occurs; the kind is tag or run."""
-    found: Counter = Counter()
-    path = Path(frequent)
-    for kind, value, mark in tokens(page):
+def walk(page: str, path: Path) -> Iterator[tuple[int, tuple[str, str, str]]]:
+    """The page's tokens (path, kind, name) in order, each with its place; the kind is tag or run."""
+    for at, (kind, value, mark) in enumerate(tokens(page)):
         if kind == "open":
             if value in CONTAINERS:
                 path.open(value, mark)
-                found[path.text, "tag", value] += 1
+                yield at, (path.text, "tag", value)
             else:
-                found[path.text, "tag", step_name(value, mark)] += 1
+                yield at, (path.text, "tag", step_name(value, mark))
         elif kind == "close":
-            found[path.text, "tag", f"/{value}"] += 1
+            yield at, (path.text, "tag", f"/{value}")
             if value in CONTAINERS:
                 path.close(value)
         else:
             run = run_name(plain(value))
             if run:
-                found[path.text, "run", run] += 1
+                yield at, (path.text, "run", run)
+
+
+def page_tokens(page: str, frequent: frozenset[tuple[str, str]]) -> dict[tuple[str, str, str], list[int]]:
+    """How often each token occurs, and its first place."""
+    found: dict[tuple[str, str, str], list[int]] = {}
+    for at, token in walk(page, Path(frequent)):
+        found.setdefault(token, [0, at])[0] += 1
     return found
 
 
@@ -193,22 +199,69 @@ def bare(path: str) -> str:
     return _BRACKETS.sub("", path)
 
 
-def extract(page: str, paths: frozenset[str], runs: frozenset[tuple[str, str]], frequent: frozenset[tuple[str, str]]) -> str:
-    """Main text of a page under a template given by its container paths and its runs (path, text). Main containers are
-    known again by the names on their path, whatever marks a page gives them."""
-    mains = {b for b in map(bare, paths) if not MAIN.isdisjoint(b.split("/"))}
-    blocks: list[tuple[bool, list[str], list[tuple[str, str]]]] = []  # in a main container, runs as written, runs as tokens
+@dataclass
+class Template:
+    paths: frozenset[str]  # of containers
+    mains: frozenset[str]  # those of main containers, by names alone
+    ranks: dict[tuple[str, str, str], int]  # tokens in the order of their mean first places
+    classes: dict[tuple[str, str, str], int]
+
+
+def deduce(found: list[dict]) -> Template:
+    """The template of a host from its frequent tokens and their classes."""
+    paths, runs = nest(found)
+    order = sorted(found, key=lambda t: (t["place"], t["path"], t["kind"], t["name"]))
+    of = {(t["path"], t["kind"], t["name"]): t["class"] for t in order if t["kind"] == "tag" or (t["path"], t["name"]) in runs}
+    mains = frozenset(b for b in map(bare, paths) if not MAIN.isdisjoint(b.split("/")))
+    return Template(paths, mains, {token: k for k, token in enumerate(of)}, of)
+
+
+def container(token: tuple[str, str, str]) -> bool:
+    return token[1] == "tag" and token[2].removeprefix("/") in CONTAINERS
+
+
+def ordered(members: list[tuple[str, str, str]], places: dict[tuple[str, str, str], list[int]], ranks: dict[tuple[str, str, str], int]) -> list[tuple[str, str, str]]:
+    """The tokens of a class that occur on the page in the host's order, all once and then again all: containers first, then
+    each other token that fits between those before it. Tokens of a class occur on the same pages, so if one is before
+    another on each of them, its mean place is too."""
+    kept: list[tuple[int, list[int], tuple[str, str, str]]] = []
+    for token in sorted(members, key=lambda t: (not container(t), ranks[t])):
+        own, at = places[token], bisect(kept, ranks[token], key=lambda k: k[0])
+        if kept:
+            # before the first and after the last token comes the other end, one turn on
+            before = kept[at - 1][1] if at else [-1, *kept[-1][1][:-1]]
+            after = kept[at][1] if at < len(kept) else [*kept[0][1][1:], own[-1] + 1]
+            if not len(before) == len(own) == len(after) or not all(b < o < a for b, o, a in zip(before, own, after)):
+                continue
+        kept.insert(at, (ranks[token], own, token))
+    return [token for _, _, token in kept]
+
+
+def written(page: str, template: Template, frequent: frozenset[tuple[str, str]]) -> set[int]:
+    """The places of the runs that the template wrote: those of its classes as far as they are in order on this page."""
+    places: dict[tuple[str, str, str], list[int]] = {}
+    for at, token in walk(page, Path(frequent)):
+        if token in template.classes:
+            places.setdefault(token, []).append(at)
+    members: dict[int, list[tuple[str, str, str]]] = {}
+    for token in places:
+        members.setdefault(template.classes[token], []).append(token)
+    return {at for own in members.values() for token in ordered(own, places, template.ranks) if token[1] == "run" for at in places[token]}
+
+
+def extract(page: str, template: Template, frequent: frozenset[tuple[str, str]]) -> str:
+    """Main text of a page under its host's template. Main containers are known again by the names on their path, whatever
+    marks a page gives them."""
+    blocks: list[tuple[bool, list[tuple[int, str]]]] = []  # in a main container, runs with their places
     path, inside, skip, new = Path(frequent), False, False, True
-    for kind, value, mark in tokens(page):
+    for at, (kind, value, mark) in enumerate(tokens(page)):
         if kind == "text":
             if skip:
                 continue
             if new:
-                blocks.append((inside, [], []))
+                blocks.append((inside, []))
                 new = False
-            blocks[-1][1].append(value)
-            if not inside:
-                blocks[-1][2].append((path.text, run_name(plain(value))))
+            blocks[-1][1].append((at, value))
             continue
         if value in CONTAINERS:
             if kind == "open":
@@ -216,13 +269,14 @@ def extract(page: str, paths: frozenset[str], runs: frozenset[tuple[str, str]],
             else:
                 path.close(value)
             skip = path.skip
-            inside = not mains.isdisjoint(path.bare)
+            inside = not template.mains.isdisjoint(path.bare)
         if value not in INLINE:
             new = True
-    if any(in_main for in_main, _, _ in blocks):
-        texts = [plain("".join(own)) for in_main, own, _ in blocks if in_main]
+    if any(in_main for in_main, _ in blocks):
+        texts = [plain("".join(r for _, r in own)) for in_main, own in blocks if in_main]
     else:
-        texts = [plain("".join(r for r, token in zip(own, names) if token not in runs)) for _, own, names in blocks]
+        gone = written(page, template, frequent)
+        texts = [plain("".join(r for at, r in own if at not in gone)) for _, own in blocks]
     return "\n".join(t for t in texts if t)
 
 
@@ -248,32 +302,32 @@ def mark_set(marks: list[dict] | None) -> frozenset[tuple[str, str]]:
 
 def templates(pages: DataFrame, *, share: float = SHARE) -> DataFrame:
     """For pages (host, page number, html, frequent marks of the host): host, and its template as an array of (path, kind,
-    name, class)."""
+    name, class, sum of the first places)."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for host, number, page, marks in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(host, number, path, kind, name, count) for (path, kind, name), count in page_tokens(page or "", mark_set(marks)).items()]
+                rows += [(host, number, *token, *own) for token, own in page_tokens(page or "", mark_set(marks)).items()]
                 if len(rows) > 20_000:
                     yield _rows(rows)
                     rows = []
             yield _rows(rows)
 
-    occurrences = pages.select("host", "number", "html", "marks").mapInArrow(run, "host string, number bigint, path string, kind string, name string, n bigint")
+    occurrences = pages.select("host", "number", "html", "marks").mapInArrow(run, "host string, number bigint, path string, kind string, name string, n bigint, first bigint")
     vectors = occurrences.groupBy("host", "path", "kind", "name").agg(
-        F.count(F.lit(1)).alias("on_pages"), F.bit_xor(F.xxhash64("number", "n")).alias("vector")
+        F.count(F.lit(1)).alias("on_pages"), F.bit_xor(F.xxhash64("number", "n")).alias("vector"), F.sum("first").alias("place")
     )
     sizes = write_through(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
     frequent = vectors.join(sizes, "host").where(F.col("on_pages") >= share * F.col("pages"))
     frequent = frequent.where((F.col("kind") == "tag") | (F.col("on_pages") >= RUN_PAGES))
-    return frequent.groupBy("host").agg(F.collect_list(F.struct("path", "kind", "name", F.xxhash64("on_pages", "vector").alias("class"))).alias("template"))
+    return frequent.groupBy("host").agg(F.collect_list(F.struct("path", "kind", "name", F.xxhash64("on_pages", "vector").alias("class"), "place")).alias("template"))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[]] * 6
-    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "number", "path", "kind", "name", "n"])
+    columns = list(zip(*rows)) if rows else [[]] * 7
+    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "number", "path", "kind", "name", "n", "first"])
 
 
 def nest(template: list[dict]) -> tuple[frozenset[str], frozenset[tuple[str, str]]]:
@@ -314,17 +368,17 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        known: dict[bytes, tuple] = {}
+        known: dict[int, Template] = {}
         for batch in batches:
             texts = []
             for page, template, marks in zip(batch.column(2), batch.column(3), batch.column(4)):
                 key, frequent = template.as_py() or [], mark_set(marks.as_py())
-                mark = hash((tuple((t["path"], t["kind"], t["name"], t["class"]) for t in key), frequent))
+                mark = hash(tuple((t["path"], t["kind"], t["name"], t["class"], t["place"]) for t in key))
                 if mark not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[mark] = nest(key)
-                texts.append(extract(page.as_py() or "", *known[mark], frequent))
+                    known[mark] = deduce(key)
+                texts.append(extract(page.as_py() or "", known[mark], frequent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     joined = rows.join(found, "host", "left").select("id", "url", "html", "template", "marks")
