@@ -117,3 +117,21 @@ def test_ordered_by_hand():
     places = {tag("div"): [1, 4, 7], tag("/div"): [3, 6, 9], tag("p"): [2, 5, 8], tag("b"): [2, 3, 8]}
     ranks = {tag("div"): 0, tag("p"): 1, tag("b"): 2, tag("/div"): 3}
     assert templates.ordered(list(places), places, ranks) == [tag("div"), tag("p"), tag("/div")]
+
+
+def test_copies_count_once(spark):
+    """Three copies of one page on a host of five pages, and a host of many copies and few others."""
+    page = "<body><div>Home</div><div><p>{0} first.</p><p>{0} second.</p></div></body>"
+    rows = [(k, "http://copies.org/", page.format(max(k, 2))) for k in range(5)]
+    rows += [(100 + k, "http://many.org/", page.format(0 if k < 40 else k)) for k in range(44)]
+    found = run(spark, rows)
+    assert [found[k] for k in range(5)] == [f"{max(k, 2)} first.\n{max(k, 2)} second." for k in range(5)]
+    assert {found[100 + k] for k in range(40)} == {"0 first.\n0 second."} and "Home" not in "".join(found.values())
+
+
+def test_shared_passages_stay(spark):
+    """A passage on half of the pages (near copies) is text; a menu on all of them is not."""
+    page = "<body><div><a href='/'>Home</a></div><div id=c><p>{0}</p><p>Number {1}.</p></div><div>All rights reserved</div></body>"
+    shared = "This report was sent to all papers of the group. " * 6
+    rows = [(k, "http://near.org/", page.format(shared if k < 5 else f"Own words {k}", k)) for k in range(8)]
+    assert run(spark, rows) == {k: f"{shared.strip() if k < 5 else f'Own words {k}'}\nNumber {k}." for k in range(8)}

@@ -9,7 +9,9 @@ their paths. Valid classes are the template; what lies between their tokens are
 
 Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are boilerplate,
 told by element or by the words of class, id and role (those of html and body say nothing). If the template has article or main containers, the text in those is
-the main text. If not, it is all other slots, without the runs of text that are tokens of valid classes. A page without the main container of its host's template is read as if there were none.
+the main text. If not, it is all other slots, without the runs of text that are tokens of valid classes; of the
+slot with most text between the tokens of the class with most containers, and of those on no fewer pages, nothing is taken
+out, so that passages which many pages share stay. A page without the main container of its host's template is read as if there were none.
 
 Vectors are never built: a token's vector is known by the XOR of hashes of (page, count) and the number of pages, which is a
 partial aggregate. A template has at most 1 / SHARE times as many tokens as a page. Templates are joined back to the pages by
@@ -20,8 +22,8 @@ Blocks are what tags other than inline ones separate. Character references are d
 blank, empty blocks are left out, blocks are joined by one newline.
 
 Defined results: a null or empty page has the text "" and 0 characters; pages whose URL is null or has no host are one host
-together; tags left open and pages cut off are read to their end; repeated pages are rows like others and count as pages;
-other columns are not read.
+together; tags left open and pages cut off are read to their end; repeated pages are rows like others, but a
+content that a host has several times counts as one page of its template; other columns are not read.
 """
 
 from __future__ import annotations
@@ -205,6 +207,7 @@ class Template:
     mains: frozenset[str]  # those of main containers, by names alone
     ranks: dict[tuple[str, str, str], int]  # tokens in the order of their mean first places
     classes: dict[tuple[str, str, str], int]
+    on_pages: dict[int, int]  # of classes
 
 
 def deduce(found: list[dict]) -> Template:
@@ -213,7 +216,7 @@ def deduce(found: list[dict]) -> Template:
     order = sorted(found, key=lambda t: (t["place"], t["path"], t["kind"], t["name"]))
     of = {(t["path"], t["kind"], t["name"]): t["class"] for t in order if t["kind"] == "tag" or (t["path"], t["name"]) in runs}
     mains = frozenset(b for b in map(bare, paths) if not MAIN.isdisjoint(b.split("/")))
-    return Template(paths, mains, {token: k for k, token in enumerate(of)}, of)
+    return Template(paths, mains, {token: k for k, token in enumerate(of)}, of, {t["class"]: t["on_pages"] for t in found})
 
 
 def container(token: tuple[str, str, str]) -> bool:
@@ -238,15 +241,35 @@ def ordered(members: list[tuple[str, str, str]], places: dict[tuple[str, str, st
 
 
 def written(page: str, template: Template, frequent: frozenset[tuple[str, str]]) -> set[int]:
-    """The places of the runs that the template wrote: those of its classes as far as they are in order on this page."""
+    """The places of the runs that the template wrote: those of its classes as far as they are in order on this page. The
+    class with most containers, and those on no fewer pages, part the page into slots; of the slot with most text (links and
+    boilerplate not counted) nothing is taken, however many pages share it."""
     places: dict[tuple[str, str, str], list[int]] = {}
-    for at, token in walk(page, Path(frequent)):
+    texts: list[tuple[int, int]] = []  # places and lengths of runs that may be main text
+    path, links = Path(frequent), 0
+    for at, token in walk(page, path):
+        name = token[2].partition("[")[0] if token[1] == "tag" else ""
+        links = links + 1 if name == "a" else 0 if name == "/a" or container(token) else links
+        if token[1] == "run" and not path.skip and not links:
+            texts.append((at, int(token[2].split("\n")[1]) if "\n" in token[2] else len(token[2])))
         if token in template.classes:
             places.setdefault(token, []).append(at)
     members: dict[int, list[tuple[str, str, str]]] = {}
     for token in places:
         members.setdefault(template.classes[token], []).append(token)
-    return {at for own in members.values() for token in ordered(own, places, template.ranks) if token[1] == "run" for at in places[token]}
+    valid = {c: ordered(own, places, template.ranks) for c, own in members.items()}
+    if not valid:
+        return set()
+    root = max(valid, key=lambda c: (sum(map(container, valid[c])), template.on_pages[c], c))
+    frame = [token for c, own in valid.items() if template.on_pages[c] >= template.on_pages[root] for token in own]
+    bounds = sorted(at for token in frame if token[1] == "run" or container(token) for at in places[token])
+    taken, sizes = {at for token in frame for at in places[token]}, [0] * (len(bounds) + 1)
+    for at, length in texts:
+        if at not in taken:
+            sizes[bisect(bounds, at)] += length
+    main = sizes.index(max(sizes)) if any(sizes) else -1
+    gone = {at for own in valid.values() for token in own if token[1] == "run" for at in places[token]}
+    return {at for at in gone if at in taken or bisect(bounds, at) != main}
 
 
 def extract(page: str, template: Template, frequent: frozenset[tuple[str, str]]) -> str:
@@ -280,6 +303,17 @@ def extract(page: str, template: Template, frequent: frozenset[tuple[str, str]])
     return "\n".join(t for t in texts if t)
 
 
+def distinct_contents(rows: DataFrame) -> DataFrame:
+    """Host, number and html of one page of each content on a host. Hashes tell which contents a host has more than once
+    (partial aggregates); only pages with one of those are left out, so that the pages themselves are not shuffled."""
+    content = (F.xxhash64(F.coalesce("html", F.lit(""))), F.crc32(F.coalesce("html", F.lit(""))))
+    numbered = rows.select("host", F.monotonically_increasing_id().alias("number"), "html", content[0].alias("hash"), content[1].alias("check"))
+    counted = numbered.groupBy("host", "hash", "check").agg(F.min("number").alias("chosen"), F.count(F.lit(1)).alias("copies"))
+    repeated = write_through(counted.where("copies > 1").drop("copies"))
+    joined = numbered.join(repeated, ["host", "hash", "check"], "left")
+    return joined.where(F.col("chosen").isNull() | (F.col("chosen") == F.col("number"))).select("host", "number", "html")
+
+
 def frequent_marks(pages: DataFrame, *, share: float = SHARE) -> DataFrame:
     """For pages (host, html): host, and the marks of containers on share of its pages as an array of (name, mark)."""
 
@@ -302,7 +336,7 @@ def mark_set(marks: list[dict] | None) -> frozenset[tuple[str, str]]:
 
 def templates(pages: DataFrame, *, share: float = SHARE) -> DataFrame:
     """For pages (host, page number, html, frequent marks of the host): host, and its template as an array of (path, kind,
-    name, class, sum of the first places)."""
+    name, class, pages, sum of the first places)."""
 
     def run(batches):
         for batch in batches:
@@ -321,7 +355,7 @@ def templates(pages: DataFrame, *, share: float = SHARE) -> DataFrame:
     sizes = write_through(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
     frequent = vectors.join(sizes, "host").where(F.col("on_pages") >= share * F.col("pages"))
     frequent = frequent.where((F.col("kind") == "tag") | (F.col("on_pages") >= RUN_PAGES))
-    return frequent.groupBy("host").agg(F.collect_list(F.struct("path", "kind", "name", F.xxhash64("on_pages", "vector").alias("class"), "place")).alias("template"))
+    return frequent.groupBy("host").agg(F.collect_list(F.struct("path", "kind", "name", F.xxhash64("on_pages", "vector").alias("class"), "on_pages", "place")).alias("template"))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -362,9 +396,9 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     as a stored table does."""
     host, _ = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    marked = write_through(frequent_marks(rows))
-    numbered = rows.withColumn("number", F.monotonically_increasing_id()).join(marked, "host", "left")
-    found = write_through(templates(numbered).join(marked, "host", "left"))
+    once = distinct_contents(rows)
+    marked = write_through(frequent_marks(once))
+    found = write_through(templates(once.join(marked, "host", "left")).join(marked, "host", "left"))
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
