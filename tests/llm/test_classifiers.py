@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tripweave.llm import arrow_text, language, quality, toxicity
+from tripweave.llm import arrow_text, language, quality, toxicity, training
 from tripweave.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -117,3 +117,12 @@ def test_odd_languages(spark):
     assert {r.lang_pred for r in one} == {"en", "und"} and max(r.score for r in one) == 1
     assert language.drop_unclear(docs, language.train(docs.where("lang = 'en'"), hold=(1, 1))).columns == docs.columns
     assert language.predict(docs.limit(0), None).count() == 0
+
+
+def test_small_shares_are_sampled(spark):
+    """A share below one in 2 ** 20 still gives rows; a label without any is an error, not a model without it."""
+    rows = spark.range(6_000_000).selectExpr("id AS doc", "IF(id < 5999990, 'big', 'small') AS label")
+    got = {r["label"]: r["count"] for r in training.sampled(rows, "label", "doc", 5).groupBy("label").count().collect()}
+    assert 1 <= got["big"] <= 20 and 1 <= got["small"] <= 10
+    with pytest.raises(ValueError, match="no training row for label .*big"):
+        training.sampled(rows, "label", "doc", 0)

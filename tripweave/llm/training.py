@@ -20,14 +20,19 @@ def held_out(id_column: Column, folds: int, fold: int) -> Column:
 
 
 def sampled(rows: DataFrame, label: str, id_col: str, per_label: int) -> DataFrame:
-    """About per_label rows of each value of the label column. The counts are one row a label."""
+    """About per_label rows of each value of the label column, by 53 bits of the hash, so that no share is too small. The
+    counts are one row a label. Raises ValueError if a label with rows has none in the sample."""
     found = rows.groupBy(label).count().collect()
     kept = F.lit(False)
     for row in found:
         share = min(1.0, per_label / row["count"])
-        picked = F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20))
+        picked = F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1 << 53)).cast("double") < F.lit(share * (1 << 53))
         kept = kept | (F.col(label).eqNullSafe(F.lit(row[label])) & picked)
-    return rows.where(kept)
+    chosen = rows.where(kept)
+    missing = {row[label] for row in found} - {row[label] for row in chosen.select(label).distinct().collect()}
+    if missing:
+        raise ValueError(f"no training row for {label} {sorted(map(str, missing))} in a sample of {per_label} rows a label")
+    return chosen
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, hold: tuple[int, int], per_label: int) -> DataFrame:
