@@ -6,6 +6,8 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tripweave.catalog import QUERIES
+from tripweave.catalog.forecast import blocks, labelled
 from tripweave.operators import bundle, features, folds, models, scoring
 
 
@@ -100,3 +102,22 @@ def test_units_and_slots(spark):
     assert features.keep_slots(panel, [1]).count() == 1
     masked = features.with_score_mask(panel, features.select_units(panel, ["a", "c"]), [0])
     assert {r["block_id"]: r["scored"] for r in masked.collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_search_gives_each_fold_and_target(spark, sf):
+    """The search uses the run's features for both targets and says what each fold lost."""
+    rows = QUERIES["model_search"](spark, sf).collect()
+    numbers = {r.fold for r in rows} - {None}
+    assert len(numbers) > 1 and len(rows) == 2 * 2 * (len(numbers) + 1)
+    assert len({(r.target, r.depth, r.rounds, r.fold) for r in rows}) == len(rows) and {r.target for r in rows} == {"arrivals", "departures"}
+    assert all(r.loss > 0 for r in rows)
+
+
+def test_ablation_gives_deviances_by_fold(spark, sf):
+    panel = labelled(spark, sf)
+    found = folds.folds(panel, 3, "week_forward")
+    own = lambda: blocks(spark, sf)[:2]
+    rows = models.ablation(panel, found, own, "arrivals", keys=["fold"], rounds=1, depth=2).collect()
+    assert {(r.fold, r.dropped) for r in rows} == {(f.number, d) for f in found for d in ("none", "calendar", "geometry")}
+    sizes = {f.number: f.valid(panel).count() for f in found}
+    assert all(r.n == sizes[r.fold] and r.poisson_deviance > 0 for r in rows)

@@ -170,16 +170,33 @@ def model_ablation(spark, sf):
     return parts[0].unionByName(parts[1]).select("target", "dropped", "n", "obs_sum", scored.alias("scored"))
 
 
+@query("model_ablation_scores")
+def model_ablation_scores(spark, sf):
+    """The scores of the ablation: deviances of each fold with every block and without each of the five, for both targets."""
+    panel = labelled(spark, sf)
+    found = folds.folds(panel, 3, "week_forward")
+    parts = [
+        models.ablation(panel, found, lambda t=target: blocks(spark, sf, t), target, keys=["fold"], rounds=2, depth=3).withColumn("target", F.lit(target))
+        for target in features.TARGETS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query("model_search")
 def model_search(spark, sf):
-    """Loss of every combination of a small grid over all folds, with the run's rows and weights."""
+    """Loss of every combination of a small grid over all folds (fold null) and on each, for both targets, with the run's
+    features, rows and weights."""
     panel = labelled(spark, sf)
     found, rows = folds.folds(panel, 3, "week_forward"), slot_rows(spark, sf, panel)
+    parts = []
+    for target in features.TARGETS:
 
-    def make(depth, rounds):
-        return models.feature_fit_predict(lambda: [blocks(spark, sf)[0]], "arrivals", rows, depth=depth, rounds=rounds)
+        def make(depth, rounds, t=target):
+            return models.feature_fit_predict(lambda: blocks(spark, sf, t), t, rows, depth=depth, rounds=rounds)
 
-    return models.search(panel, found, make, {"depth": [2, 4], "rounds": [2]}, lambda preds: models.run_loss(preds, 0.3))
+        found_losses = models.search(panel, found, make, {"depth": [2, 4], "rounds": [2]}, lambda preds: models.run_loss(preds, 0.3), by_fold=True)
+        parts.append(found_losses.withColumn("target", F.lit(target)))
+    return parts[0].unionByName(parts[1])
 
 
 @query("model_search_equals_run", "SELECT CAST(0 AS DOUBLE) AS difference, true AS known")

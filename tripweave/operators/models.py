@@ -244,20 +244,21 @@ def run_loss(preds: DataFrame, gamma: float | None = None) -> DataFrame:
     return scoring.blend(losses, [0.0 if gamma is None else gamma], "off" if gamma is None else "group_mean").select("loss")
 
 
-def ablation(panel: DataFrame, found: list[Fold], blocks: Callable[[], list], target: str, **options) -> DataFrame:
-    """Score over all folds with every block, then without each of them."""
+def ablation(panel: DataFrame, found: list[Fold], blocks: Callable[[], list], target: str, keys: Iterable[str] = (), **options) -> DataFrame:
+    """Score over all folds, or for each value of the keys (fold), with every block, then without each of them."""
     names = [b.name for b in blocks()]
     parts = []
     for dropped in [None, *names]:
         kept = lambda d=dropped: [b for b in blocks() if b.name != d]
         preds = walk_forward(panel, found, feature_fit_predict(kept, target, **options))
-        row = preds.agg(*measures("actual", "pred_raw")).withColumn("dropped", F.lit(dropped or "none"))
+        row = preds.groupBy(*keys).agg(*measures("actual", "pred_raw")).withColumn("dropped", F.lit(dropped or "none"))
         parts.append(row)
     return reduce(DataFrame.unionByName, parts)
 
 
-def search(panel: DataFrame, found: list[Fold], make: Callable[..., FitPredict], grid: dict[str, Iterable], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Score of every parameter combination over all folds; `score` reduces predictions to one row with `loss`.
+def search(panel: DataFrame, found: list[Fold], make: Callable[..., FitPredict], grid: dict[str, Iterable], score: Callable[[DataFrame], DataFrame], by_fold: bool = False) -> DataFrame:
+    """Score of every parameter combination over all folds; `score` reduces predictions to one row with `loss`. With by_fold
+    the column fold holds null for all folds together, and there is a row for each fold too.
 
     `make` gets the combination and returns what a run with it would use, rows and weights included.
     """
@@ -265,8 +266,13 @@ def search(panel: DataFrame, found: list[Fold], make: Callable[..., FitPredict],
     parts = []
     for values in product(*[list(grid[n]) for n in names]):
         chosen = dict(zip(names, values))
-        row = score(walk_forward(panel, found, make(**chosen)))
-        parts.append(row.select(*[F.lit(chosen[n]).alias(n) for n in names], "loss"))
+        preds = walk_forward(panel, found, make(**chosen))
+        key = [F.lit(chosen[n]).alias(n) for n in names]
+        if by_fold:
+            parts.append(score(preds).select(*key, F.lit(None).cast("int").alias("fold"), "loss"))
+            parts += [score(preds.where(F.col("fold") == f.number)).select(*key, F.lit(f.number).alias("fold"), "loss") for f in found]
+        else:
+            parts.append(score(preds).select(*key, "loss"))
     return reduce(DataFrame.unionByName, parts)
 
 
