@@ -16,5 +16,5 @@ def test_equals_sql(spark, sf, name):
 
 def test_registered():
     names = entry.queries()
-    assert {re.match(r"op\d+", n)[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {re.match(r"op\d+", n)[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(ORACLES) <= set(entry.oracle_sql())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, jaccard, language, quality, records, sampling, templates, toxicity, training, url_rules
+from . import alignment, bpe, decontam, jaccard, language, neardup, quality, records, sampling, templates, toxicity, training, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,34 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.main_text(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op13_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
+ORACLES["op13_near_embeddings"] = """
+WITH RECURSIVE given AS (
+    SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), usable AS (
+    SELECT r, vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM given
+    WHERE label IS NOT NULL AND v IS NOT NULL AND list_count(v) = len(v) AND len(list_filter(v, lambda x: NOT isfinite(x))) = 0
+        AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+    WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.93
+), reach(r, other) AS (
+    SELECT a, b FROM links UNION SELECT x.r, l.b FROM reach x JOIN links l ON x.other = l.a
+), least AS (
+    SELECT x.r, min(g.vec_id) AS vec_id FROM reach x JOIN given g ON g.r = x.other GROUP BY x.r
+), degree AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT g.vec_id, coalesce(d.n_links, 0) AS n_links, least(g.vec_id, l.vec_id) AS component_id,
+    g.vec_id IS NOT DISTINCT FROM least(g.vec_id, l.vec_id) AS kept
+FROM given g LEFT JOIN least l USING (r) LEFT JOIN degree d USING (r)
+"""
