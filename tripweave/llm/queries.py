@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, bpe, decontam, jaccard, language, neardup, quality, records, sampling, templates, toxicity, training, url_rules
+from . import alignment, bpe, conversations, decontam, jaccard, language, neardup, quality, records, sampling, templates, toxicity, training, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,6 +164,54 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    turns = conversations.ordered(_table(spark, sf_dir, "conversations"))
+    return conversations.trie(*conversations.spliced(turns, conv - conv % 100, F.crc32(conv.cast("string")) % 6, 5))
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH hex AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), own AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+        coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), plan AS (
+    SELECT c, n, c - c % 100 AS donor,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+            lambda a, b: xor(a // 256, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 6 AS h
+    FROM (SELECT c, count(*) AS n FROM own GROUP BY c), hex
+), shares AS (SELECT p.c, p.n, p.donor, p.h, least(p.h, coalesce(d.n, 0)) AS got FROM plan p LEFT JOIN plan d ON d.c = p.donor
+), rebuilt AS (
+    SELECT s.c, o.pos, o.role, o.text FROM shares s JOIN own o ON o.c = s.donor AND o.pos <= s.got
+    UNION ALL SELECT s.c, o.pos - s.h + s.got, o.role, o.text FROM shares s JOIN own o ON o.c = s.c AND o.pos > s.h
+), prefixes AS (
+    SELECT c, 0 AS depth, 0 AS chars, '' AS prefix FROM shares
+    UNION ALL SELECT c, pos, length(text), sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY pos) OVER w) FROM rebuilt
+    WINDOW w AS (PARTITION BY c ORDER BY pos)
+), nodes AS (
+    SELECT depth, prefix, min(c) AS name, count(*) AS n_convs, max(chars) AS chars FROM prefixes GROUP BY ALL
+), path AS (
+    SELECT p.c, n.* FROM prefixes p JOIN nodes n USING (depth, prefix)
+), own_path AS (SELECT * FROM path WHERE c = name
+), edges AS (
+    SELECT o.depth, o.name, u.name AS parent FROM own_path o JOIN path u ON u.c = o.c AND u.depth = o.depth - 1
+), children AS (SELECT depth - 1 AS depth, parent AS name, count(*) AS n_children FROM edges GROUP BY ALL
+), valued AS (
+    SELECT n.*, coalesce(k.n_children, 0) AS n_children, (n.n_convs - 1) * n.chars AS saved FROM nodes n LEFT JOIN children k USING (depth, name)
+), sums AS (
+    SELECT u.depth, u.name, sum((v.n_children = 0)::BIGINT) AS n_leaves, sum(v.saved) AS saved_tokens
+    FROM valued v JOIN path u ON u.c = v.name AND u.depth <= v.depth GROUP BY ALL
+), lengths AS (SELECT c, max(depth) AS depth FROM prefixes GROUP BY c
+), ended AS (
+    SELECT l.depth, p.name, string_agg(l.c::VARCHAR, ',' ORDER BY l.c) AS ids FROM lengths l JOIN path p ON p.c = l.c AND p.depth = l.depth GROUP BY ALL
+)
+SELECT v.name AS conv_id, v.depth::BIGINT AS depth, e.parent AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves::BIGINT AS n_leaves,
+    s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(x.ids, '')) AS ends_sha256
+FROM valued v JOIN sums s USING (depth, name) LEFT JOIN edges e USING (depth, name) LEFT JOIN ended x USING (depth, name)
+"""
+
+
 @_query
 def op13_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.keep_one(_table(spark, sf_dir, "embeddings"), 0.93)
