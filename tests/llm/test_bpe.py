@@ -38,6 +38,20 @@ def test_pieces_of_a_long_text(monkeypatch):
     assert [x.tolist() for x in ENCODER.encode([text, "a b"])] == [library(text), library("a b")]
 
 
+def test_more_words_than_the_tables_hold(spark, sf, monkeypatch):
+    """Words met again in the older table are taken over; full tables change no encoding."""
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 40)
+    monkeypatch.setattr(bpe, "KEPT_STEPS", 10)
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 10)
+    encoder = bpe.Encoder(bpe.read_definition(PATH))
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + ["<|endoftext|>the end"]
+    for _ in range(2):
+        for text in texts:
+            (ids,) = encoder.encode([text])
+            assert ids.tolist() == library(text)
+    assert len(encoder._older) > 0
+
+
 def test_bytes_that_are_no_text():
     ids = [ENCODER._ids[bytes([b])] for b in (0xE2, 0x28, 0xFF, 0x41)]
     assert DECODER.decode(bpe.np.array(ids)) == LIBRARY.decode(ids, skip_special_tokens=False)
@@ -63,3 +77,6 @@ def test_odd_rows(spark):
     out = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert sorted((r.doc_id or 0, r.text, list(r.ids)) for r in out) == sorted((i or 0, t or "", library(t or "")) for i, t, _ in rows)
     assert bpe.decode(bpe.encode(docs.limit(0), PATH), PATH).count() == 0
+    apart = bpe.digests(bpe.decode(bpe.encode(docs, PATH), PATH), keep=("ids",))
+    assert sorted(map(str, bpe.round_trip(docs, PATH, keep_ids=True).collect())) == sorted(map(str, apart.collect()))
+    assert bpe.round_trip(docs.limit(0), PATH, keep_ids=True).count() == 0

@@ -11,7 +11,8 @@ Merges are applied in the order of their ranks, and a merge can only use tokens
 
 The distinct words of a slice of text, sorted, are their trie in depth-first order: the stack of last tokens is kept for
 the prefix that a word shares with the one before, so every shared prefix is worked out once. Word encodings are kept in a
-bounded table for each worker process.
+bounded table for each worker process. Which tokens end at a position is read off the trie of the tokens with suffix links, one step
+a byte, the longest first.
 
 Defined results: a null text is an empty one, which has no tokens; texts of any length are worked on in pieces cut before a
 single blank between words, where no word of the pre-tokenizer is cut; a special token's own text is that token, as the
@@ -24,6 +25,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -33,12 +35,15 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 PIECE_CHARS = 1 << 19
-#: Words whose encodings a worker process keeps; the table starts anew when it is full.
+#: A worker process keeps the encodings of so many words, and of as many met before them: a full table becomes the older one, and
+#: words that are met again in the older one are taken over.
 KEPT_WORDS = 150_000
 _NEVER = 1 << 60
 
 #: Validity of so many token pairs is kept as well.
 KEPT_PAIRS = 200_000
+#: So many steps to the state of a shorter suffix, too.
+KEPT_STEPS = 200_000
 
 # The word pattern of byte-level BPE as its authors published it, with white space, letters and numbers up to
 # U+024F spelled out.
@@ -104,10 +109,54 @@ class Encoder:
         self._ids = {b: i for b, i in self._ids.items() if i not in self._made or self._stands(i)}
         if any(bytes([b]) not in self._ids for b in range(256)):
             raise ValueError("a byte has no token")
-        self._longest = max(map(len, self._ids))
+        self._size = [len(b) for b in self.bytes]
+        self._build_trie()
         self._kept: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._pairs: dict[int, bool] = {}
 
+    def _build_trie(self) -> None:
+        """The trie of the tokens' bytes with suffix links. _goto: state << 8 | byte to the next state (also where a shorter suffix
+        goes on, once met); _suffix: the longest token that ends at a state; _shorter: the next shorter token that ends a token."""
+        goto: dict[int, int] = {}
+        at, count, parents = {}, 1, [0]
+        for token in sorted(self._ids):
+            state = 0
+            for byte in token:
+                step = state << 8 | byte
+                if step not in goto:
+                    goto[step] = count
+                    parents.append(step)
+                    count += 1
+                state = goto[step]
+            at[state] = self._ids[token]
+        depth = [0] * count
+        for state in range(1, count):
+            depth[state] = depth[parents[state] >> 8] + 1
+        self._goto, self._fail, self._suffix, self._shorter, self._trie_size = goto, [0] * count, [-1] * count, [-1] * len(self.bytes), len(goto)
+        for state in sorted(range(1, count), key=depth.__getitem__):
+            above, byte = parents[state] >> 8, parents[state] & 255
+            while above:
+                above = self._fail[above]
+                found = goto.get(above << 8 | byte)
+                if found is not None:
+                    self._fail[state] = found
+                    break
+            token, other = at.get(state, -1), self._suffix[self._fail[state]]
+            self._suffix[state] = other if token < 0 else token
+            if token >= 0:
+                self._shorter[token] = other
+
+    def _step(self, step: int) -> int:
+        """The state of the longest suffix that goes on with the byte."""
+        state, byte = step >> 8, step & 255
+        while state:
+            state = self._fail[state]
+            found = self._goto.get(state << 8 | byte)
+            if found is not None:
+                return found
+        return 0
+
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge of a token while it is built, each with the rank of the merge that ends it."""
         out, end = [(token, _NEVER)], _NEVER
@@ -147,35 +196,42 @@ class Encoder:
 
     def encode_words(self, words: list[str]) -> Iterator[bytes]:
         """Encodings (ids as 32-bit integers) of words that are sorted by their UTF-8 bytes."""
-        find, valid, longest, pairs = self._ids.get, self.valid, self._longest, self._pairs
-        last, before = [-1], b""
+        valid, pairs, goto, longest, shorter, size = self.valid, self._pairs, self._goto, self._suffix, self._shorter, self._size
+        last, states, before = [-1], [0], b""
         if len(pairs) > KEPT_PAIRS:
             pairs.clear()
+        if len(goto) > self._trie_size + KEPT_STEPS:
+            for step in list(goto)[self._trie_size :]:
+                del goto[step]
         for word in words:
             raw, shared = word.encode(), 0
             for x, y in zip(raw, before):
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(raw) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = find(raw[start:end])
-                    if token is None:
-                        continue
-                    if start:
-                        pair = last[start] << 32 | token
-                        fits = pairs.get(pair)
-                        if fits is None:
-                            fits = pairs[pair] = valid(last[start], token)
-                        if not fits:
-                            continue
-                    last.append(token)
-                    break
+            del last[shared + 1 :], states[shared + 1 :]
+            state, end = states[shared], shared
+            for byte in raw[shared:]:
+                step = state << 8 | byte
+                state = goto.get(step)
+                if state is None:
+                    state = goto[step] = self._step(step)
+                end += 1
+                token = longest[state]
+                while end > size[token]:
+                    pair = last[end - size[token]] << 32 | token
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        fits = pairs[pair] = valid(last[end - size[token]], token)
+                    if fits:
+                        break
+                    token = shorter[token]
+                last.append(token)
+                states.append(state)
             out, end = [], len(raw)
             while end:
                 out.append(last[end])
-                end -= len(self.bytes[last[end]])
+                end -= size[last[end]]
             before = raw
             out.reverse()
             yield array("i", out).tobytes()
@@ -226,8 +282,11 @@ class Encoder:
             split.append(words)
         new = set(chain.from_iterable(split)).difference(kept)
         if len(kept) + len(new) > KEPT_WORDS:
-            kept.clear()
-            new = set(chain.from_iterable(split))
+            self._older, self._kept = kept, {}
+            kept, new = self._kept, set(chain.from_iterable(split))
+        met = new.intersection(self._older)
+        kept.update(zip(met, map(self._older.__getitem__, met)))
+        new -= met
         for name, i in special.items():
             kept[name] = array("i", [i]).tobytes()
             new.discard(name)
@@ -300,6 +359,33 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
     return encoded.select(id_col, ids_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """digests(decode(encode(docs))) in one pass, so that neither ids nor decoded texts leave the worker: id_col, n_tokens, ids_sha256 and
+    decoded_sha256, and with keep_ids the ids."""
+    definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
+    more = ", ids array<int>" if keep_ids else ""
+
+    def run(batches):
+        encoder, decoder = _shared(Encoder, definition.value), _shared(Decoder, definition.value)
+        for batch in batches:
+            for first, texts in slices(batch.column(1)):
+                counts, joined, decoded, kept = [], [], [], []
+                for ids in encoder.encode(texts):
+                    counts.append(len(ids))
+                    joined.append(sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                    decoded.append(sha256(decoder.decode(ids).encode()).hexdigest())
+                    if keep_ids:
+                        kept.append(ids)
+                columns = [batch.column(0).slice(first, len(texts)), pa.array(counts, pa.int64()), pa.array(joined), pa.array(decoded)]
+                if keep_ids:
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept))))
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+
+
 def digests(decoded: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Token count and checksums of what decode() returns, and the columns named in keep."""
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))

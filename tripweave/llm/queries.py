@@ -89,8 +89,7 @@ FROM words w LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
 
 @_query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path))
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @_query
