@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -43,9 +44,29 @@ PIECE_CHARS = 1 << 19
 #: A block ends with the document that brings it to so many distinct (pair, document) entries, or with this many documents.
 BLOCK_ENTRIES, BLOCK_DOCS = 1 << 20, 1 << 16
 #: Chunks whose alignment a worker keeps; beyond it the table starts anew with the chunks at hand.
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 400_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = "▁"
+#: Beyond these characters two libraries may hold different versions of Unicode.
+_COMMON = re.compile("[\\x00-\u024f]*")
+
+# Fixed value: the word pattern of byte-level BPE as its authors published it.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranked(definition: str, names: list[bytes]) -> tiktoken.Encoding | None:
+    """The same encoding by ranks, where ids rise with the merges and the word pattern is the published one; else None."""
+    spec = json.loads(definition)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain &= not spec["normalizer"] and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"]["".join(m)] for m in pairs]
+    if not plain or made != sorted(set(made)) or len(made) + 256 != len(model["vocab"]) - sum(t["content"] in model["vocab"] for t in spec["added_tokens"]):
+        return None
+    ranks = {names[i]: i for i in model["vocab"].values() if len(names[i]) == 1}
+    ranks |= {names[i]: i for i in made}
+    return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
 def read_model(path: str) -> bytes:
@@ -85,6 +106,7 @@ class Aligner:
         self._a.no_padding()
         self._b = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.a_bytes, self.b_bytes = token_bytes(json.loads(definition)), piece_bytes(self._b)
+        self._ranked = _ranked(definition, self.a_bytes)
         if len(self.a_bytes) > 1 << 16 or len(self.b_bytes) > 1 << 16:
             raise ValueError("vocabularies of more than 65,536 ids are not supported")
         if any(re.search(f"[^{_BLANK}]{_BLANK}", self._b.id_to_piece(i)) for i in range(len(self.b_bytes))):
@@ -106,17 +128,23 @@ class Aligner:
         b = self._b.encode(text[1:])
         if not b or b"".join(map(self.b_bytes.__getitem__, b)) != text.encode():
             return None
-        return np.array(self._a.encode(text, add_special_tokens=False).ids, np.int64), np.array(b, np.int64)
+        if self._ranked is not None and _COMMON.fullmatch(text):
+            a = self._ranked.encode_ordinary(text)
+        else:
+            a = self._a.encode(text, add_special_tokens=False).ids
+        return np.array(a, np.int64), np.array(b, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
         """Align chunks that are not in the table, all together where the cuts between them are certain."""
         plain = [c for c in chunks if c[1:2] and not c[1].isspace() and not c[-1].isspace()]
         rest = set(chunks).difference(plain)
-        found = self._tokens("".join(plain)) if plain else None
-        if found is None:
-            rest = chunks
-        else:
-            self._add(plain, *found)
+        common = [c for c in plain if _COMMON.fullmatch(c)]
+        for some in (common, list(set(plain).difference(common))):
+            found = self._tokens("".join(some)) if some else None
+            if found is None:
+                rest.update(some)
+            else:
+                self._add(some, *found)
         for chunk in rest:
             found = self._tokens(chunk)
             if found is None:
