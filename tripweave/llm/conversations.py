@@ -85,7 +85,8 @@ def _paths(turns: DataFrame, lengths: DataFrame, rounds: int, root: int) -> Data
         # All depths that are named are multiples of twice the step: the tops of the tries that are cut now.
         cut = named.join(runs[i].withColumnRenamed("start", "depth"), ["conv", "depth"])
         cut = write_through(cut.select("conv", (F.col("depth") + (1 << i)).alias("depth"), F.col("name").alias("forest"), "code"))
-        prefixes = cut.groupBy("depth", "forest", "code").agg(F.min("conv").alias("name"))
+        # Written, so that its size is known and a prefix of very many conversations does not share a shuffle with the join.
+        prefixes = write_through(cut.groupBy("depth", "forest", "code").agg(F.min("conv").alias("name")))
         named = named.unionByName(write_through(cut.join(prefixes, ["depth", "forest", "code"]).select("conv", "depth", "name")))
     return named
 
