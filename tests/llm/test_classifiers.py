@@ -119,10 +119,94 @@ def test_odd_languages(spark):
     assert language.predict(docs.limit(0), None).count() == 0
 
 
-def test_small_shares_are_sampled(spark):
-    """A share below one in 2 ** 20 still gives rows; a label without any is an error, not a model without it."""
-    rows = spark.range(6_000_000).selectExpr("id AS doc", "IF(id < 5999990, 'big', 'small') AS label")
-    got = {r["label"]: r["count"] for r in training.sampled(rows, "label", "doc", 5).groupBy("label").count().collect()}
-    assert 1 <= got["big"] <= 20 and 1 <= got["small"] <= 10
-    with pytest.raises(ValueError, match="no training row for label .*big"):
-        training.sampled(rows, "label", "doc", 0)
+def test_sample_is_the_least_hashes_of_each_label(spark):
+    rows = spark.range(200_000).selectExpr("IF(id < 199900, 'big', 'small') AS label", "xxhash64(id div 3) AS hash", "id AS row")
+    plain = {}
+    for r in rows.collect():
+        plain.setdefault(r.label, {}).setdefault(r.hash, r.row)
+    for per_label in (1, 50, 2000):
+        wanted = [(label, found[h]) for label, found in plain.items() for h in sorted(found)[:per_label]]
+        assert sorted(wanted) == sorted((r.label, r.row) for r in training.sampled(rows, per_label).collect())
+
+
+def counted(frame):
+    return {r["label"]: r["count"] for r in frame.groupBy("label").count().collect()}
+
+
+OPTIONS = {"id_col": "doc_id", "text_col": "text", "hold": (4, 2)}
+
+
+@pytest.mark.parametrize("hot", [None, 1, 2, 3, 5])
+def test_thousands_of_rows_of_one_id(spark, hot):
+    docs = spark.range(5000).selectExpr("CAST(NULL AS bigint) AS doc_id" if hot is None else f"{hot}L AS doc_id", "concat('ein text ', id) AS text", "'de' AS lang")
+    docs = docs.unionByName(spark.range(3000).selectExpr("1000 + id AS doc_id", "concat('a text ', id) AS text", "'en' AS lang"))
+    got = counted(training.given_rows(docs, label_col="lang", per_label=500, **OPTIONS))
+    held = hot is not None and zlib.crc32(str(hot).encode()) % 4 == 2
+    assert got == ({"en": 500} if held else {"en": 500, "de": 500})
+
+
+def test_equal_rows_of_one_id_count_once(spark):
+    docs = spark.range(9000).selectExpr("1L AS doc_id", "'ein text' AS text", "'de' AS lang").unionByName(spark.range(90).selectExpr("2 + id AS doc_id", "'ein text' AS text", "'de' AS lang"))
+    got = training.given_rows(docs, label_col="lang", per_label=500, **OPTIONS)
+    ids = [i for i in range(1, 92) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert counted(got) == {"de": len(ids)}
+
+
+def test_rare_texts_among_null_ones_are_found(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 1000 = 7, concat('ein text ', id), NULL) AS text", "'de' AS lang")
+    ids = [i for i in range(7, 20_000, 1000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert counted(training.given_rows(docs, label_col="lang", per_label=500, **OPTIONS)) == {"de": len(ids)}
+
+
+@pytest.mark.parametrize("hot", [None, 1, 2, 3, 7])
+def test_thousands_of_labels_of_one_id(spark, hot):
+    docs = spark.range(4000).selectExpr("IF(id < 2000, 7L, id) AS doc_id", "concat('text ', id % 900) AS text")
+    labels = spark.range(6000).selectExpr("CAST(NULL AS bigint) AS doc_id" if hot is None else f"{hot}L AS doc_id", "1 AS toxic")
+    labels = labels.unionByName(spark.range(3000).selectExpr("id AS doc_id", "0 AS toxic"))
+    got = training.labelled_rows(docs, labels, "toxic", id_col="doc_id", text_col="text", hold=(5, 0), per_label=300).groupBy("label").count().collect()
+    counts = {r["label"]: r["count"] for r in got}
+    assert counts[0] == 300 and counts.get(1, 0) == (300 if hot == 7 and zlib.crc32(b"7") % 5 else 0)
+
+
+def test_labels_of_ids_without_text(spark):
+    """Nearly all labelled ids have a null text or no row: the few others are found."""
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "IF(id % 5000 = 3, concat('text ', id), NULL) AS text")
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    ids = [i for i in range(3, 30_000, 5000) if zlib.crc32(str(i).encode()) % 5]
+    got = counted(training.labelled_rows(docs, labels, "toxic", id_col="doc_id", text_col="text", hold=(5, 0), per_label=100))
+    assert sum(got.values()) == len(ids)
+
+
+def test_plain_decoding(spark):
+    """op3: each bit's margin, the loss of each codeword and the share of the nearest one, summed one by one."""
+    model = language.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    for row in rows[:60]:
+        if not any(c.isalpha() for c in row.text or ""):
+            assert found[row.doc_id].lang_pred == "und"
+            continue
+        ((buckets, counts),) = arrow_text.gram_counts(pa.array([row.text]), language.SIZES, language.BITS, lower=True)
+        values = [(c / sum(counts.tolist())) ** 0.5 for c in counts.tolist()]
+        margins = [sum(v * model.vectors[b, k] for b, v in zip(buckets.tolist(), values)) + model.bias[k] for k in range(model.code.shape[1])]
+        losses = [sum(w * np.log1p(np.exp(-np.clip(m * c, -30, 30))) for w, m, c in zip(model.weights, margins, word)) for word in model.code]
+        near = [np.exp(min(losses) - x) for x in losses]
+        assert found[row.doc_id].lang_pred == model.names[int(np.argmin(losses))]
+        assert found[row.doc_id].score == pytest.approx(max(near) / sum(near), rel=1e-6)
+
+
+def test_plain_average_and_softmax(spark):
+    """op9: the mean of all vectors of a text's n-grams and words, and the softmax over it, summed one by one."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40).collect()
+    found = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    for row in rows:
+        ((buckets, counts),) = arrow_text.gram_counts(pa.array([row.text or ""]), quality.SIZES, quality.BITS, lower=False)
+        total = sum(counts.tolist())
+        mean = [sum(c * model.vectors[b, k] for b, c in zip(buckets.tolist(), counts.tolist())) / total if total else 0.0 for k in range(model.vectors.shape[1])]
+        out = [sum(m * model.layer[k, j] for k, m in enumerate(mean)) + model.bias[j] for j in range(2)]
+        high = max(out)
+        share = np.exp(out[1] - high) / (np.exp(out[0] - high) + np.exp(out[1] - high))
+        assert found[row.doc_id] == pytest.approx(share, rel=1e-6, abs=1e-12)  # odds are cut at exp(-30)

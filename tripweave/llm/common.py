@@ -2,18 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import ctypes
+import gc
+import sys
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripweave.session import write_through
 
-#: A written side of at most so many rows of a few fixed-width columns (16-24 bytes a row, so 48 MB) is broadcast.
+#: A written side of a few fixed-width columns is broadcast up to this size, with so many bytes for each row of Spark's hash table.
 #: Beyond it both sides are shuffled, and adaptive execution splits skewed keys.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES, ROW_BYTES = 96 << 20, 96
+#: Bits of the filter that keeps rows from being shuffled for keys that cannot meet: 2 MB, whatever the number of keys.
+FILTER_BITS = 24
 
 
-def sized(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a written table of fixed-width columns for broadcast if it is counted to be small."""
-    return F.broadcast(table) if table.count() <= limit else table
+    return F.broadcast(table) if table.count() * ROW_BYTES <= limit else table
+
+
+def meeting(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows join keys on a column of 64-bit hashes; keys is a written table with one row a key. Where keys is too large to be broadcast, rows
+    first pass a bit table of the keys, so that of those that meet nothing few are shuffled."""
+    marked = sized(keys)
+    if marked is not keys:
+        return rows.join(marked, key)
+    words = 1 << (FILTER_BITS - 6)
+    places = [F.shiftright(F.col(key), shift) for shift in (0, 20, 40)]  # three bits a key, from different parts of it
+    bits = keys.select(F.explode(F.array(*[F.pmod(p, F.lit(1 << FILTER_BITS)) for p in places])).alias("slot"))
+    bits = bits.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("bits"))
+    every = keys.sparkSession.range(words).withColumnRenamed("id", "word").join(F.broadcast(bits), "word", "left")
+    table = every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("words"))
+    table = write_through(table.select(F.col("words.bits").alias("words")))
+    passed = F.lit(True)
+    for place in places:
+        at = (F.pmod(F.shiftright(place, 6), F.lit(words)) + 1).cast("int")
+        passed &= F.getbit(F.element_at(table.scalar(), at), F.pmod(place, F.lit(64)).cast("int")) == 1
+    return rows.where(passed).join(keys, key)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect its garbage now: Spark's cleaner deletes the shuffle files of frames that are gone only after
+    that, and a large reduction's files would lie beside those of the next one until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release() -> None:
+    """Give freed memory of a worker back to the system: workers outlive their tasks, and idle ones would keep it from the executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """A function over batches that gives memory back at its end."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
 
 
 def connected(edges: DataFrame) -> DataFrame:

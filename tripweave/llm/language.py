@@ -5,9 +5,9 @@ linear in the frequencies of hashed byte n-grams and words, predicts whether the
 given the codeword with the least loss over all bits, each bit weighted by how much better than chance its classifier does
 on the training rows. The text is ambiguous where the next codeword is nearly as close.
 
-Training rows: of the rows with a text and a language that are not held out, about SAMPLE_ROWS for each language, chosen by
-a hash of the id (the bound is a parameter); the executors count the buckets of whole texts. Only text and language are
-read.
+Training rows: of the rows with a text and a language that are not held out, at most SAMPLE_ROWS for each language, chosen by
+a hash of id and text (the bound is a parameter; see training); the executors count the buckets of whole texts. Rows with the same id, text
+and language train once. Only id, text and language are read.
 
 Defined results: a text that is null or holds no letter (Unicode category L) is `und` with score 0 and counts as ambiguous;
 without any training row all texts are. With one training language that one is given. Every row of docs gives one row;
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import gram_counts
-from .training import collect_counts, held_out, keep_rows, sampled, score_texts
+from .training import collect_counts, given_rows, keep_rows, score_texts
 
 SAMPLE_ROWS = 500
 SIZES, BITS = (2, 3), 14
@@ -116,8 +116,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], names: list[str], *, epochs:
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hold: tuple[int, int] = (4, 2), per_label: int = SAMPLE_ROWS) -> Coded | None:
     """hold = (folds, fold) names the held-out rows: crc32 of the id as text modulo folds is fold. None without any row."""
-    given = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("doc"), *hold))
-    rows = sampled(given, "label", "doc", per_label).where("text IS NOT NULL").select("label", "text")
+    rows = given_rows(docs, id_col=id_col, text_col=text_col, label_col=lang_col, hold=hold, per_label=per_label)
     names, found = collect_counts(rows, features)
     return fit(found, names) if names else None
 
@@ -142,7 +141,7 @@ def predict(docs: DataFrame, model: Coded | None, *, id_col: str = "doc_id", tex
 
 
 def drop_unclear(docs: DataFrame, model: Coded | None, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text has letters and one clear language."""
+    """The rows of docs, all columns, whose text has letters and one clear language. Null and empty texts have no letter and go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep_rows(docs.where(F.col(text_col).rlike(r"\p{L}")), lambda column: np.array([not u for _, _, u in _judge(shared.value, column)], bool), text_col=text_col)
     return keep

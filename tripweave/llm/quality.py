@@ -4,8 +4,8 @@ Byte n-grams and words are hashed to buckets, each with a learned vector. A text
 n-grams and words, and a softmax layer over it gives the labels' probabilities. Vectors and layer are trained together by
 stochastic gradient descent with a falling rate, by numpy on the driver.
 
-Training rows: of the labelled rows that are not held out, about SAMPLE_ROWS for each label, chosen by a hash of the id
-(the bound is a parameter); the executors count the buckets of whole texts. Only text and label are read.
+Training rows: of the labelled rows that are not held out, at most SAMPLE_ROWS for each label, chosen by a hash of id and
+text (the bound is a parameter; see training); the executors count the buckets of whole texts. Only text and label are read.
 
 Defined results: a null or empty text has the zero vector, so its score is the layer's bias. Rows without a label, or
 whose id has no labelled row, train nothing; an id with several labels trains with each. With no training rows of one of

@@ -8,9 +8,9 @@ stem), hashed to 32 bits. The model keeps the terms that tell the labels apart i
 so that two terms together can weigh more or less than one by one. The score is 1 / (1 + exp(-s)). It is fitted with
 AdaGrad on the log loss, by numpy on the driver.
 
-Training rows: of the labelled rows that are not held out, about SAMPLE_ROWS for each label, chosen by a hash of the id
-(the bound is a parameter); whole texts are turned into terms by the executors. Only text and label are read. Equal
-training texts count once for each row.
+Training rows: of the labelled rows that are not held out, at most SAMPLE_ROWS for each label, chosen by a hash of id and
+text (the bound is a parameter; see training); whole texts are turned into terms by the executors. Only text and label are read. Rows with
+the same id, text and label train once.
 
 Defined results: a null or wordless text has no terms and the score of w0 alone. Rows without a label, or whose id has
 no labelled row, train nothing; an id with several labels trains with each. With no training rows of one of the labels
@@ -135,6 +135,6 @@ def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that score below the threshold."""
+    """The rows of docs, all columns, that score below the threshold. Null, empty and wordless texts have the score of the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     return keep_rows(docs, lambda column: shared.value.score(text_terms(column)) < threshold, text_col=text_col)
