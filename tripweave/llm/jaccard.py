@@ -8,9 +8,11 @@ q * |A & B| >= p * |A | B|. The join is exact up to collisions of 64-bit hashes.
   the symmetric difference. If A is the smaller set, linked sets differ in at most d = floor(|A| (q - p) / p) tokens.
 * Pigeonhole for each size band: sets whose smaller one lies in a band use the same d and the same number of blocks, a few
   more than d, and at most d non-empty blocks of either differ. So linked sets with x and y non-empty blocks share at least
-  max(x, y) - d keys (band, block, XOR). A set with d non-empty blocks or fewer gives one key more, for the rest of its
+  max(x, y) - d keys (band, block, XOR). Of its non-empty blocks a set gives only the first few more than d, which keeps that true with
+  x and y counted up to there. A set with d non-empty blocks or fewer gives one key more, for the rest of its
   band, which any two such sets share.
-* Keys meet by a partial aggregation. Classes that share a key with at most CROWD classes are paired, if their sizes
+* Keys meet by a partial aggregation. A class that meets others in fewer keys of a band than it would share with one it links to
+  leaves that band, so that a passage which very many documents share brings nothing together by itself. Classes that share a key with at most CROWD classes are paired, if their sizes
   allow a link. A pair is dropped when it shares too few keys (unless one of them is crowded), and when the Hamming distance of its bit sketches (each token flips one bit; about a bit
   for each token), which is a lower bound of the symmetric difference too, is too large. In a crowded key, each class
   hangs on the smallest one instead, so that no crowd is written out as pairs.
@@ -34,10 +36,10 @@ from pyspark.sql import DataFrame, functions as F
 from tripweave.session import write_through
 
 from .arrow_text import SPACED, hashed_words, mix, numbered, shingles
-from .common import connected, sized
+from .common import connected, drop_shuffles, meeting as meet, released, sized
 
 #: A size band ends at so many times its start. Wider bands repeat fewer sets in two bands, but give short sets more keys.
-BAND = 1.7
+BAND = 1.4
 #: Keys shared by more classes than this are not written out as pairs.
 CROWD = 64
 _SALT = numbered(4, 2)
@@ -52,15 +54,15 @@ def band_starts(upto: int) -> list[int]:
 
 
 def blocks(d: int) -> int:
-    """Blocks of a band whose linked sets differ in at most d tokens: a few more than d + 1, so that sets with no more than
-    d non-empty blocks are rare (about one in a million)."""
+    """Blocks of a band whose linked sets differ in at most d tokens: so many more than d + 1 that sets with no more than d
+    non-empty blocks are rare (three standard deviations for the smallest sets of a band at a similarity of 0.8)."""
     if d == 0:
         return 1
     if d < 4:
         return 64
     if d < 16:
         return 4 * (d + 1)
-    return math.ceil((1.5 if d < 64 else 1.2 if d < 256 else 1.12) * (d + 1))
+    return math.ceil((1.5 if d < 64 else 1.2 if d < 256 else 1.15 if d < 1024 else 1.12) * (d + 1))
 
 
 def block_keys(tokens: np.ndarray, p: int, q: int) -> list[tuple[int, int, np.ndarray]]:
@@ -83,10 +85,12 @@ def block_keys(tokens: np.ndarray, p: int, q: int) -> list[tuple[int, int, np.nd
         first = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
         parity = np.bitwise_xor.reduceat(tokens * _SALT[0], first)
         place = mix(block[first] + np.uint64(band << 40))
-        keys = mix(parity ^ place)
+        # Of the two sets the one whose first `most` blocks end earlier shares all but d of them with the other, within these.
+        most = d + 2 + d // 16
+        keys = mix(parity ^ place)[:most]
         if len(first) <= d:
             keys = np.append(keys, mix(np.array([band], np.uint64) + _SALT[1]))
-        out.append((band, max(1, len(first) - d), keys))
+        out.append((band, max(1, min(len(first), most) - d), keys))
     return out
 
 
@@ -254,12 +258,15 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("similarity must be a fraction p / q, 0 < p <= q")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = write_through(rows.mapInArrow(_signatures(n, p, q), f"row bigint, id {kind}, size bigint, class bigint, keys array<struct<key:bigint,band:int,need:int>>, sketch binary"))
+    signed = write_through(rows.mapInArrow(released(_signatures(n, p, q)), f"row bigint, id {kind}, size bigint, class bigint, keys array<struct<key:bigint,band:int,need:int>>, sketch binary"))
 
     keyed = signed.where("class IS NOT NULL").select("class", "size", F.inline("keys"))
-    shared = write_through(keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key", "least"))
-    meeting = write_through(keyed.join(sized(shared), "key").groupBy("key", "least", "class").agg(*[F.max(c).alias(c) for c in ("size", "band", "need")]))
-    crowds = write_through(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD).select("key"))
+    shared = write_through(keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key"))
+    drop_shuffles(docs.sparkSession)
+    meeting = write_through(meet(keyed, shared, "key").groupBy("key", "class").agg(*[F.max(c).alias(c) for c in ("size", "band", "need")]))
+    needed = meeting.groupBy("class", "band").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("needed")).where("met >= needed").select("class", "band")
+    meeting = write_through(meeting.join(needed, ["class", "band"]).select(*meeting.columns))
+    crowds = write_through(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("smallest")).where(F.col("members") > CROWD).select("key", "smallest"))
     candidates = write_through(meeting.select("class").distinct())
     classes = write_through(
         signed.join(sized(candidates), "class").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), F.first("sketch").alias("sketch"))
@@ -276,13 +283,14 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         classes.select(F.col("class").alias("other"), F.col("sketch").alias("other_sketch")), "other"
     )
     near = sketched.select("class", "other", "sizes", "sketch", "other_sketch").mapInArrow(_near(p, q), "class bigint, other bigint")
-    crowded = meeting.join(sized(crowds), "key").where("class != least").select("class", F.col("least").alias("other")).distinct()
+    crowded = meeting.join(sized(crowds), "key").where("class != smallest").select("class", F.col("smallest").alias("other")).distinct()
     clusters = connected(near.unionByName(crowded))
     members = write_through(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).unionByName(
         clusters.select(F.col("root").alias("class"), F.col("root").alias("cluster")).distinct()))
     classes = write_through(classes.drop("sketch").join(members, "class"))
     texts = rows.join(sized(classes.select("row")), "row").select("text")
-    sets = texts.mapInArrow(_sets(n), "class bigint, tokens binary")
+    drop_shuffles(docs.sparkSession)
+    sets = texts.mapInArrow(released(_sets(n)), "class bigint, tokens binary")
     # Chunks of a cluster of c classes: sqrt(c) / 8, so that pairs of chunks repeat a class that many times at most.
     chunks = classes.groupBy("cluster").agg(F.ceil(F.sqrt(F.count(F.lit(1))) / 8).alias("chunks"))
     dealt = classes.join(chunks, "cluster").select("class", "cluster", "copies", "chunks", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("own"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from tripweave.session import write_through
 
 from .arrow_text import mix, numbered
-from .common import connected, sized
+from .common import connected, meeting as meet, sized
 
 MISS = 1e-5
 CONFIDENCE = 5.0
@@ -230,7 +230,7 @@ def components(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id",
     )
     keyed = signed.select("class", F.explode("keys").alias("key"))
     shared = write_through(keyed.groupBy("key").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1"))
-    meeting = write_through(keyed.join(sized(shared), "key"))
+    meeting = write_through(meet(keyed, shared, "key"))
     few = meeting.where(F.col("members") <= CROWD).select("key", "class")
     pairs = few.join(few.select("key", F.col("class").alias("other")), "key").where("class < other").select("class", "other").distinct()
     coded = pairs.join(signed.select("class", "group", "code", "factors"), "class")
