@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tripweave.catalog import QUERIES
 from tripweave.catalog.forecast import blocks, labelled
-from tripweave.operators import bundle, features, folds, models, scoring
+from tripweave.functions.clock import Horizon
+from tripweave.operators import boosting, bundle, features, folds, models, scoring
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +52,60 @@ def test_boosted_trees_never_predict_below_zero(hourly):
     assert unseen.count() == hourly.count()
 
 
+def test_one_newton_step_by_hand(spark):
+    """A single split: each side's margin moves by rate * sum w (y - mu) / sum w mu."""
+    rows = [(0.0, y, w) for y, w in ((1, 1.0), (3, 2.0), (0, 1.0))] + [(1.0, y, w) for y, w in ((8, 1.0), (10, 0.5))] + [(1.0, None, 1.0), (0.0, 4, 0.0)]
+    df = spark.createDataFrame(rows, "x double, n int, w double")
+    model = boosting.fit(df, ["x"], weight="w", rounds=1, depth=1, step=0.3)
+    used = [r for r in rows if r[1] is not None and r[2] > 0]
+    mean = sum(y * w for _, y, w in used) / sum(w for *_, w in used)
+    for side in (0.0, 1.0):
+        own = [(y, w) for x, y, w in used if x == side]
+        leaf = sum(w * (y - mean) for y, w in own) / sum(w * mean for _, w in own)
+        made = model.transform(df).where(F.col("x") == side).first()["pred"]
+        assert made == pytest.approx(mean * 2.718281828459045 ** (0.3 * leaf), rel=1e-9)
+
+
+def test_newton_rounds_by_hand(spark):
+    """Full trees on a category: the margins of both values follow the recursion, for as many rounds as are written in between."""
+    rows = [("a", 1), ("a", 2), ("b", 6), ("b", 9), ("b", 9)]
+    model = boosting.fit(spark.createDataFrame(rows, "c string, n int"), [], ["c"], rounds=9, depth=2, step=0.5)
+    mean = sum(n for _, n in rows) / len(rows)
+    mu = {"a": mean, "b": mean}
+    level = {c: sum(n for x, n in rows if x == c) / sum(x == c for x, _ in rows) for c in mu}
+    for _ in range(9):
+        mu = {c: m * 2.718281828459045 ** (0.5 * (level[c] - m) / max(m, 0.05 * mean)) for c, m in mu.items()}
+    made = {r["c"]: r["pred"] for r in model.transform(spark.createDataFrame([("a", 0), ("b", 0)], "c string, n int")).collect()}
+    assert made == pytest.approx(mu, rel=1e-9)
+    assert model.transform(spark.createDataFrame([("new", 0)], "c string, n int")).first()["pred"] > 0
+
+
+def test_poisson_loss_beats_log_counts(hourly):
+    """Lower deviance than the squared loss of log counts on every fold, with the same trees."""
+    found = folds.folds(hourly, 3, "walk_forward")
+    options = {"rounds": 12, "depth": 3, "step": 0.3}
+    own = models.walk_forward(hourly, found, models.poisson_fit_predict(["hour", "cell_prior"], **options))
+    logs = models.walk_forward(hourly, found, models.boosted_fit_predict(["hour", "cell_prior"], **options))
+    for f in found:
+        assert deviance(own.where(F.col("fold") == f.number)) < deviance(logs.where(F.col("fold") == f.number))
+
+
+def test_no_events_and_no_rows(spark):
+    df = spark.createDataFrame([(1.0, 0), (2.0, 0)], "x double, n int")
+    for train in (df, df.limit(0)):
+        assert boosting.fit(train, ["x"], rounds=3).transform(df).agg(F.max("pred")).first()[0] < 1e-8
+
+
+def test_gini_of_real_values(spark):
+    from tripweave.operators import ranking
+
+    values = [0.5, 0.5, 2.25, 7.0, 0.0, 11.125, 3.5, 3.5]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+    got = ranking.gini(df, "v").first()
+    apart = sum(abs(a - b) for a in values for b in values) / (2 * len(values) * sum(values))
+    assert (got["holders"], got["total"]) == (len(values), sum(values)) and got["gini"] == pytest.approx(apart)
+
+
 def test_naive_walk_equals_fold_by_fold(hourly):
     found = folds.folds(hourly, 4, "walk_forward")
     keys, coarse = ["cell", "hour", "dow"], ["cell", "hour"]
@@ -76,20 +131,26 @@ def test_bundle_round_trip_and_refusals(spark, hourly, tmp_path):
 
     chain = features.FeatureSet(made())
     chain.fit(panel)
-    model = models.boosted(chain.columns, rounds=2, depth=2).fit(models.boosted_columns(chain.transform_keeping(panel), chain.columns, "arrivals"))
+    model = boosting.fit(models.boosted_columns(chain.transform_keeping(panel), chain.columns), chain.columns, label="arrivals", rounds=2, depth=2)
+    morning = Horizon(390, 180, 30)
     with pytest.raises(ValueError, match="first day"):
-        bundle.Bundle(model, chain, 1.2).save(str(tmp_path / "a"))
-    saved = bundle.Bundle(model, chain, 1.2, first_day=date(2026, 3, 2))
+        bundle.Bundle(model, chain, morning, 1.2).save(str(tmp_path / "a"))
+    saved = bundle.Bundle(model, chain, morning, 1.2, first_day=date(2026, 3, 2))
     saved.save(str(tmp_path / "b"))
-    again = bundle.Bundle.load(spark, str(tmp_path / "b"), made())
+    again = bundle.Bundle.load(spark, str(tmp_path / "b"), made(), morning)
+    for other in (Horizon(0, 360, 60), Horizon(420, 180, 30)):
+        with pytest.raises(ValueError, match="saved for"):
+            bundle.Bundle.load(spark, str(tmp_path / "b"), made(), other)
+    with pytest.raises(ValueError, match="outside the 6 slots"):
+        again.predict(panel.withColumn("slot", F.col("slot") + 1))
     one_day = panel.where("date = date'2026-03-15'")
     gap = bundle.largest_difference(saved.predict(one_day), again.predict(one_day), ["block_id", "date", "slot"]).first()
     assert gap["unmatched"] == 0 and gap["max_difference"] == 0.0
     with pytest.raises(ValueError):
-        bundle.Bundle.load(spark, str(tmp_path / "b"), made()[:2])
+        bundle.Bundle.load(spark, str(tmp_path / "b"), made()[:2], morning)
     other = [features.Calendar(DayTypes(holidays=(date(2026, 3, 3),))), *made()[1:]]
     with pytest.raises(ValueError, match="holidays"):
-        bundle.Bundle.load(spark, str(tmp_path / "b"), other)
+        bundle.Bundle.load(spark, str(tmp_path / "b"), other, morning)
 
 
 def test_units_and_slots(spark):

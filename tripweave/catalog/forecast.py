@@ -609,11 +609,32 @@ def model_overdispersed_glm(spark, sf):
 BOOSTED = ["hour", "dow", "is_weekend", "lag1", "lag24", "lag168", "lag1_ma3", "cell_prior"]
 
 
+def _boosted(df, found, loss, rounds=10):
+    make = models.poisson_fit_predict if loss == "poisson" else models.boosted_fit_predict
+    return models.walk_forward(df, found, make(BOOSTED, rounds=rounds, depth=4))
+
+
 @query("model_boosted", MODEL_SQL)
 def model_boosted(spark, sf):
+    """Trees fitted on the Poisson loss."""
+    df = hourly(spark, sf)
+    return _model_checks(_boosted(df, folds.folds(df, 4, "walk_forward"), "poisson"))
+
+
+@query("model_boosted_log_counts", MODEL_SQL)
+def model_boosted_log_counts(spark, sf):
+    """Trees fitted on the squared loss of log counts, brought back to the mean."""
+    df = hourly(spark, sf)
+    return _model_checks(_boosted(df, folds.folds(df, 4, "walk_forward"), "squared"))
+
+
+@query("model_boosted_losses")
+def model_boosted_losses(spark, sf):
+    """Deviance of each fold for either loss."""
     df = hourly(spark, sf)
     found = folds.folds(df, 4, "walk_forward")
-    return _model_checks(models.walk_forward(df, found, models.boosted_fit_predict(BOOSTED, rounds=10, depth=4)))
+    parts = [scoring.score(_boosted(df, found, loss).withColumnRenamed("n", "actual"), ["fold"]).select(F.lit(loss).alias("fitted_on"), "fold", "n", "poisson_deviance") for loss in ("poisson", "squared")]
+    return parts[0].unionByName(parts[1])
 
 
 def slot_rows(spark, sf, df):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.catalog.base import query, raw_trips, rounded, sql_workday, trips_sql
 from tripweave.catalog.cleaning import DROPS, raw_sql
-from tripweave.catalog.forecast import CUT, LABELLED, blocks, labelled, slot_rows
+from tripweave.catalog.forecast import CUT, LABELLED, TOP_UNITS, blocks, labelled, slot_rows
 from tripweave.catalog.panels import morning_panel, panel_sql
 from tripweave.functions.clock import MORNING
-from tripweave.operators import bundle, features, folds, models, qc, scoring
+from tripweave.operators import boosting, bundle, features, folds, models, qc, ranking, scoring
 from tripweave.session import shared_path
 from tripweave.sources import orders, tables
 
@@ -89,40 +92,54 @@ def sink_result_csv(spark, sf):
 
 # ---- saved models -----------------------------------------------------------
 
+#: Trees of a saved bundle here; see README for why fewer than in a production run.
+ROUNDS = 8
+
 
-def saved_bundle(spark, sf, panel, until=None):
-    """Blocks and trees fitted on the days before `until`, or on all days, with a calibration factor."""
-    train = panel if until is None else panel.where(F.col("date") < F.lit(until))
-    chain = features.FeatureSet(blocks(spark, sf)).fit(train)
+def saved_bundle(spark, sf, panel, until=None, target="arrivals"):
+    """Blocks and trees fitted on the days before `until`, or on all days, with the run's rows and weights."""
+    train = slot_rows(spark, sf, panel).training(panel if until is None else panel.where(F.col("date") < F.lit(until)))
+    chain = features.FeatureSet(blocks(spark, sf, target)).fit(train.drop("weight"))
     columns = chain.columns
-    prepared = models.boosted_columns(chain.transform_keeping(train), columns, "arrivals")
-    model = models.boosted(columns, label="arrivals", rounds=3, depth=4).fit(prepared)
+    prepared = models.boosted_columns(chain.transform_keeping(train), columns)
+    model = boosting.fit(prepared, columns, (), target, "weight", rounds=ROUNDS, depth=4)
     first_day = train.agg(F.min("date")).first()[0]
-    factor = models.level_factor(model, prepared, "arrivals")
-    return bundle.Bundle(model, chain, factor, {"target": "arrivals", "trained_before": str(until)}, first_day)
+    return bundle.Bundle(model, chain, MORNING, 1.0, {"target": target, "trained_before": str(until)}, first_day)
 
 
-def reloaded(spark, sf, saved):
+def reloaded(spark, sf, saved, target="arrivals"):
     path = shared_path(spark, "bundles")
     saved.save(path)
-    fresh = blocks(spark, sf)
+    fresh = blocks(spark, sf, target)
     fresh[4] = features.Weather(None, MORNING)
-    return bundle.Bundle.load(spark, path, fresh)
-
+    return bundle.Bundle.load(spark, path, fresh, MORNING)
 
-_SAME = trips_sql(f"{LABELLED} SELECT count(*) AS n, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS DOUBLE) AS max_difference FROM panel")
 
-
-@query("model_reload", _SAME)
+@query(
+    "model_reload",
+    trips_sql(
+        f"""{LABELLED} SELECT target, count(*) AS n, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS DOUBLE) AS max_difference
+FROM panel, (VALUES ('arrivals'), ('departures')) AS t(target) GROUP BY 1"""
+    ),
+)
 def model_reload(spark, sf):
-    """A bundle of the model refitted on all days predicts from bare keys exactly what it predicted before saving."""
+    """For both targets: a bundle of the model refitted on all days predicts from bare keys exactly what it predicted before saving."""
     panel = labelled(spark, sf)
-    saved = saved_bundle(spark, sf, panel)
-    again = reloaded(spark, sf, saved)
-    return bundle.largest_difference(saved.predict(panel), again.predict(panel), ["block_id", "date", "slot"])
+    parts = []
+    for target in features.TARGETS:
+        saved = saved_bundle(spark, sf, panel, target=target)
+        again = reloaded(spark, sf, saved, target)
+        gap = bundle.largest_difference(saved.predict(panel), again.predict(panel), ["block_id", "date", "slot"])
+        parts.append(gap.select(F.lit(target).alias("target"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+_SAME = trips_sql(
+    f"{LABELLED} SELECT count(*) AS n, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS DOUBLE) AS max_difference FROM panel WHERE date = (SELECT max(date) FROM panel)"
+)
 
 
-@query("model_day_alone", _SAME.replace("FROM panel", "FROM panel WHERE date = (SELECT max(date) FROM panel)"))
+@query("model_day_alone", _SAME)
 def model_day_alone(spark, sf):
     """The last day predicted alone equals the same day predicted with all others."""
     panel = labelled(spark, sf)
@@ -182,6 +199,55 @@ def model_ablation_scores(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    "model_slot_rows",
+    trips_sql(
+        f"""{_VALID}, {TOP_UNITS}, t AS (SELECT 'arrivals' AS target, arrivals AS v, block_id FROM valid UNION ALL SELECT 'departures', departures, block_id FROM valid)
+SELECT target, count(*) AS n, CAST(sum(v) AS DOUBLE) AS obs_sum, true AS scored FROM t WHERE block_id IN (SELECT block_id FROM chosen) GROUP BY 1"""
+    ),
+)
+def model_slot_rows(spark, sf):
+    """What is exact of the run on the slot panel: the scored rows of all folds and their observed totals, for both targets."""
+    df = labelled(spark, sf)
+    found, rows = folds.folds(df, 3, "week_forward"), slot_rows(spark, sf, df)
+    parts = []
+    for target in features.TARGETS:
+        run = models.feature_fit_predict(lambda t=target: blocks(spark, sf, t), target, rows, rounds=2, depth=3)
+        preds = scoring.calibrate(models.walk_forward(df, found, run)).where("scored")
+        scored = (F.col("poisson_deviance") >= 0) & (F.col("pred_sum") > 0)
+        parts.append(scoring.score(preds).select(F.lit(target).alias("target"), "n", "obs_sum", scored.alias("scored")))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "panel_export_order",
+    trips_sql(f"{LABELLED} SELECT row_number() OVER (ORDER BY date, slot, block_id) AS place, date, slot, block_id FROM panel"),
+)
+def panel_export_order(spark, sf):
+    """Place of each row in the export: the ordered panel written as CSV, its places counted over ranges."""
+    exported = tables.write_result(tables.ordered(labelled(spark, sf)), shared_path(spark, "exports"), "csv")
+    rows = spark.read.option("header", True).schema(labelled(spark, sf).schema).csv(exported).select("date", "slot", "block_id")
+    return ranking.global_rank(rows, [F.col("date"), F.col("slot"), F.col("block_id")], "place")
+
+
+@query(
+    "selected_units",
+    trips_sql(
+        f"""{LABELLED}, {TOP_UNITS}, u AS (SELECT DISTINCT block_id FROM panel), listed AS (SELECT block_id FROM u ORDER BY block_id LIMIT 3)
+SELECT 'all' AS rule, block_id FROM u UNION ALL SELECT 'top_n', block_id FROM chosen UNION ALL SELECT 'list', block_id FROM listed UNION ALL SELECT 'file', block_id FROM u WHERE block_id LIKE '%7'"""
+    ),
+)
+def selected_units(spark, sf):
+    """Units to train on by each rule: all, the busiest, a list, and a file of ids."""
+    panel = labelled(spark, sf)
+    units = panel.select("block_id").distinct()
+    listed = [r["block_id"] for r in units.orderBy("block_id").limit(3).collect()]
+    path = tables.write_result(units.where("block_id LIKE '%7'"), shared_path(spark, "unit_lists"), "csv")
+    rules = {"all": "all", "top_n": "top_n", "list": listed, "file": spark.read.option("header", True).csv(path)}
+    parts = [features.select_units(panel, rule, 20).select(F.lit(name).alias("rule"), "block_id") for name, rule in rules.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("model_search")
 def model_search(spark, sf):
     """Loss of every combination of a small grid over all folds (fold null) and on each, for both targets, with the run's

@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 from datetime import date
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripweave.functions.clock import Horizon
+from tripweave.operators.boosting import CountTrees
 from tripweave.operators.features import FeatureSet
-from tripweave.operators.models import boosted_columns, boosted_predictions
+from tripweave.operators.models import boosted_columns
 
 
 class Bundle:
-    """Model, fitted blocks, column order, calibration factor and notes.
+    """Model, fitted blocks, column order, calibration factor, the horizon its slots count in, and notes.
 
-    Predicting needs the key columns, and lat and lon where a block asks for them. The window of the calendar starts at
+    A slot number means a time of day only within a horizon: a bundle is saved with it, and loading it for another one, or predicting
+    slots beyond it, is refused. Predicting needs the key columns, and lat and lon where a block asks for them. The window of the calendar starts at
     `first_day`, the first training date, whatever days are predicted; a bundle without one is not saved.
     """
 
-    def __init__(self, model: PipelineModel, features: FeatureSet, factor: float = 1.0, meta: dict | None = None, first_day: date | None = None):
-        self.model, self.features, self.factor = model, features, float(factor)
+    def __init__(self, model: CountTrees, features: FeatureSet, horizon: Horizon, factor: float = 1.0, meta: dict | None = None, first_day: date | None = None):
+        self.model, self.features, self.horizon, self.factor = model, features, horizon, float(factor)
         self.meta = dict(meta or {})
         for block in features.blocks:
             if first_day is not None and getattr(block, "origin", first_day) is None:
@@ -33,8 +37,11 @@ class Bundle:
         if lacking:
             raise ValueError(f"the model needs {lacking}")
         known = [c for c in ("block_id", "date", "slot", "lat", "lon") if c in keys.columns]
+        beyond = keys.where((F.col("slot") < 0) | (F.col("slot") >= self.horizon.n_slots)).select("slot").take(1)
+        if beyond:
+            raise ValueError(f"slot {beyond[0]['slot']} is outside the {self.horizon.n_slots} slots of the model's horizon")
         made = boosted_columns(self.features.transform(keys.select(*known)), columns)
-        scored = boosted_predictions(self.model, made)
+        scored = self.model.transform(made)
         return scored.select(
             "block_id", "date", "slot", F.col("pred").alias("pred_raw"), (F.col("pred") * self.factor).alias("pred")
         )
@@ -43,9 +50,9 @@ class Bundle:
         """Write the model, one Parquet table per learnt table, and a JSON description."""
         if any(getattr(block, "origin", 0) is None for block in self.features.blocks):
             raise ValueError("the calendar's window has no first day")
-        self.model.write().overwrite().save(f"{path}/model")
+        self.model.stages.write().overwrite().save(f"{path}/model")
         spark = SparkSession.active()
-        described: dict = {"factor": self.factor, "meta": self.meta, "columns": self.features.columns, "blocks": {}}
+        described: dict = {"factor": self.factor, "intercept": self.model.intercept, "horizon": asdict(self.horizon), "meta": self.meta, "columns": self.features.columns, "blocks": {}}
         for block in self.features.blocks:
             plain, tables = {}, {}
             for key, value in block.state().items():
@@ -60,9 +67,13 @@ class Bundle:
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/bundle")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, blocks: list) -> "Bundle":
-        """Read a folder back into freshly made blocks; refuses other blocks or changed tables."""
+    def load(cls, spark: SparkSession, path: str, blocks: list, horizon: Horizon) -> "Bundle":
+        """Read a folder back into freshly made blocks; refuses other blocks, another horizon or changed tables."""
         described = json.loads(spark.read.text(f"{path}/bundle").first()["value"])
+        if "horizon" not in described:
+            raise ValueError(f"{path} does not say which horizon its slots count in; save it again")
+        if Horizon(**described["horizon"]) != horizon:
+            raise ValueError(f"saved for {described['horizon']}, not {asdict(horizon)}")
         names = [b.name for b in blocks]
         if names != list(described["blocks"]):
             raise ValueError(f"saved with blocks {list(described['blocks'])}, not {names}")
@@ -81,7 +92,8 @@ class Bundle:
         features = FeatureSet(blocks)
         if features.columns != described["columns"]:
             raise ValueError("the blocks emit other columns than the saved ones")
-        return cls(PipelineModel.load(f"{path}/model"), features, described["factor"], described["meta"])
+        model = CountTrees(PipelineModel.load(f"{path}/model"), described["intercept"])
+        return cls(model, features, horizon, described["factor"], described["meta"])
 
 
 def fingerprint(table: DataFrame) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tripweave.operators import boosting
 from tripweave.operators.folds import Fold
 from tripweave.operators.joins import member_of
 from tripweave.operators.scoring import measures
@@ -98,8 +99,7 @@ def boosted(
 ) -> Pipeline:
     """Gradient-boosted trees on log1p of the count; categories keep the training set's codes.
 
-    Spark trees have no Poisson objective, so the squared loss is taken on the log scale; level_factor() brings the mean
-    back. `bins` has to be at least the number of values of the largest category, see category_bins().
+    The squared loss is taken on the log scale and level_factor() brings the mean back; boosting.fit has the Poisson loss. `bins` has to be at least the number of values of the largest category, see category_bins().
     """
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_code", handleInvalid="keep") for c in categorical]
     columns = [f"{c}_code" for c in categorical] + list(numeric)
@@ -163,7 +163,8 @@ def glm_fit_predict(family: str) -> FitPredict:
 
 
 def boosted_fit_predict(numeric: list[str], categorical: list[str] = (), **options) -> FitPredict:
-    """Trees on numeric columns, among them the cell's training mean, and on categories where they are wanted."""
+    """Trees on numeric columns, among them the cell's training mean, and on categories where they are wanted, for the squared
+    loss of log counts. poisson_fit_predict is the same for the count's own loss."""
 
     def run(train: DataFrame, valid: DataFrame) -> DataFrame:
         prepared = boosted_columns(with_cell_prior(train, train), numeric, "n").persist()
@@ -177,6 +178,18 @@ def boosted_fit_predict(numeric: list[str], categorical: list[str] = (), **optio
     return run
 
 
+def poisson_fit_predict(numeric: list[str], categorical: list[str] = (), **options) -> FitPredict:
+    """Trees fitted on the Poisson loss, see boosting."""
+
+    def run(train: DataFrame, valid: DataFrame) -> DataFrame:
+        prepared = boosted_columns(with_cell_prior(train, train), numeric)
+        bins = category_bins(prepared, list(categorical))
+        model = boosting.fit(prepared, list(numeric), list(categorical), "n", bins=bins, **options)
+        return model.transform(boosted_columns(with_cell_prior(train, valid), numeric))
+
+    return run
+
+
 @dataclass(frozen=True)
 class Rows:
     """Which rows train, what they weigh and which count toward the score.
@@ -216,21 +229,16 @@ class Rows:
 
 
 def feature_fit_predict(blocks: Callable[[], list], target: str, rows: Rows = Rows(), **options) -> FitPredict:
-    """Feature blocks fitted on the training rows, weighted boosted trees on their columns; predictions say which rows are
-    scored and which are in the group."""
+    """Feature blocks fitted on the training rows, weighted trees for the Poisson loss on their columns; predictions say which rows
+    are scored and which are in the group."""
     from tripweave.operators.features import FeatureSet
 
     def run(train: DataFrame, valid: DataFrame) -> DataFrame:
         chosen = rows.training(train)
         features = FeatureSet(blocks()).fit(chosen.drop("weight"))
         numeric = features.columns
-        prepared = boosted_columns(features.transform_keeping(chosen), numeric, target).persist()
-        try:
-            model = boosted(numeric, label=target, weight="weight", **options).fit(prepared)
-            factor = level_factor(model, prepared, target, "weight")
-        finally:
-            prepared.unpersist()
-        made = boosted_predictions(model, boosted_columns(features.transform_keeping(rows.mark(valid)), numeric), factor)
+        model = boosting.fit(boosted_columns(features.transform_keeping(chosen), numeric), numeric, (), target, "weight", **options)
+        made = model.transform(boosted_columns(features.transform_keeping(rows.mark(valid)), numeric))
         return made.select("block_id", "date", "slot", "scored", "in_group", F.col(target).alias("actual"), F.col("pred").alias("pred_raw"))
 
     return run

@@ -97,15 +97,18 @@ def count_values(df: DataFrame, value: str, within: list[str] | None = None) ->
 
 
 def gini(df: DataFrame, value: str, within: list[str] | None = None) -> DataFrame:
-    """Gini coefficient of non-negative integer holdings, with the holder count and the total.
+    """Gini coefficient of non-negative holdings, whole numbers or not, with the holder count and the total.
 
-    Holders with equal values share a run of ranks, so the rank sum of a run is closed-form and only
-    distinct values are ordered.
+    Holders with equal values share a run of ranks, so the rank sum of a run is closed-form. Integer counts have few distinct values,
+    see count_values; other values may all differ, so their ranks come from sums over ranges and no task orders them all.
     """
     within = within or []
-    values = count_values(df, value, within)
-    upto = F.sum("holders").over(W.partitionBy(*within).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    runs = values.withColumn("_to", upto)
+    values = count_values(df.where(F.col(value).isNotNull()), value, within)
+    if _is_double(df, F.col(value)):
+        runs = running_totals(values, [F.col(value).asc()], {"_to": F.col("holders")}, within)
+    else:
+        upto = F.sum("holders").over(W.partitionBy(*within).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+        runs = values.withColumn("_to", upto)
     rank_sum = F.col("holders") * (2 * F.col("_to") - F.col("holders") + 1) / 2.0
     sums = runs.groupBy(*within).agg(
         F.sum("holders").alias("holders"),
