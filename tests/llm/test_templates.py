@@ -135,3 +135,12 @@ def test_shared_passages_stay(spark):
     shared = "This report was sent to all papers of the group. " * 6
     rows = [(k, "http://near.org/", page.format(shared if k < 5 else f"Own words {k}", k)) for k in range(8)]
     assert run(spark, rows) == {k: f"{shared.strip() if k < 5 else f'Own words {k}'}\nNumber {k}." for k in range(8)}
+
+
+def test_names_inside_an_article_keep_its_text(spark):
+    """An author's own class names and ids, and formulas, are part of the article; whole boilerplate classes and elements are not."""
+    body = "<div class='related-work'>One.</div><div class='social-science'>Two.</div><p id='search'>Three.</p><div id='search'>Four.</div><div class='table-pagination'>Five.</div><p><math>x = 6</math></p>"
+    gone = "<div class='share'>Share this</div><aside>Beside</aside><form>Write</form><div class='comments'>First!</div><div role='navigation'>Next</div>"
+    pages = [(i, f"https://h.example/{i}", f"<html><body><nav>Menu</nav><article class='post'><h1>Title {i}</h1>{body}{gone}</article><footer>End</footer></body></html>") for i in range(6)]
+    got = {r.page_id: r.text for r in templates.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nOne.\nTwo.\nThree.\nFour.\nFive.\nx = 6" for i in range(6)}

@@ -8,7 +8,8 @@ host's pages, a run besides on RUN_PAGES pages. On each page a class is valid as
 their paths. Valid classes are the template; what lies between their tokens are slots.
 
 Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are boilerplate,
-told by element or by the words of class, id and role (those of html and body say nothing). If the template has article or main containers, the text in those is
+told by element or by the words of class, id and role (those of html and body say nothing; within article and main containers only
+a whole class or role tells, or a class that begins with a word of CLEAR). If the template has article or main containers, the text in those is
 the main text. If not, it is all other slots, without the runs of text that are tokens of valid classes; of the
 slot with most text between the tokens of the class with most containers, and of those on no fewer pages, nothing is taken
 out, so that passages which many pages share stay. A page without the main container of its host's template is read as if there were none.
@@ -51,7 +52,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 SKIPPED = frozenset("head header footer nav aside form menu dialog".split())
-RAW = frozenset("script style noscript template iframe svg math object select textarea button title canvas audio video".split())
+RAW = frozenset("script style noscript template iframe svg object select textarea button title canvas audio video".split())
 MAIN = frozenset(("article", "main"))
 PAGE = frozenset(("html", "body"))
 BOILERPLATE = frozenset(
@@ -59,6 +60,8 @@ BOILERPLATE = frozenset(
     "notice cookie cookies consent popup modal overlay newsletter subscribe share sharing social related recommended comment comments disqus login signup "
     "search pagination pager toolbar widget contentinfo complementary".split()
 )
+#: Of these the words that begin no name of an author's own.
+CLEAR = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner sidebar nav navbar menu cookie cookies newsletter comment comments disqus breadcrumb breadcrumbs".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)""", re.S)
 _MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -128,7 +131,8 @@ class Path:
         self.names.append(name)
         self.steps.append(f"{self.text}/{step_name(name, kept)}")
         self.bare.append(f"{self.bare[-1] if self.bare else ''}/{name}")
-        self.skips.append(self.skip or boilerplate(name, found))
+        within = name in MAIN or not MAIN.isdisjoint(self.names[:-1])
+        self.skips.append(self.skip or boilerplate(name, found, within))
 
     def close(self, name: str) -> None:
         if name in self.names:
@@ -191,9 +195,15 @@ def run_name(run: str) -> str:
     return run if len(run) <= 200 else f"{run[:100]}\n{len(run)}\n{hashlib.md5(run.encode('utf-8', 'replace')).hexdigest()}"
 
 
-def boilerplate(name: str, found: tuple[str, ...]) -> bool:
-    """Whether a container is boilerplate by its element or by the words of its marks."""
-    return name in SKIPPED or (name not in PAGE and any(not BOILERPLATE.isdisjoint(_WORD.findall(m)) for m in found))
+def boilerplate(name: str, found: tuple[str, ...], within: bool = False) -> bool:
+    """Whether a container is boilerplate by its element or by the words of its marks. Within an article or main container, where
+    an author's own names stand too, only a whole class or role says so, or a class that begins with a word of CLEAR."""
+    if name in SKIPPED or name in PAGE:
+        return name in SKIPPED
+    if within:
+        values = [m.partition("=")[2] for m in found if not m.startswith("id=")]
+        return any(v in BOILERPLATE or _WORD.findall(v)[:1] and _WORD.findall(v)[0] in CLEAR for v in values)
+    return any(not BOILERPLATE.isdisjoint(_WORD.findall(m)) for m in found)
 
 
 def bare(path: str) -> str:
