@@ -15,8 +15,8 @@ from tripweave.session import write_through
 #: A written side of a few fixed-width columns is broadcast up to this size, with so many bytes for each row of Spark's hash table.
 #: Beyond it both sides are shuffled, and adaptive execution splits skewed keys.
 BROADCAST_BYTES, ROW_BYTES = 96 << 20, 96
-#: Bits of the filter that keeps rows from being shuffled for keys that cannot meet: 2 MB, whatever the number of keys.
-FILTER_BITS = 24
+#: Bits of the filter that keeps rows from being shuffled for keys that cannot meet: 4 MB, whatever the number of keys.
+FILTER_BITS = 25
 
 
 def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

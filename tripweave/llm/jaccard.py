@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tripweave.session import write_through
 
@@ -264,8 +264,9 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     shared = write_through(keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key"))
     drop_shuffles(docs.sparkSession)
     meeting = write_through(meet(keyed, shared, "key").groupBy("key", "class").agg(*[F.max(c).alias(c) for c in ("size", "band", "need")]))
-    needed = meeting.groupBy("class", "band").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("needed")).where("met >= needed").select("class", "band")
-    meeting = write_through(meeting.join(needed, ["class", "band"]).select(*meeting.columns))
+    own = W.partitionBy("class", "band")  # at most the keys that a set gives in a band
+    enough = meeting.withColumns({"met": F.count(F.lit(1)).over(own), "needed": F.max("need").over(own)}).where("met >= needed")
+    meeting = write_through(enough.drop("met", "needed"))
     crowds = write_through(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("smallest")).where(F.col("members") > CROWD).select("key", "smallest"))
     candidates = write_through(meeting.select("class").distinct())
     classes = write_through(
