@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tripweave.operators import hotspots, joins, qc, ranking
+from tripweave.operators import hotspots, joins, qc, ranking, stock
 
 
 def skewed(spark, n=6000):
@@ -106,3 +106,35 @@ def test_one_place_per_slot_is_limited_before_the_shuffle(spark, sf):
 
     plan = entry.queries()["panel_slot_net_ranked"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_million_groups_are_allocated_without_a_sort(spark):
+    """Every total is met, floors hold, all groups off their floors share one rate; no window in the plan."""
+    n = 1_000_000
+    m = F.pow(F.rand(1), F.lit(6)) * 50
+    groups = spark.range(n).select(F.col("id").cast("string").alias("gp"), m.alias("m"), F.floor(F.rand(2) * 30).alias("w"))
+    bounds = stock.write_through(groups)
+    out = stock.allocate(stock.scenarios(bounds, [1.0, 1.05, 1.5, 4.0]), ["factor"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange rangepartitioning" not in plan
+    checks = out.groupBy("factor").agg(
+        F.max("total").alias("total"), F.sum("stock").alias("stock"), F.min(F.col("stock") - F.col("m")).alias("slack"),
+        F.count_if("pinned").alias("pinned"),
+        F.max(F.when(~F.col("pinned") & (F.col("w") > 0), F.col("stock") / F.col("w"))).alias("fastest"),
+        F.min(F.when(~F.col("pinned") & (F.col("w") > 0), F.col("stock") / F.col("w"))).alias("slowest"),
+    )
+    for r in checks.collect():
+        assert r["stock"] == pytest.approx(r["total"], rel=1e-9) and r["slack"] > -1e-6
+        if r["factor"] > 1:
+            assert 0 < r["pinned"] < n and r["fastest"] == pytest.approx(r["slowest"], rel=1e-9)
+
+
+def test_places_of_picks_against_a_full_ranking(spark):
+    """Ties in score, groups without picks and picks that are the first and the last row."""
+    rows = spark.range(4000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("score"), F.lpad(F.col("id").cast("string"), 5, "0").alias("cell"))
+    key = F.struct(-F.col("score"), F.col("cell"))
+    ranked = ranking.global_rank(rows, [F.desc("score"), F.asc("cell")], "want", ["g"])
+    wanted = ranked.where("g < 2 AND want IN (1, 2, 40, 700, 1333)")
+    picks = ranking.materialise(wanted)
+    out = ranking.places(rows, picks, key, "place", 5, ["g"]).collect()
+    assert len(out) >= 9 and all(r["place"] == r["want"] for r in out)

@@ -348,6 +348,15 @@ def test_allocation_matches_bisection(spark):
         stock.check_feasible(spark.createDataFrame([("a", 2.0)], "gp string, m double"), 1.0)
 
 
+def test_allocation_without_weights_floors_or_groups(spark):
+    schema = "f double, gp string, m double, w double, total double"
+    data = [(1.0, "a", 0.0, 0.0, 6.0), (1.0, "b", 0.0, 0.0, 6.0), (1.0, "c", 4.0, 0.0, 6.0), (2.0, "a", 3.0, 1.0, 4.0), (2.0, "b", 3.0, 1.0, 4.0), (None, "a", 1.0, 2.0, 2.0)]
+    got = {(r["f"], r["gp"]): (r["stock"], r["pinned"]) for r in stock.allocate(spark.createDataFrame(data, schema), ["f"]).collect()}
+    assert got[1.0, "a"] == got[1.0, "b"] == (1.0, False) and got[1.0, "c"] == (4.0, True)
+    assert got[2.0, "a"] == got[2.0, "b"] == (3.0, True) and got[None, "a"] == (2.0, False)
+    assert stock.allocate(spark.createDataFrame([], schema), ["f"]).count() == 0
+
+
 def test_group_flows_balance(spark):
     od = spark.createDataFrame([(date(2026, 4, 1), "A", "B", 3), (date(2026, 4, 2), "B", "C", 1)], "date date, sgp string, egp string, n long")
     days = domain.numbered(od.select("date").distinct())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tripweave.functions import geohash as gh
 from tripweave.functions import polygon
 from tripweave.operators.cells import with_centre
-from tripweave.operators.ranking import global_rank
+from tripweave.operators.ranking import places
 from tripweave.session import write_through
 
 # Parts a group is cut into before its best candidates are brought together.
@@ -187,16 +187,14 @@ def hotspots(cells: DataFrame, n: int = 10, rank_by: str = "block") -> DataFrame
     blocks = write_through(block_sums(rows))
     score = "block_net" if rank_by == "block" else "centre_net"
     picks = disjoint_top(ranked_directions(blocks, score), n).select("peak", "direction", "cell")
-    own = global_rank(
-        ranked_directions(rows, "net").select("peak", "direction", "cell", "score"),
-        [F.col("score").desc(), F.col("cell").asc()],
-        "single_rank",
-        ["peak", "direction"],
-    ).select("peak", "direction", "cell", "single_rank")
     # The picks are at most n rows per peak and direction.
-    found = F.broadcast(picks)
-    table = blocks.join(found, ["peak", "cell"]).join(F.broadcast(service_totals(rows)), "peak")
-    table = own.join(F.broadcast(table), ["peak", "direction", "cell"])
+    found = write_through(blocks.join(F.broadcast(picks), ["peak", "cell"]))
+    signed_net = F.when(F.col("direction") == "inflow", -F.col("net")).otherwise(F.col("net"))
+    table = places(
+        ranked_directions(rows, "net"), found.withColumnRenamed("centre_net", "net"), F.struct(signed_net.alias("net"), F.col("cell").alias("cell")),
+        "single_rank", n, ["peak", "direction"],
+    ).withColumnRenamed("net", "centre_net")
+    table = table.join(F.broadcast(service_totals(rows)), "peak")
     filling = F.col("direction") == "inflow"
     per_day = F.col("block_net") / F.col("weekdays")
     signed = F.when(filling, per_day).otherwise(-per_day)

@@ -50,6 +50,33 @@ def global_rank(df: DataFrame, order: list[Column], name: str, within: list[str]
     return running_totals(df, order, {name: F.lit(1)}, within)
 
 
+def places(rows: DataFrame, picks: DataFrame, key: Column, name: str, most: int, within: list[str]) -> DataFrame:
+    """Place (from 1) that each of a few picks takes among all rows of its group when they are ordered by `key`.
+
+    Nothing is sorted and no row is shuffled: the keys of a group's picks, at most `most`, travel to the rows as one sorted
+    array, a row adds one to the bucket between two picks that a binary search finds, and the running sums of the buckets are
+    the places. `key` is an orderable expression over either frame, without equal values inside a group of rows. Rows whose
+    group holds no pick are passed over. `picks` is read twice and must be a written table.
+    """
+    lists = picks.groupBy(*within).agg(F.sort_array(F.collect_set(key)).alias("_keys"))
+    steps = F.array(*[F.lit(2**b) for b in reversed(range(most.bit_length()))])
+
+    def halve(found: Column, step: Column) -> Column:
+        reached = (found + step <= F.size("_keys")) & (F.get("_keys", found + step - 1) <= F.col("_key"))
+        return F.when(reached, found + step).otherwise(found)
+
+    # At most `most` keys per group and one group per row of the result's groups.
+    met = rows.select(*within, key.alias("_key")).join(F.broadcast(lists), within)
+    bucket = F.aggregate(steps, F.lit(0), halve)
+    counts = met.groupBy(*within, bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    order = W.partitionBy(*within).orderBy(key)
+    numbered = picks.withColumn("_index", F.row_number().over(order) - 1)
+    before = F.broadcast(counts.groupBy(*within).agg(F.collect_list(F.struct("_bucket", "_n")).alias("_counts")))
+    ahead = F.aggregate(F.filter("_counts", lambda c: c["_bucket"] <= F.col("_index")), F.lit(0).cast("long"), lambda total, c: total + c["_n"])
+    joined = numbered.join(before, within, "left")
+    return joined.withColumn(name, F.coalesce(ahead, F.lit(0)) + 1).drop("_index", "_counts")
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probabilities: dict[str, float], within: list[str] | None = None
 ) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tripweave.functions.clock import MORNING, DayTypes, Horizon, minute_of_day
 from tripweave.operators.domain import densify, numbered
+from tripweave.session import write_through
 
 # Overnight hours, and the tolerances of the allocation.
 LATE_HOURS = (22, 23)
@@ -113,33 +115,91 @@ def overnight_prior(steps: DataFrame, gps: DataFrame, pairs: DataFrame, width: i
     return gps.select("gp").join(sums, "gp", "left").fillna(0, ["w"])
 
 
-def allocate(groups: DataFrame, scenario: list[str]) -> DataFrame:
+def allocate(groups: DataFrame, scenario: list[str], parts: int = 64) -> DataFrame:
     """Split `total` over groups in proportion to `w`, never below the floor `m`.
 
-    Within each scenario the groups are ordered by how hard their floor presses. If the first k sit on
-    their floors, the rest share what remains at one rate; the first group whose floor asks for no
-    more than that rate ends the pinned run. Adds `stock` and `pinned`. The windows cover the group
-    dimension of one scenario, not trips.
+    A floor presses with m / a, where a is the group's proportional part. Groups that press harder than the rate at which all
+    others are filled sit on their floors. That rate is found without ordering the groups: a pass sums floors and parts over
+    `parts` ranges of the pressures still in question, and tells for each boundary on which side of it the rate lies, see
+    _narrow. Passes end when no pressure is left between the bounds. Only these sums, one row per scenario and range, reach the
+    driver; a scenario is a parameter, so there are few. Adds `stock` and `pinned`.
+
+    Without any weight all groups weigh the same. A total below the sum of the floors pins every group.
     """
-    whole = W.partitionBy(*scenario)
-    weight = F.greatest(F.col("w") / F.sum("w").over(whole), F.lit(WEIGHT_FLOOR))
-    share = groups.withColumn("_weight", weight)
-    share = share.withColumn("_a", F.col("total") * F.col("_weight") / F.sum("_weight").over(whole))
-    share = share.withColumn("_press", F.col("m") / F.col("_a"))
-    order = whole.orderBy(F.desc("_press"), "gp")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    need = F.col("total") - F.coalesce(F.sum("m").over(before), F.lit(0.0))
-    free = F.col("total") - F.coalesce(F.sum("_a").over(before), F.lit(0.0))
-    rated = share.withColumns(
-        {"_k": F.row_number().over(order), "_rate": F.when(free > FREE_FLOOR, need / free)}
-    )
-    holds = F.col("_press") <= F.col("_rate") * (1 + SLACK)
-    first = F.min(F.when(holds, F.struct("_k", "_rate"))).over(whole)
-    solved = rated.withColumn("_first", first)
-    pinned = F.col("_first").isNull() | (F.col("_k") < F.col("_first._k"))
-    return solved.withColumns(
-        {"stock": F.when(pinned, F.col("m")).otherwise(F.col("_a") * F.col("_first._rate")), "pinned": pinned}
-    ).drop("_weight", "_a", "_press", "_k", "_rate", "_first")
+    keyed = write_through(_pressures(groups, scenario))
+    # Parts add up to the total, so the rate is at most one.
+    bounds = {tuple(r): (0.0, 1.0) for r in keyed.select(*scenario).distinct().collect()}
+    solved: dict[tuple, tuple[float, float | None]] = {}
+    while bounds:
+        sums: dict[tuple, dict[int, Row]] = {key: {} for key in bounds}
+        for r in _range_sums(keyed, bounds, scenario, parts).collect():
+            sums[tuple(r[c] for c in scenario)][r["_part"]] = r
+        for key, (low, high) in list(bounds.items()):
+            *bounds[key], rate, done = _narrow(low, high, sums[key], parts)
+            if done:
+                solved[key] = (bounds.pop(key)[1], rate)
+    joined = _with_scenario_values(keyed, solved, scenario, ("_limit", "_rate"))
+    pinned = F.col("_rate").isNull() | (F.col("_press") > F.col("_limit"))
+    stock = F.when(pinned, F.col("m")).otherwise(F.col("_a") * F.col("_rate"))
+    return joined.select(*groups.columns, stock.alias("stock"), pinned.alias("pinned"))
+
+
+def _pressures(groups: DataFrame, scenario: list[str]) -> DataFrame:
+    """Each group's proportional part of its scenario's total, and how hard its floor presses on it."""
+
+    def with_sum(df: DataFrame, value: str, name: str) -> DataFrame:
+        sums = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in scenario]).agg(F.sum(value).alias(name))
+        # One row per scenario.
+        return df.join(F.broadcast(sums), [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in scenario]).drop(*sums.columns[:-1])
+
+    weight = F.greatest(F.try_divide("w", "_all_w").cast("double"), F.lit(WEIGHT_FLOOR))
+    weighted = with_sum(groups, "w", "_all_w").withColumn("_v", weight)
+    made = with_sum(weighted, "_v", "_all_v").withColumn("_a", F.col("total") * F.col("_v") / F.col("_all_v"))
+    press = F.when(F.col("m") <= 0, 0.0).otherwise(F.coalesce(F.try_divide("m", "_a"), F.lit(float("inf"))))
+    return made.withColumn("_press", press).drop("_all_w", "_v", "_all_v")
+
+
+def _with_scenario_values(keyed: DataFrame, values: dict[tuple, tuple], scenario: list[str], names: tuple[str, ...]) -> DataFrame:
+    fields = [StructField(f"_k_{c}", keyed.schema[c].dataType) for c in scenario] + [StructField(n, DoubleType()) for n in names]
+    small = keyed.sparkSession.createDataFrame([(*key, *found) for key, found in values.items()], StructType(fields))
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in scenario]
+    return keyed.join(F.broadcast(small), on).drop(*[f"_k_{c}" for c in scenario])
+
+
+def _range_sums(keyed: DataFrame, bounds: dict[tuple, tuple[float, float]], scenario: list[str], parts: int) -> DataFrame:
+    """Floors, parts and groups per scenario and range: range 0 ends at the low bound, range parts + 1 begins above the high one."""
+    joined = _with_scenario_values(keyed, bounds, scenario, ("_low", "_high"))
+    press, low, high = F.col("_press"), F.col("_low"), F.col("_high")
+    inside = F.least(F.greatest(F.ceil((press - low) / (high - low) * parts), F.lit(1)), F.lit(parts))
+    part = F.when(press <= low, 0).when(press > high, parts + 1).otherwise(inside).cast("int")
+    sums = F.max("total").cast("double").alias("total"), F.sum("m").cast("double").alias("m"), F.sum("_a").alias("a"), F.count("*").alias("n")
+    return joined.groupBy(*scenario, part.alias("_part")).agg(*sums)
+
+
+def _narrow(low: float, high: float, sums: dict[int, Row], parts: int) -> tuple[float, float, float | None, bool]:
+    """Bounds of the rate after a pass, the rate with all groups above the high bound pinned, and whether that is the answer.
+
+    With all groups pinned that press harder than s, the others are filled at a rate r(s). Where r(s) >= s the rate sought is at
+    least s; otherwise it is at most r(s). r is None where no group is left to fill.
+    """
+    total, floors = next(iter(sums.values()))["total"], sum(r["m"] for r in sums.values())
+    if total < floors - SLACK * max(1.0, floors):
+        return low, low, None, True
+    new_low, new_high, rate = low, high, None
+    # What the groups up to a boundary share: the spare total and their own floors.
+    need, free = total - floors, 0.0
+    for k in range(parts + 1):
+        if k in sums:
+            need, free = need + sums[k]["m"], free + sums[k]["a"]
+        edge = low + (high - low) * k / parts
+        rate = need / free if free > FREE_FLOOR else None
+        if rate is None or rate >= edge:
+            new_low = max(new_low, edge)
+        else:
+            new_high = min(new_high, rate)
+    if high - low <= SLACK * high or not any(0 < k <= parts for k in sums):
+        return low, high, rate, True
+    return min(new_low, new_high), new_high, rate, False
 
 
 def check_feasible(groups: DataFrame, total: float) -> None:
