@@ -1,5 +1,6 @@
 """Fitted models: sane, walk-forward, and identical after reloading."""
 
+import math
 import random
 from datetime import date, timedelta
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tripweave.catalog import QUERIES
 from tripweave.catalog.forecast import blocks, labelled
 from tripweave.functions.clock import Horizon
-from tripweave.operators import boosting, bundle, features, folds, models, scoring
+from tripweave.operators import boosting, bundle, features, folds, models, negative_binomial, scoring, search
 
 
 @pytest.fixture(scope="module")
@@ -182,3 +183,115 @@ def test_ablation_gives_deviances_by_fold(spark, sf):
     assert {(r.fold, r.dropped) for r in rows} == {(f.number, d) for f in found for d in ("none", "calendar", "geometry")}
     sizes = {f.number: f.valid(panel).count() for f in found}
     assert all(r.n == sizes[r.fold] and r.poisson_deviance > 0 for r in rows)
+
+
+def test_points_are_seeded_and_stay_in_range():
+    space = {"rounds": search.Span(200, 1200, step=100), "step": search.Span(0.01, 0.2, log=True), "share": search.Span(0.5, 1.0), "kind": ["a", "b"]}
+    points = search.random_points(space, 200, seed=3)
+    assert points[:5] == search.random_points(space, 5, seed=3) and points != search.random_points(space, 200, seed=4)
+    assert {p["rounds"] for p in points} == set(range(200, 1201, 100)) and {p["kind"] for p in points} == {"a", "b"}
+    assert all(0.01 <= p["step"] <= 0.2 and 0.5 <= p["share"] <= 1 for p in points)
+    assert sum(p["step"] < 0.0448 for p in points) == pytest.approx(100, abs=25)
+    for bad in ((2, 1), (0.0, 1.0, None, True), (1, 5, 0)):
+        with pytest.raises(ValueError):
+            search.Span(*bad)
+
+
+def test_search_gives_the_same_winner_with_any_number_of_threads(spark, hourly):
+    found = folds.folds(hourly, 3, "walk_forward")
+    points = search.random_points({"rounds": search.Span(1, 6, step=1), "depth": search.Span(1, 4, step=1), "step": search.Span(0.05, 0.6, log=True)}, 6, seed=2)
+
+    def prepare(fold):
+        columns = ["hour", "cell_prior"]
+        train = models.boosted_columns(models.with_cell_prior(fold.train(hourly), fold.train(hourly)), columns)
+        return boosting.assemble(train, columns), models.boosted_columns(models.with_cell_prior(fold.train(hourly), fold.valid(hourly)), columns).persist()
+
+    def loss(prepared, **point):
+        return deviance(boosting.grow(prepared[0], **point).transform(prepared[1]))
+
+    runs = [search.search(spark, found, prepare, loss, points, threads=n) for n in (1, 3)]
+    assert runs[0].best.number == runs[1].best.number and all(len(t.losses) == len(found) for t in runs[0].trials)
+    for a, b in zip(runs[0].trials, runs[1].trials):
+        assert a.losses == pytest.approx(b.losses, rel=1e-9)
+    own = models.walk_forward(hourly, found, models.poisson_fit_predict(["hour", "cell_prior"], **runs[0].best.params))
+    for f in found:
+        assert deviance(own.where(F.col("fold") == f.number)) == pytest.approx(runs[0].best.losses[f.number], rel=1e-9)
+    halved = search.search(spark, found, prepare, loss, points, threads=3, keep=0.5)
+    assert sum(len(t.losses) for t in halved.trials) < sum(len(t.losses) for t in runs[0].trials) and len(halved.best.losses) == len(found)
+    table = runs[0].frame(spark)
+    assert table.count() == len(points) * len(found) and table.where("best").select("trial").distinct().count() == 1
+    with pytest.raises(ValueError):
+        search.search(spark, found, prepare, loss, [])
+
+
+def test_log_gamma(spark):
+    values = [1e-6, 1e-3, 0.3, 1.0, 2.5, 17.0, 1e3, 1e6, 1e9]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(negative_binomial.log_gamma(F.col("x"))).collect()]
+    assert got == pytest.approx([math.lgamma(v) for v in values], rel=1e-10, abs=1e-9)
+
+
+def _negative_binomial_by_numpy(x, y, w):
+    """Alternating least squares and a golden-section search on the log of alpha, all rows in memory."""
+    import numpy as np
+
+    lgamma = np.vectorize(math.lgamma)
+    design = np.column_stack([np.ones(len(y)), x])
+
+    def coefficients(alpha):
+        eta = np.log((y + np.average(y, weights=w)) / 2)
+        for _ in range(200):
+            mu = np.exp(eta)
+            weight = w * mu / (1 + alpha * mu)
+            beta = np.linalg.solve(design.T * weight @ design, design.T * weight @ (eta + (y - mu) / mu))
+            eta = design @ beta
+        return beta, np.exp(eta)
+
+    def value(alpha, mu):
+        r = 1 / alpha
+        return float(np.sum(w * (lgamma(y + r) - lgamma(r) + y * np.log(alpha * mu) - (y + r) * np.log1p(alpha * mu))))
+
+    alpha = 0.0
+    for _ in range(30):
+        beta, mu = coefficients(alpha)
+        low, high = math.log(1e-6), math.log(1e3)
+        ratio = (5**0.5 - 1) / 2
+        for _ in range(80):
+            a, b = high - ratio * (high - low), low + ratio * (high - low)
+            low, high = (low, b) if value(math.exp(a), mu) > value(math.exp(b), mu) else (a, high)
+        alpha = math.exp((low + high) / 2)
+    return alpha, beta, value(alpha, mu)
+
+
+@pytest.mark.parametrize("true_alpha", [0.6, 0.0])
+def test_negative_binomial_equals_numpy(spark, true_alpha):
+    import numpy as np
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    g = np.random.default_rng(5)
+    x = np.column_stack([g.normal(size=1500), g.integers(0, 2, 1500)])
+    mu = np.exp(0.4 + 0.5 * x[:, 0] - 0.8 * x[:, 1])
+    y = g.poisson(mu * g.gamma(1 / true_alpha, true_alpha, 1500) if true_alpha else mu)
+    w = g.choice([0.5, 1.0, 2.0], 1500)
+    rows = [(float(a), float(b), int(n), float(k)) for (a, b), n, k in zip(x, y, w)] + [(0.0, 0.0, None, 1.0), (9.0, 9.0, 400, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double, n int, w double")
+    design = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features")]).fit(df)
+    model = negative_binomial.fit(df, design, "n", "w", tolerance=1e-5)
+    alpha, beta, value = _negative_binomial_by_numpy(x, y, w)
+    assert model.alpha == pytest.approx(alpha, rel=1e-3, abs=2e-3) and model.likelihood == pytest.approx(value, rel=1e-7)
+    assert [model.line.intercept, *model.line.coefficients] == pytest.approx(list(beta), abs=1e-4)
+    if true_alpha:
+        assert model.alpha == pytest.approx(true_alpha, rel=0.25)
+    else:
+        assert model.alpha < 0.1
+    assert model.transform(df).agg(F.min("pred")).first()[0] > 0
+
+
+def test_negative_binomial_needs_events(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.createDataFrame([(1.0, 0), (2.0, None)], "a double, n int")
+    design = Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="features")]).fit(df)
+    with pytest.raises(ValueError, match="no events"):
+        negative_binomial.fit(df, design)

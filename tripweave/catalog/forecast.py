@@ -606,6 +606,14 @@ def model_overdispersed_glm(spark, sf):
     return _model_checks(models.walk_forward(df, found, models.glm_fit_predict("tweedie")))
 
 
+@query("model_negative_binomial", MODEL_SQL)
+def model_negative_binomial(spark, sf):
+    """Negative binomial whose dispersion is estimated on each fold's training rows."""
+    df = hourly(spark, sf)
+    found = folds.folds(df, 4, "walk_forward")
+    return _model_checks(models.walk_forward(df, found, models.negative_binomial_fit_predict()))
+
+
 BOOSTED = ["hour", "dow", "is_weekend", "lag1", "lag24", "lag168", "lag1_ma3", "cell_prior"]
 
 

@@ -12,7 +12,7 @@ from tripweave.catalog.cleaning import DROPS, raw_sql
 from tripweave.catalog.forecast import CUT, LABELLED, TOP_UNITS, blocks, labelled, slot_rows
 from tripweave.catalog.panels import morning_panel, panel_sql
 from tripweave.functions.clock import MORNING
-from tripweave.operators import boosting, bundle, features, folds, models, qc, ranking, scoring
+from tripweave.operators import boosting, bundle, features, folds, models, qc, ranking, scoring, search
 from tripweave.session import shared_path
 from tripweave.sources import orders, tables
 
@@ -265,6 +265,48 @@ def model_search(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+SPACE = {"rounds": search.Span(1, 4, step=1), "depth": search.Span(2, 7, step=1), "step": search.Span(0.05, 0.5, log=True), "share": search.Span(0.5, 1.0), "least_rows": search.Span(1, 20, step=1)}
+TRIALS = 20
+
+
+def random_search(spark, sf, target, trials=TRIALS, threads=4, keep=1.0):
+    """Random points for a target over all folds of the slot panel, with the run's features, rows and weights."""
+    panel = labelled(spark, sf)
+    found, rows = folds.folds(panel, 3, "week_forward"), slot_rows(spark, sf, panel)
+
+    def prepare(fold):
+        return models.fold_tables(fold.train(panel), fold.valid(panel), blocks(spark, sf, target), target, rows)
+
+    def loss(tables, **point):
+        return models.run_loss(tables.predictions(**point), 0.3).first()["loss"]
+
+    return search.search(spark, found, prepare, loss, search.random_points(SPACE, trials, seed=1), threads, keep)
+
+
+@query("model_random_search")
+def model_random_search(spark, sf):
+    """Loss of 20 random points on every fold, for both targets, and which one wins."""
+    parts = [random_search(spark, sf, target).frame(spark).withColumn("target", F.lit(target)) for target in features.TARGETS]
+    return parts[0].unionByName(parts[1])
+
+
+@query("model_best_point_equals_run", "SELECT * FROM (VALUES ('arrivals', 4, true, true), ('departures', 4, true, true)) AS v(target, trials, one_best, equals_run)")
+def model_best_point_equals_run(spark, sf):
+    """For both targets a search with halving has one winner, and a run with its parameters has the losses that the search told."""
+    panel = labelled(spark, sf)
+    found, rows = folds.folds(panel, 3, "week_forward"), slot_rows(spark, sf, panel)
+    made = []
+    for target in features.TARGETS:
+        result = random_search(spark, sf, target, trials=4, keep=0.5)
+        best = result.best
+        preds = models.walk_forward(panel, found, models.feature_fit_predict(lambda t=target: blocks(spark, sf, t), target, rows, **best.params))
+        again = {f.number: models.run_loss(preds.where(F.col("fold") == f.number), 0.3).first()["loss"] for f in found}
+        same = all(abs(again[n] - loss) <= 1e-9 * abs(loss) for n, loss in best.losses.items())
+        won = result.frame(spark).where("best").agg(F.count_distinct("trial")).first()[0] == 1
+        made.append((target, len(result.trials), won, same))
+    return spark.createDataFrame(made, "target string, trials int, one_best boolean, equals_run boolean")
+
+
 @query("model_search_equals_run", "SELECT CAST(0 AS DOUBLE) AS difference, true AS known")
 def model_search_equals_run(spark, sf):
     """The loss that a search reports for a combination against the loss of a run with it."""

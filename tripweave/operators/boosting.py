@@ -40,24 +40,46 @@ class CountTrees:
         return made.drop("features", "margin", *[s.getOutputCol() for s in self.stages.stages if hasattr(s, "labels")])
 
 
-def fit(
-    df: DataFrame, numeric: list[str], categorical: list[str] = (), label: str = "n", weight: str | None = None, depth: int = 5,
-    rounds: int = 20, step: float = 0.1, bins: int = 64, least_rows: int = 1, share: float = 1.0, floor: float = 0.05, seed: int = 0,
-) -> CountTrees:
-    """Trees for a non-negative count. Numeric columns must not be null; categories keep the training set's codes, with one for unseen values.
+@dataclass
+class Assembled:
+    """Training rows as vectors, written once: any number of fits with different parameters read the same table."""
 
-    Each round takes a share of the rows, drawn by a hash of features and count. Without rows, or without any event, the expected count is next to nothing everywhere.
-    """
+    table: DataFrame
+    stages: list
+    width: int
+    mean: float
+
+
+def assemble(df: DataFrame, numeric: list[str], categorical: list[str] = (), label: str = "n", weight: str | None = None) -> Assembled:
+    """Vectors, counts and weights of the rows that train; rows without a count or with no weight do not."""
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_code", handleInvalid="keep").fit(df) for c in categorical]
-    assemble = VectorAssembler(inputCols=[f"{c}_code" for c in categorical] + list(numeric), outputCol="features", handleInvalid="keep")
-    ready = PipelineModel([*indexers, assemble]).transform(df)
+    vectors = VectorAssembler(inputCols=[f"{c}_code" for c in categorical] + list(numeric), outputCol="features", handleInvalid="keep")
+    ready = PipelineModel([*indexers, vectors]).transform(df)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     ready = write_through(ready.select("features", F.col(label).cast("double").alias("y"), w.alias("w")).where("y IS NOT NULL AND w > 0"))
     sums = ready.agg(F.sum(F.col("w") * F.col("y")).alias("events"), F.sum("w").alias("rows")).first()
     mean = (sums["events"] or 0.0) / sums["rows"] if sums["rows"] else 0.0
+    return Assembled(ready, [*indexers, vectors], len(categorical) + len(numeric), mean)
+
+
+def fit(
+    df: DataFrame, numeric: list[str], categorical: list[str] = (), label: str = "n", weight: str | None = None, **options
+) -> CountTrees:
+    """Trees for a non-negative count. Numeric columns must not be null; categories keep the training set's codes, with one for unseen values.
+
+    The options are those of grow(). Without rows, or without any event, the expected count is next to nothing everywhere.
+    """
+    return grow(assemble(df, numeric, categorical, label, weight), **options)
+
+
+def grow(
+    rows: Assembled, depth: int = 5, rounds: int = 20, step: float = 0.1, bins: int = 64, least_rows: int = 1, share: float = 1.0, floor: float = 0.05, seed: int = 0
+) -> CountTrees:
+    """Trees on assembled rows. Each round takes a share of the rows, drawn by a hash of features and count."""
+    spark, mean = rows.table.sparkSession, rows.mean
     intercept = math.log(max(mean, 1e-9))
     trees = []
-    work = ready.withColumn("margin", F.lit(0.0))
+    work = rows.table.withColumn("margin", F.lit(0.0))
     for k in range(rounds if mean > 0 else 0):
         tree = DecisionTreeRegressor(
             featuresCol="features", labelCol="target", weightCol="curvature", predictionCol="part", maxDepth=depth, maxBins=bins, minInstancesPerNode=least_rows, seed=seed
@@ -66,12 +88,8 @@ def fit(
         work = tree.transform(work).select("features", "y", "w", (F.col("margin") + step * F.col("part")).alias("margin"))
         if (k + 1) % WRITTEN_EVERY == 0:
             work = write_through(work)
-    stages = [*indexers, assemble]
-    if trees:
-        stages.append(_ensemble(df.sparkSession, trees, step))
-    else:
-        stages.append(_ensemble(df.sparkSession, [_flat_tree(df.sparkSession, len(categorical) + len(numeric))], 0.0))
-    return CountTrees(PipelineModel(stages), intercept)
+    last = _ensemble(spark, trees, step) if trees else _ensemble(spark, [_flat_tree(spark, rows.width)], 0.0)
+    return CountTrees(PipelineModel([*rows.stages, last]), intercept)
 
 
 def _with_target(work: DataFrame, intercept: float, least: float, share: float, seed: int) -> DataFrame:

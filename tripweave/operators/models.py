@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripweave.operators import boosting
+from tripweave.operators import boosting, negative_binomial
 from tripweave.operators.folds import Fold
 from tripweave.operators.joins import member_of
 from tripweave.operators.scoring import measures
+from tripweave.session import write_through
 
 # What a missing reading becomes for a tree; outside every feature's range.
 MISSING = -999.0
@@ -162,6 +163,21 @@ def glm_fit_predict(family: str) -> FitPredict:
     return run
 
 
+def negative_binomial_fit_predict(ridge: float = 1e-6, **options) -> FitPredict:
+    """The columns of glm() with a dispersion estimated beside the coefficients."""
+
+    def run(train: DataFrame, valid: DataFrame) -> DataFrame:
+        prepared = glm_columns(with_cell_prior(train, train)).persist()
+        try:
+            design = Pipeline(stages=glm("poisson").getStages()[:1]).fit(prepared)
+            model = negative_binomial.fit(prepared, design, "n", ridge=ridge, **options)
+        finally:
+            prepared.unpersist()
+        return model.transform(glm_columns(with_cell_prior(train, valid))).withColumn("alpha", F.lit(model.alpha))
+
+    return run
+
+
 def boosted_fit_predict(numeric: list[str], categorical: list[str] = (), **options) -> FitPredict:
     """Trees on numeric columns, among them the cell's training mean, and on categories where they are wanted, for the squared
     loss of log counts. poisson_fit_predict is the same for the count's own loss."""
@@ -228,18 +244,38 @@ class Rows:
         return features.with_row_weights(self.mark(kept), self.off_target, group, self.group_weight).drop("scored", "in_group")
 
 
+@dataclass
+class FoldTables:
+    """What all fits on one fold share: assembled training rows, and the validation rows with their features, written."""
+
+    rows: boosting.Assembled
+    valid: DataFrame
+    target: str
+
+    def predictions(self, **options) -> DataFrame:
+        """Predictions of trees with these options; they say which rows are scored and which are in the group."""
+        made = boosting.grow(self.rows, **options).transform(self.valid)
+        return made.select("block_id", "date", "slot", "scored", "in_group", F.col(self.target).alias("actual"), F.col("pred").alias("pred_raw"))
+
+
+def fold_tables(train: DataFrame, valid: DataFrame, blocks: list, target: str, rows: Rows = Rows(), written: bool = True) -> FoldTables:
+    """Feature blocks and row weights fitted on the training rows, both sides transformed; `written` where several fits follow."""
+    from tripweave.operators.features import FeatureSet
+
+    chosen = rows.training(train)
+    features = FeatureSet(blocks).fit(chosen.drop("weight"))
+    numeric = features.columns
+    assembled = boosting.assemble(boosted_columns(features.transform_keeping(chosen), numeric), numeric, (), target, "weight")
+    later = boosted_columns(features.transform_keeping(rows.mark(valid)), numeric)
+    return FoldTables(assembled, write_through(later) if written else later, target)
+
+
 def feature_fit_predict(blocks: Callable[[], list], target: str, rows: Rows = Rows(), **options) -> FitPredict:
     """Feature blocks fitted on the training rows, weighted trees for the Poisson loss on their columns; predictions say which rows
     are scored and which are in the group."""
-    from tripweave.operators.features import FeatureSet
 
     def run(train: DataFrame, valid: DataFrame) -> DataFrame:
-        chosen = rows.training(train)
-        features = FeatureSet(blocks()).fit(chosen.drop("weight"))
-        numeric = features.columns
-        model = boosting.fit(boosted_columns(features.transform_keeping(chosen), numeric), numeric, (), target, "weight", **options)
-        made = model.transform(boosted_columns(features.transform_keeping(rows.mark(valid)), numeric))
-        return made.select("block_id", "date", "slot", "scored", "in_group", F.col(target).alias("actual"), F.col("pred").alias("pred_raw"))
+        return fold_tables(train, valid, blocks(), target, rows, written=False).predictions(**options)
 
     return run
 
