@@ -132,7 +132,7 @@ def with_successor(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     heads = spark.createDataFrame(ends, "head bigint, end int")
     tails = bucketed.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head"))).select(F.col("end").alias("part"), "id", "text", F.lit(True).alias("tail"))
     both = bucketed.select("part", "id", "text", F.lit(False).alias("tail")).unionByName(tails)
-    return both.repartition(wanted, "part").sortWithinPartitions("part", "tail", F.col("id").asc_nulls_first(), "text")
+    return both.repartitionById(wanted, F.col("part")).sortWithinPartitions("part", "tail", F.col("id").asc_nulls_first(), "text")
 
 
 def with_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
