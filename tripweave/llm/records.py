@@ -265,7 +265,7 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
                 yield _batch(rows)
 
     parts = max(1, files.count())
-    return placed.repartition(parts, "n_file").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_file bigint")
+    return placed.repartitionById(parts, F.col("n_file").cast("int")).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_file bigint")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
