@@ -53,3 +53,38 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [(r.n_words, r.n_hit, list(r["items"])) for r in decontam.hits(docs, none).collect()] == [(2, 0, [])] * 3
     assert decontam.hits(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_many_slices_are_built_once_a_block(spark):
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(12))) for k in range(50)] + [(50 + k, "one shared passage of five words") for k in range(50)]
+    docs = [(k, f"before {text} after") for k, text in items] + [(200, "nothing here"), (None, None)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").repartition(4)
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    folder, count = decontam.write_slices(bench, "item_id", "text", 10, 30)
+    assert count >= 30
+    pairs = [pair for k in range(count) for pair in decontam.read_slice(folder, k)]
+    assert len(pairs) == len(set(pairs)) == 50 * 3 + 50  # distinct pairs of item and window, each in one slice
+    built = []
+    original = decontam.automaton
+    try:
+        decontam.automaton = lambda rows: built.append(1) or original(rows)
+        batches = [b for part in (table.toArrow(),) for b in part.to_batches(max_chunksize=10)]
+        for block in decontam.blocks(iter(batches)):
+            for machine in decontam.machines(folder, count):
+                pass
+        assert len(batches) > 5 and len(built) == count
+        list(decontam.machines(folder, count))
+        assert len(built) == 2 * count - decontam.KEPT_MACHINES
+    finally:
+        decontam.automaton = original
+    got = {r.doc_id: r for r in decontam.hits(table, bench, slice_chars=30).collect()}
+    assert [list(got[k]["items"]) for k in range(50)] == [[str(k)] for k in range(50)]
+    assert all(list(got[50 + k]["items"]) == sorted(str(50 + j) for j in range(50)) and got[50 + k].n_hit == 6 for k in range(50))
+    assert got[200].n_hit == got[None].n_hit == 0
+
+
+def test_words_cross_pieces(monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE_BYTES", 5)
+    text = "  Ab cdefghij--k  l é, mnopqrstu v  ".encode()
+    assert decontam.normal_line(text) == " ab cdefghij k l é mnopqrstu v ".encode()
+    assert decontam.normal_line(b" .. ") == decontam.normal_line(b"") == b""
