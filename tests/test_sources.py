@@ -43,6 +43,19 @@ def test_ids_by_key_and_csv(spark, tmp_path):
         network.read_ids(spark, str(tmp_path / "ids.csv"), "none")
 
 
+def test_documents_in_lines(spark, tmp_path):
+    shapes = [["a", None], {"cells": ["b"]}, {"groups": [{"cells": ["c", "d"]}]}, {"groups": [{"x": 1}], "units": ["e"]}, [{"units": ["f"]}], 7, []]
+    (tmp_path / "ids.jsonl").write_text("".join(json.dumps(x) + "\n" for x in shapes) + "no json\n")
+    assert sorted(r["id"] for r in network.read_ids(spark, str(tmp_path / "ids.jsonl")).collect()) == list("abcdef")
+    lines = [{"gps": [{"gp_id": "A", "cells": ["c1"]}]}, {"arcs": [{"arc_id": 1, "service_cells": ["s1", "s2"]}]}]
+    (tmp_path / "net.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    gp_cells, arcs, arc_cells = network.read_network(spark, str(tmp_path / "net.jsonl"), lines=True)
+    assert (gp_cells.count(), arcs.count(), arc_cells.count()) == (1, 1, 2)
+    (tmp_path / "net.jsonl").write_text('{"other": 1}\n')
+    with pytest.raises(ValueError):
+        network.read_network(spark, str(tmp_path / "net.jsonl"), lines=True)
+
+
 def test_members_must_overlap(spark):
     panel = spark.createDataFrame([("a",), ("b",)], "block_id string")
     assert network.resolve_members(spark.createDataFrame([("a",), ("z",)], "id string"), panel).count() == 1

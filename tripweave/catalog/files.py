@@ -18,12 +18,10 @@ from tripweave.sources import weather as weather_source
 
 @query("source_network_file", trips_sql(f"{NET_SQL} SELECT kind, id, cell FROM mem"))
 def source_network_file(spark, sf):
-    """The nested network written as the one JSON document it is, and its membership read back."""
-    parts = nested_network(spark, sf).agg(F.flatten(F.collect_list("gps")).alias("gps"), F.flatten(F.collect_list("arcs")).alias("arcs"))
+    """The nested network written as JSON, one line for each group and arc, and its membership read back."""
     path = shared_path(spark, "networks")
-    blob = parts.select(F.lit("1").alias("version"), "gps", "arcs", F.array().cast(network_source.ROW).alias("rows"))
-    blob.coalesce(1).write.json(path)
-    gp_cells, _, arc_cells = network_source.read_network(spark, path)
+    nested_network(spark, sf).withColumn("version", F.lit("1")).write.json(path)
+    gp_cells, _, arc_cells = network_source.read_network(spark, path, lines=True)
     return network.membership(gp_cells, arc_cells)
 
 
@@ -32,12 +30,12 @@ def source_network_file(spark, sf):
     trips_sql(f"{OWN_SQL}, ids AS (SELECT DISTINCT geohash AS id, gp FROM own) SELECT 'csv' AS form, id FROM ids UNION ALL SELECT 'json', id FROM ids WHERE gp <> 'UNASSIGNED'"),
 )
 def source_id_files(spark, sf):
-    """Ids from a CSV column, and from a JSON document that lists groups under one name."""
+    """Ids from a CSV column, and from JSON documents, one line for each group, that list it under one name."""
     own = ownership(spark, sf)
-    csv, json = shared_path(spark, "ids"), shared_path(spark, "ids") + ".json"
+    csv, json = shared_path(spark, "ids"), shared_path(spark, "ids") + ".jsonl"
     own.select("gp", "geohash").write.option("header", True).csv(csv)
     groups = own.where("gp <> 'UNASSIGNED'").groupBy("gp").agg(F.collect_list("geohash").alias("cells"))
-    listed = groups.agg(F.collect_list(F.struct("gp", "cells")).alias("groups"))
+    listed = groups.select(F.array(F.struct("gp", "cells")).alias("groups"))
     listed.select(F.to_json(F.struct("groups")).alias("value")).write.text(json)
     found = network_source.read_ids(spark, csv, "geohash").select(F.lit("csv").alias("form"), "id")
     return found.unionByName(network_source.read_ids(spark, json).select(F.lit("json").alias("form"), "id"))

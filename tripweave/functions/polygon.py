@@ -1,12 +1,14 @@
 """Polygon predicates as folds over a literal edge array.
 
 A ring is a list of (lat, lon) vertices, closed implicitly. Its edges travel inside the expression, so
-classifying a table of any size needs no join and no shuffle.
+classifying a table of any size needs no join and no shuffle. They are sorted into bands of latitude, and a row meets
+the edges of its own band only, so the work for each row does not grow with the number of vertices.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,22 +18,55 @@ from tripweave.functions.geohash import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE
 Ring = list[tuple[float, float]]
 
 
-def ring_edges(ring: Ring) -> Column:
-    """Literal array of the ring's edges, in order, with their index."""
-    return literal_structs(
-        {"edge": k, "lat1": a[0], "lon1": a[1], "lat2": b[0], "lon2": b[1]}
-        for k, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1]))
-    )
+@dataclass(frozen=True)
+class Bands:
+    """Equal bands of latitude across a ring, each with the edges that reach into it."""
+
+    south: float
+    height: float
+    members: list[list[int]]
+
+    @classmethod
+    def of(cls, ring: Ring, per_edge: int = 6) -> "Bands":
+        """As many bands as edges, or fewer where long edges would be listed more than per_edge times on average."""
+        spans = [sorted((a[0], b[0])) for a, b in zip(ring, ring[1:] + ring[:1])]
+        south, north = min(low for low, _ in spans), max(high for _, high in spans)
+        count = len(spans)
+        while True:
+            height = (north - south) / count or 1.0
+            # Rounded subtraction, division and floor keep the order of latitudes, so a point between an edge's ends lies
+            # in a band between theirs.
+            reach = [(math.floor((low - south) / height), math.floor((high - south) / height)) for low, high in spans]
+            if count == 1 or sum(high - low + 1 for low, high in reach) <= per_edge * len(spans):
+                break
+            count = max(1, count // 2)
+        members: list[list[int]] = [[] for _ in range(max(high for _, high in reach) + 1)]
+        for k, (low, high) in enumerate(reach):
+            for band in range(low, high + 1):
+                members[band].append(k)
+        return cls(south, height, members)
+
+    def number(self, lat: Column) -> Column:
+        """Band of a latitude, counted from one; the first or last beyond the ring."""
+        band = F.floor((lat - F.lit(self.south)) / F.lit(self.height))
+        return (F.least(F.greatest(band, F.lit(0)), F.lit(len(self.members) - 1)) + 1).cast("int")
+
+    def literal(self, rows: list[dict]) -> Column:
+        """Literal array with an array of the rows of each band's edges."""
+        return F.expr("array(" + ", ".join(_structs([rows[k] for k in band]) for band in self.members) + ")")
 
 
 def literal_structs(rows) -> Column:
     """Literal array of structs of ints and floats, as one parsed expression."""
+    return F.expr(_structs(rows))
+
 
+def _structs(rows) -> str:
     def text(value) -> str:
         return str(value) if isinstance(value, int) else f"{float(value)!r}D"
 
     structs = ("named_struct(" + ", ".join(f"'{k}', {text(v)}" for k, v in row.items()) + ")" for row in rows)
-    return F.expr("array(" + ", ".join(structs) + ")")
+    return "array(" + ", ".join(structs) + ")"
 
 
 def ring_box(ring: Ring) -> tuple[float, float, float, float]:
@@ -42,14 +77,17 @@ def ring_box(ring: Ring) -> tuple[float, float, float, float]:
 
 def inside(lat: Column, lon: Column, ring: Ring) -> Column:
     """Even-odd rule. The box test first keeps the fold off rows that cannot be inside."""
-    sloped = [e for e in zip(ring, ring[1:] + ring[:1]) if e[0][0] != e[1][0]]
-    edges = literal_structs(
-        {"lat1": a[0], "lon1": a[1], "lat2": b[0], "run": b[1] - a[1], "rise": b[0] - a[0]} for a, b in sloped
-    )
+    rows = [
+        {"lat1": a[0], "lon1": a[1], "lat2": b[0], "run": b[1] - a[1], "rise": b[0] - a[0]}
+        for a, b in zip(ring, ring[1:] + ring[:1])
+    ]
+    bands = Bands.of(ring)
+    edges = F.element_at(bands.literal(rows), bands.number(lat))
 
     def flip(state: Column, e: Column) -> Column:
+        # A level edge straddles nothing.
         straddles = (e["lat1"] > lat) != (e["lat2"] > lat)
-        crosses = straddles & (lon < e["lon1"] + (lat - e["lat1"]) * e["run"] / e["rise"])
+        crosses = straddles & (lon < e["lon1"] + F.try_divide((lat - e["lat1"]) * e["run"], e["rise"]))
         return state != crosses
 
     low_lat, low_lon, high_lat, high_lon = ring_box(ring)
@@ -70,8 +108,17 @@ def trip_class(start_inside: Column, end_inside: Column) -> Column:
 def first_crossing(lat1: Column, lon1: Column, lat2: Column, lon2: Column, ring: Ring) -> Column:
     """Struct (t, edge) of the first ring edge the segment meets; NULL if it meets none.
 
-    Equal parameters resolve to the lowest edge index.
+    Equal parameters resolve to the lowest edge index. Only edges of the bands that the segment passes, and of one more on
+    either side for rounded ends, are met.
     """
+    bands = Bands.of(ring)
+    rows = [
+        {"edge": k, "lat1": a[0], "lon1": a[1], "lat2": b[0], "lon2": b[1]}
+        for k, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1]))
+    ]
+    first = F.greatest(bands.number(F.least(lat1, lat2)) - 1, F.lit(1))
+    last = F.least(bands.number(F.greatest(lat1, lat2)) + 1, F.lit(len(bands.members)))
+    passed = F.flatten(F.slice(bands.literal(rows), first, last - first + 1))
     rise, run = lat2 - lat1, lon2 - lon1
 
     def meet(e: Column) -> Column:
@@ -83,7 +130,7 @@ def first_crossing(lat1: Column, lon1: Column, lat2: Column, lon2: Column, ring:
         u = (d_lat * run - d_lon * rise) / usable
         return F.when((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), F.struct(t.alias("t"), e["edge"].alias("edge")))
 
-    return F.array_min(F.filter(F.transform(ring_edges(ring), meet), lambda hit: hit.isNotNull()))
+    return F.array_min(F.filter(F.transform(passed, meet), lambda hit: hit.isNotNull()))
 
 
 def padded_box(lat: Column, lon: Column, ring: Ring, pad_km: float) -> Column:

@@ -15,10 +15,11 @@ LIST_KEYS = ("groups", "gps", "gathering_points", "cells", "units")
 CELL_KEYS = ("cells", "cell_ids", "geohashes", "members", "units")
 
 
-def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(gp_cells, arcs, arc_cells) of a nested network document."""
-    blob = spark.read.schema(NETWORK_SCHEMA).json(path, multiLine=True)
-    if blob.where("gps is null or arcs is null or rows is null").take(1):
+def read_network(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(gp_cells, arcs, arc_cells) of a nested network document, or of a file whose lines are documents of a part each."""
+    blob = spark.read.schema(NETWORK_SCHEMA).json(path, multiLine=not lines)
+    missing = "gps is null and arcs is null and rows is null" if lines else "gps is null or arcs is null or rows is null"
+    if blob.where(missing).take(1):
         raise ValueError(f"{path} lacks gps, arcs or rows")
     return explode_network(blob)
 
@@ -35,29 +36,25 @@ def explode_network(blob: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def ids_from_json(text: DataFrame, column: str = "value") -> DataFrame:
     """Distinct ids out of JSON documents: a list of ids, a list of groups, or a named list of either.
 
-    Every accepted shape is parsed with its own schema and the first that fits is used.
+    A document is parsed once, as a variant. Its first list counts whose groups all have cells; nulls are no ids.
     """
-    doc = F.col(column)
-    group = "array<struct<" + ", ".join(f"{k}: array<string>" for k in CELL_KEYS) + ">>"
+    doc = F.col("_doc")
 
-    def cells_of(groups):
-        return F.flatten(F.transform(groups, lambda g: F.coalesce(*[g[k] for k in CELL_KEYS])))
+    def cells_of(entry):
+        named = F.coalesce(*[F.try_variant_get(entry, f"$.{k}", "array<string>") for k in CELL_KEYS])
+        own = F.array(F.try_variant_get(entry, "$", "string"))
+        return F.when(F.startswith(F.schema_of_variant(entry), F.lit("OBJECT")), named).otherwise(own)
 
-    def plain(parsed):
-        # A list of objects read as a list of texts gives the objects' own JSON.
-        return F.when(~F.exists(parsed, lambda t: F.startswith(t, F.lit("{"))), parsed)
-
-    choices = [plain(F.from_json(doc, "array<string>")), cells_of(F.from_json(doc, group))]
-    for key in LIST_KEYS:
-        inner = F.get_json_object(doc, f"$.{key}")
-        choices += [plain(F.from_json(inner, "array<string>")), cells_of(F.from_json(inner, group))]
-    return text.select(F.explode(F.coalesce(*choices)).alias("id")).distinct()
+    lists = [F.try_variant_get(doc, at, "array<variant>") for at in ("$", *[f"$.{k}" for k in LIST_KEYS])]
+    ids = F.coalesce(*[F.flatten(F.transform(entries, cells_of)) for entries in lists])
+    parsed = text.select(F.try_parse_json(F.col(column)).alias("_doc"))
+    return parsed.select(F.explode(ids).alias("id")).where("id IS NOT NULL").distinct()
 
 
 def read_ids(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Distinct ids of a JSON document or of one CSV column (the first unless named)."""
-    if path.endswith(".json"):
-        text = spark.read.text(path, wholetext=True)
+    """Distinct ids of a JSON document (.json), of JSON lines (.jsonl) or of one CSV column (the first unless named)."""
+    if path.endswith((".json", ".jsonl")):
+        text = spark.read.text(path, wholetext=path.endswith(".json"))
         if key:
             text = text.select(F.get_json_object("value", "$." + key).alias("value"))
         return ids_from_json(text)
