@@ -15,7 +15,7 @@ def star(n, seed):
 
 
 RINGS = {
-    "star": star(300, 1), "triangle": [(0.0, 0.0), (3.0, 1.0), (1.0, 4.0)], "square": [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)],
+    "star": star(300, 1), "triangle": [(0, 0), (3.0, 1), (1.0, 4.0)], "square": [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)],
     "comb": [p for k in range(40) for p in ((0.0, k / 10), (5.0, k / 10 + 0.03))] + [(-1.0, 4.0), (-1.0, 0.0)], "level": [(1.0, 0.0), (1.0, 2.0), (1.0, 1.0)],
 }
 

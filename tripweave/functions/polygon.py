@@ -7,6 +7,7 @@ the edges of its own band only, so the work for each row does not grow with the
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -25,11 +26,12 @@ class Bands:
     south: float
     height: float
     members: list[list[int]]
+    starting: list[list[int]]  # the edges whose lowest band it is
 
     @classmethod
     def of(cls, ring: Ring, per_edge: int = 6) -> "Bands":
         """As many bands as edges, or fewer where long edges would be listed more than per_edge times on average."""
-        spans = [sorted((a[0], b[0])) for a, b in zip(ring, ring[1:] + ring[:1])]
+        spans = [sorted((a[0], b[0])) for a, b in edges_of(ring)]
         south, north = min(low for low, _ in spans), max(high for _, high in spans)
         count = len(spans)
         while True:
@@ -41,32 +43,55 @@ class Bands:
                 break
             count = max(1, count // 2)
         members: list[list[int]] = [[] for _ in range(max(high for _, high in reach) + 1)]
+        starting: list[list[int]] = [[] for _ in members]
         for k, (low, high) in enumerate(reach):
+            starting[low].append(k)
             for band in range(low, high + 1):
                 members[band].append(k)
-        return cls(south, height, members)
+        return cls(south, height, members, starting)
 
     def number(self, lat: Column) -> Column:
         """Band of a latitude, counted from one; the first or last beyond the ring."""
         band = F.floor((lat - F.lit(self.south)) / F.lit(self.height))
         return (F.least(F.greatest(band, F.lit(0)), F.lit(len(self.members) - 1)) + 1).cast("int")
 
-    def literal(self, rows: list[dict]) -> Column:
-        """Literal array with an array of the rows of each band's edges."""
-        return F.expr("array(" + ", ".join(_structs([rows[k] for k in band]) for band in self.members) + ")")
+    def at(self, lat: Column, rows: list[dict]) -> Column:
+        """The rows of the edges that reach into a latitude's band."""
+        return F.element_at(_nested(self.members, rows), self.number(lat))
+
+    def between(self, low: Column, high: Column, rows: list[dict]) -> Column:
+        """The rows of the edges that reach into the bands of two latitudes, those between, and one on either side; each once."""
+        first = F.greatest(self.number(low) - 1, F.lit(1))
+        last = F.least(self.number(high) + 1, F.lit(len(self.members)))
+        earlier = [sorted(set(own) - set(new)) for own, new in zip(self.members, self.starting)]
+        started = F.flatten(F.slice(_nested(self.starting, rows), first, last - first + 1))
+        return F.concat(F.element_at(_nested(earlier, rows), first), started)
+
+
+def _nested(groups: list[list[int]], rows: list[dict]) -> Column:
+    """Literal array of the rows of each group."""
+    return _literal([[rows[k] for k in group] for group in groups], f"array<array<{_struct_type(rows[0])}>>")
 
 
 def literal_structs(rows) -> Column:
-    """Literal array of structs of ints and floats, as one parsed expression."""
-    return F.expr(_structs(rows))
+    """Literal array of structs of ints and floats."""
+    rows = list(rows)
+    return _literal(rows, f"array<{_struct_type(rows[0])}>")
+
+
+def _literal(value, kind: str) -> Column:
+    """A constant as one text that the optimizer reads once, not thousands of expressions; doubles keep all digits."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
 
+def _struct_type(row: dict) -> str:
+    return "struct<" + ", ".join(f"{k}: {'int' if isinstance(v, int) else 'double'}" for k, v in row.items()) + ">"
 
-def _structs(rows) -> str:
-    def text(value) -> str:
-        return str(value) if isinstance(value, int) else f"{float(value)!r}D"
 
-    structs = ("named_struct(" + ", ".join(f"'{k}', {text(v)}" for k, v in row.items()) + ")" for row in rows)
-    return "array(" + ", ".join(structs) + ")"
+def edges_of(ring: Ring) -> list[tuple[tuple[float, float], tuple[float, float]]]:
+    """Ends of every edge, the closing one included."""
+    ends = [(float(lat), float(lon)) for lat, lon in ring]
+    return list(zip(ends, ends[1:] + ends[:1]))
 
 
 def ring_box(ring: Ring) -> tuple[float, float, float, float]:
@@ -79,10 +104,10 @@ def inside(lat: Column, lon: Column, ring: Ring) -> Column:
     """Even-odd rule. The box test first keeps the fold off rows that cannot be inside."""
     rows = [
         {"lat1": a[0], "lon1": a[1], "lat2": b[0], "run": b[1] - a[1], "rise": b[0] - a[0]}
-        for a, b in zip(ring, ring[1:] + ring[:1])
+        for a, b in edges_of(ring)
     ]
     bands = Bands.of(ring)
-    edges = F.element_at(bands.literal(rows), bands.number(lat))
+    edges = bands.at(lat, rows)
 
     def flip(state: Column, e: Column) -> Column:
         # A level edge straddles nothing.
@@ -114,11 +139,9 @@ def first_crossing(lat1: Column, lon1: Column, lat2: Column, lon2: Column, ring:
     bands = Bands.of(ring)
     rows = [
         {"edge": k, "lat1": a[0], "lon1": a[1], "lat2": b[0], "lon2": b[1]}
-        for k, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1]))
+        for k, (a, b) in enumerate(edges_of(ring))
     ]
-    first = F.greatest(bands.number(F.least(lat1, lat2)) - 1, F.lit(1))
-    last = F.least(bands.number(F.greatest(lat1, lat2)) + 1, F.lit(len(bands.members)))
-    passed = F.flatten(F.slice(bands.literal(rows), first, last - first + 1))
+    passed = bands.between(F.least(lat1, lat2), F.greatest(lat1, lat2), rows)
     rise, run = lat2 - lat1, lon2 - lon1
 
     def meet(e: Column) -> Column:

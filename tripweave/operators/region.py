@@ -142,7 +142,7 @@ def edge_lengths(ring: Ring, latitude: float = gh.STUDY_LATITUDE) -> list[float]
     lon_metres = gh.METRES_PER_DEGREE_LON_EQUATOR * math.cos(math.radians(latitude))
     return [
         math.hypot((b[0] - a[0]) * gh.METRES_PER_DEGREE_LAT, (b[1] - a[1]) * lon_metres)
-        for a, b in zip(ring, ring[1:] + ring[:1])
+        for a, b in polygon.edges_of(ring)
     ]
 
 
@@ -155,7 +155,7 @@ def edge_table(spark, ring: Ring, target_m: float = 300.0, latitude: float = gh.
     lengths = edge_lengths(ring, latitude)
     edges = polygon.literal_structs(
         {"edge": k, "lat1": a[0], "lon1": a[1], "lat2": b[0], "lon2": b[1], "length_m": lengths[k]}
-        for k, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1]))
+        for k, (a, b) in enumerate(polygon.edges_of(ring))
     )
     start = F.struct(
         F.lit(0).alias("arc"), F.lit(0.0).alias("metres"), F.array().cast("array<int>").alias("arcs")
