@@ -49,7 +49,7 @@ def test_bands_change_no_answer(spark, name):
     ring, rng = RINGS[name], random.Random(3)
     south, west, north, east = polygon.ring_box(ring)
     spot = lambda: (rng.uniform(south - 0.2, north + 0.2), rng.uniform(west - 0.2, east + 0.2))
-    points = [spot() for _ in range(400)] + ring + [(a[0], rng.uniform(west, east)) for a in ring]
+    points = [spot() for _ in range(400)] + [(float(a), float(b)) for a, b in ring] + [(float(a[0]), rng.uniform(west, east)) for a in ring]
     ends = [rng.choice(points) for _ in points]
     df = spark.createDataFrame([(k, *p, *q) for k, (p, q) in enumerate(zip(points, ends))] + [(-1, None, 1.0, 1.0, None)], "k int, a double, b double, c double, d double")
     a, b, c, d = (F.col(x) for x in "abcd")
