@@ -7,7 +7,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tripweave.catalog import QUERIES
+from tripweave.catalog import QUERIES, forecast
 from tripweave.catalog.forecast import blocks, labelled
 from tripweave.functions.clock import Horizon
 from tripweave.operators import boosting, bundle, features, folds, models, negative_binomial, scoring, search
@@ -295,3 +295,45 @@ def test_negative_binomial_needs_events(spark):
     design = Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="features")]).fit(df)
     with pytest.raises(ValueError, match="no events"):
         negative_binomial.fit(df, design)
+
+
+@pytest.fixture(scope="module")
+def own_events(spark, tmp_path_factory):
+    """Events of four weeks, as the queries read them."""
+    at = str(tmp_path_factory.mktemp("events"))
+    rows = spark.range(2400).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(1704067200 + F.col("id") * 1009).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") % 50).cast("double").alias("value"),
+        F.concat(F.lit('{"k": '), F.col("id") % 9, F.lit("}")).alias("props"),
+    )
+    rows.write.parquet(f"{at}/events.parquet")
+    return at
+
+
+def _calls(monkeypatch, module, name):
+    """A list that grows with every call of a function of the module."""
+    made, real = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a, **k: made.append(a) or real(*a, **k))
+    return made
+
+
+def test_search_reads_the_events_once_for_weather_and_fits_a_fold_once(spark, own_events, monkeypatch):
+    read, fitted = _calls(monkeypatch, forecast, "readings"), _calls(monkeypatch, models, "fold_tables")
+    rows = QUERIES["model_search"](spark, own_events).collect()
+    numbers = {r.fold for r in rows} - {None}
+    assert len(rows) == 2 * 2 * (len(numbers) + 1) and all(r.loss > 0 for r in rows)
+    assert len(read) == 1 and len(fitted) == 2 * len(numbers)
+
+
+def test_runs_with_shared_folds_predict_what_they_predict_alone(spark, own_events):
+    panel, weather = labelled(spark, own_events), forecast.weather_table(spark, own_events)
+    found, rows = folds.folds(panel, 3, "week_forward"), forecast.slot_rows(spark, own_events, panel)
+    shared = models.SharedFolds()
+    for depth in (2, 3):
+        both = []
+        for common in (None, shared):
+            run = models.feature_fit_predict(lambda: blocks(spark, own_events, "arrivals", weather), "arrivals", rows, common, depth=depth, rounds=2)
+            both.append(models.walk_forward(panel, found, run).withColumnRenamed("pred_raw", "pred"))
+        gap = bundle.largest_difference(*both, ["fold", "block_id", "date", "slot"]).first()
+        assert gap["unmatched"] == 0 and gap["max_difference"] < 1e-9
+    assert len(shared.held) == len(found)

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tripweave.catalog.base import query, raw_trips, rounded, sql_workday, trips_sql
 from tripweave.catalog.cleaning import DROPS, raw_sql
-from tripweave.catalog.forecast import CUT, LABELLED, TOP_UNITS, blocks, labelled, slot_rows
+from tripweave.catalog.forecast import CUT, LABELLED, TOP_UNITS, blocks, labelled, slot_rows, weather_table
 from tripweave.catalog.panels import morning_panel, panel_sql
 from tripweave.functions.clock import MORNING
 from tripweave.operators import boosting, bundle, features, folds, models, qc, ranking, scoring, search
-from tripweave.session import shared_path
+from tripweave.session import shared_path, side_by_side, write_through
 from tripweave.sources import orders, tables
 
 
@@ -99,7 +99,7 @@ ROUNDS = 8
 def saved_bundle(spark, sf, panel, until=None, target="arrivals"):
     """Blocks and trees fitted on the days before `until`, or on all days, with the run's rows and weights."""
     train = slot_rows(spark, sf, panel).training(panel if until is None else panel.where(F.col("date") < F.lit(until)))
-    chain = features.FeatureSet(blocks(spark, sf, target)).fit(train.drop("weight"))
+    chain = features.FeatureSet(blocks(spark, sf, target, weather_table(spark, sf))).fit(train.drop("weight"))
     columns = chain.columns
     prepared = models.boosted_columns(chain.transform_keeping(train), columns)
     model = boosting.fit(prepared, columns, (), target, "weight", rounds=ROUNDS, depth=4)
@@ -177,10 +177,10 @@ SELECT target, dropped, count(*) AS n, CAST(sum(v) AS DOUBLE) AS obs_sum, true A
 )
 def model_ablation(spark, sf):
     """All folds with every block and without each of the five in turn, for both targets."""
-    panel = labelled(spark, sf)
+    panel, weather = labelled(spark, sf), weather_table(spark, sf)
     found = folds.folds(panel, 3, "week_forward")
     parts = [
-        models.ablation(panel, found, lambda t=target: blocks(spark, sf, t), target, rounds=2, depth=3).withColumn("target", F.lit(target))
+        models.ablation(panel, found, lambda t=target: blocks(spark, sf, t, weather), target, rounds=2, depth=3).withColumn("target", F.lit(target))
         for target in features.TARGETS
     ]
     scored = (F.col("poisson_deviance") >= 0) & (F.col("pred_sum") > 0)
@@ -190,10 +190,10 @@ def model_ablation(spark, sf):
 @query("model_ablation_scores")
 def model_ablation_scores(spark, sf):
     """The scores of the ablation: deviances of each fold with every block and without each of the five, for both targets."""
-    panel = labelled(spark, sf)
+    panel, weather = labelled(spark, sf), weather_table(spark, sf)
     found = folds.folds(panel, 3, "week_forward")
     parts = [
-        models.ablation(panel, found, lambda t=target: blocks(spark, sf, t), target, keys=["fold"], rounds=2, depth=3).withColumn("target", F.lit(target))
+        models.ablation(panel, found, lambda t=target: blocks(spark, sf, t, weather), target, keys=["fold"], rounds=2, depth=3).withColumn("target", F.lit(target))
         for target in features.TARGETS
     ]
     return parts[0].unionByName(parts[1])
@@ -209,11 +209,11 @@ SELECT target, count(*) AS n, CAST(sum(v) AS DOUBLE) AS obs_sum, true AS scored
 def model_slot_rows(spark, sf):
     """What is exact of the run on the slot panel: the scored rows of all folds and their observed totals, for both targets."""
     df = labelled(spark, sf)
-    found, rows = folds.folds(df, 3, "week_forward"), slot_rows(spark, sf, df)
+    found, rows, weather = folds.folds(df, 3, "week_forward"), slot_rows(spark, sf, df), weather_table(spark, sf)
     parts = []
     for target in features.TARGETS:
-        run = models.feature_fit_predict(lambda t=target: blocks(spark, sf, t), target, rows, rounds=2, depth=3)
-        preds = scoring.calibrate(models.walk_forward(df, found, run)).where("scored")
+        run = models.feature_fit_predict(lambda t=target: blocks(spark, sf, t, weather), target, rows, rounds=2, depth=3)
+        preds = scoring.calibrate(write_through(models.walk_forward(df, found, run))).where("scored")
         scored = (F.col("poisson_deviance") >= 0) & (F.col("pred_sum") > 0)
         parts.append(scoring.score(preds).select(F.lit(target).alias("target"), "n", "obs_sum", scored.alias("scored")))
     return parts[0].unionByName(parts[1])
@@ -253,15 +253,18 @@ def model_search(spark, sf):
     """Loss of every combination of a small grid over all folds (fold null) and on each, for both targets, with the run's
     features, rows and weights."""
     panel = labelled(spark, sf)
-    found, rows = folds.folds(panel, 3, "week_forward"), slot_rows(spark, sf, panel)
-    parts = []
-    for target in features.TARGETS:
+    found, rows, weather = folds.folds(panel, 3, "week_forward"), slot_rows(spark, sf, panel), weather_table(spark, sf)
 
-        def make(depth, rounds, t=target):
-            return models.feature_fit_predict(lambda: blocks(spark, sf, t), t, rows, depth=depth, rounds=rounds)
+    def losses(target):
+        shared = models.SharedFolds()
+
+        def make(depth, rounds):
+            return models.feature_fit_predict(lambda: blocks(spark, sf, target, weather), target, rows, shared, depth=depth, rounds=rounds)
 
         found_losses = models.search(panel, found, make, {"depth": [2, 4], "rounds": [2]}, lambda preds: models.run_loss(preds, 0.3), by_fold=True)
-        parts.append(found_losses.withColumn("target", F.lit(target)))
+        return found_losses.withColumn("target", F.lit(target))
+
+    parts = side_by_side(spark, [lambda t=target: losses(t) for target in features.TARGETS])
     return parts[0].unionByName(parts[1])
 
 
@@ -271,11 +274,11 @@ TRIALS = 20
 
 def random_search(spark, sf, target, trials=TRIALS, threads=4, keep=1.0):
     """Random points for a target over all folds of the slot panel, with the run's features, rows and weights."""
-    panel = labelled(spark, sf)
+    panel, weather = labelled(spark, sf), weather_table(spark, sf)
     found, rows = folds.folds(panel, 3, "week_forward"), slot_rows(spark, sf, panel)
 
     def prepare(fold):
-        return models.fold_tables(fold.train(panel), fold.valid(panel), blocks(spark, sf, target), target, rows)
+        return models.fold_tables(fold.train(panel), fold.valid(panel), blocks(spark, sf, target, weather), target, rows)
 
     def loss(tables, **point):
         return models.run_loss(tables.predictions(**point), 0.3).first()["loss"]
@@ -293,13 +296,13 @@ def model_random_search(spark, sf):
 @query("model_best_point_equals_run", "SELECT * FROM (VALUES ('arrivals', 4, true, true), ('departures', 4, true, true)) AS v(target, trials, one_best, equals_run)")
 def model_best_point_equals_run(spark, sf):
     """For both targets a search with halving has one winner, and a run with its parameters has the losses that the search told."""
-    panel = labelled(spark, sf)
+    panel, weather = labelled(spark, sf), weather_table(spark, sf)
     found, rows = folds.folds(panel, 3, "week_forward"), slot_rows(spark, sf, panel)
     made = []
     for target in features.TARGETS:
         result = random_search(spark, sf, target, trials=4, keep=0.5)
         best = result.best
-        preds = models.walk_forward(panel, found, models.feature_fit_predict(lambda t=target: blocks(spark, sf, t), target, rows, **best.params))
+        preds = models.walk_forward(panel, found, models.feature_fit_predict(lambda t=target: blocks(spark, sf, t, weather), target, rows, **best.params))
         again = {f.number: models.run_loss(preds.where(F.col("fold") == f.number), 0.3).first()["loss"] for f in found}
         same = all(abs(again[n] - loss) <= 1e-9 * abs(loss) for n, loss in best.losses.items())
         won = result.frame(spark).where("best").agg(F.count_distinct("trial")).first()[0] == 1
