@@ -337,3 +337,10 @@ def test_runs_with_shared_folds_predict_what_they_predict_alone(spark, own_event
         gap = bundle.largest_difference(*both, ["fold", "block_id", "date", "slot"]).first()
         assert gap["unmatched"] == 0 and gap["max_difference"] < 1e-9
     assert len(shared.held) == len(found)
+
+
+def test_slot_features_read_the_events_once_for_weather(spark, own_events, monkeypatch):
+    read = _calls(monkeypatch, forecast, "readings")
+    rows = QUERIES["model_slot_features"](spark, own_events).collect()
+    assert {r.target for r in rows} == {"arrivals", "departures"} and len({r.fold for r in rows}) * 2 == len(rows)
+    assert len(read) == 1 and all(r.n > 0 and r.pred_sum > 0 for r in rows)
