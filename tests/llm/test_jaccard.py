@@ -100,3 +100,28 @@ def test_null_and_repeated_ids(spark, tmp_path):
     assert jaccard.components(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         jaccard.components(docs, similarity=(3, 2))
+
+
+def test_pairs_of_classes_take_one_shuffle_of_the_keys(spark, tmp_path):
+    """Keys shared in each band as plain loops find them, with both sides of the join read from one exchange."""
+    generator = random.Random(4)
+    sizes = {c: generator.randint(8, 14) for c in range(60)}
+    held = {(k, c): (k, c, sizes[c], k % 2, 1 + c % 3) for k in range(40) for c in generator.sample(range(60), 6)}
+    schema = "key bigint, class bigint, size bigint, band int, need int"
+    spark.createDataFrame(list(held.values()), schema).write.parquet(f"{tmp_path}/few")
+    want = {}
+    for k, a in held:
+        for b in range(a + 1, 60):
+            if (k, b) in held and 10 * min(sizes[a], sizes[b]) >= 8 * max(sizes[a], sizes[b]):
+                want[a, b, k % 2] = want.get((a, b, k % 2), 0) + 1
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shares = jaccard.shared_keys(spark.read.parquet(f"{tmp_path}/few"), 8, 10)
+        rows = shares.collect()
+        plan = shares._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r["class"], r.other, r.band): r.shared for r in rows} == want
+    assert all(r.need == 1 + max(r["class"] % 3, r.other % 3) and r.sizes == sizes[r["class"]] + sizes[r.other] for r in rows)
+    assert "ReusedExchange" in plan

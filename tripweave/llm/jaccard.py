@@ -244,6 +244,18 @@ def _compare(p: int, q: int):
     return run
 
 
+def shared_keys(few: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs of classes whose sizes allow a link, with the keys they share in each band; `few` (key, class, size, band, need) is a written table.
+
+    Equal keys are of one band. Both sides have the same columns under the same names, so that they are one shuffle, read twice.
+    """
+    fits = f"a.class < b.class AND {q} * least(a.size, b.size) >= {p} * greatest(a.size, b.size)"
+    met = few.alias("a").join(few.alias("b"), F.expr(f"a.key = b.key AND a.band = b.band AND {fits}"))
+    return met.groupBy(F.col("a.class").alias("class"), F.col("b.class").alias("other"), "a.band").agg(
+        F.count(F.lit(1)).alias("shared"), F.max(F.greatest("a.need", "b.need")).alias("need"), F.max(F.col("a.size") + F.col("b.size")).alias("sizes")
+    )
+
+
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
     """One row for each row of docs: row (its number in docs), id, n_shingles, n_links (rows it links to), component_id
     (smallest id reachable by links) and first_row (smallest row number of the component).
@@ -273,11 +285,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         signed.join(sized(candidates), "class").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), F.first("sketch").alias("sketch"))
     )
     few = meeting.join(sized(crowds), "key", "left_anti").select("key", "class", "size", "band", "need")
-    other = few.select("key", F.col("class").alias("other"), F.col("size").alias("other_size"), F.col("need").alias("other_need"))
-    fits = f"class < other AND {q} * least(size, other_size) >= {p} * greatest(size, other_size)"
-    shares = few.join(other, "key").where(fits).groupBy("class", "other", "band").agg(
-        F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need", "other_need")).alias("need"), F.max(F.col("size") + F.col("other_size")).alias("sizes")
-    )
+    shares = shared_keys(few, p, q)
     # Two classes that share a crowded key hang together anyway; of all others every shared key is counted here.
     pairs = shares.where("shared >= need").select("class", "other", "sizes").distinct()
     sketched = pairs.join(classes.select("class", "sketch"), "class").join(
