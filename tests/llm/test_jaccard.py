@@ -4,9 +4,11 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tripweave.llm import jaccard
+from tripweave.session import write_through
 
 
 def by_hand(texts, n, p, q):
@@ -125,3 +127,43 @@ def test_pairs_of_classes_take_one_shuffle_of_the_keys(spark, tmp_path):
     assert {(r["class"], r.other, r.band): r.shared for r in rows} == want
     assert all(r.need == 1 + max(r["class"] % 3, r.other % 3) and r.sizes == sizes[r["class"]] + sizes[r.other] for r in rows)
     assert "ReusedExchange" in plan
+
+
+def test_keys_go_into_one_shuffle_and_are_written_nowhere_else(spark, tmp_path, monkeypatch):
+    """Of the keys, which are the largest part of the work, only those that classes share are written; the rows carry none."""
+    written = []
+
+    def kept(df):
+        written.append(df)
+        return write_through(df)
+
+    monkeypatch.setattr(jaccard, "write_through", kept)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(40)]
+    texts += [texts[0], texts[1] + " more", *texts[2:4]]
+    assert found(spark, tmp_path, texts, 5, 8, 10) == by_hand(texts, 5, 8, 10)
+    assert [f.dataType.typeName() for df in written for f in df.schema if f.dataType.typeName() in ("array", "struct", "map")] == []
+    keys = next(df for df in written if {"key", "class"} <= set(df.columns))
+    assert {r["class"] for r in keys.collect()} == {jaccard.class_id(t) for t in jaccard.token_sets(pa.array([texts[1], texts[1] + " more"]), 5)}
+    assert keys._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.rindex("Initial Plan") :].count("Exchange") == 1 if "Initial Plan" in plan else plan.count("Exchange") == 1
+
+
+def test_a_task_gives_the_keys_of_equal_sets_once():
+    texts = ["a b c d e f g h", None, "A b c d e f  g h", "", "x y z", "a b c d e f g h"]
+    once = [b for text in ("a b c d e f g h", "x y z") for b in jaccard._keys(3, 9, 10)([pa.record_batch([pa.array([text])], names=["text"])])]
+    several = list(jaccard._keys(3, 9, 10)([pa.record_batch([pa.array(texts[:3])], names=["text"]), pa.record_batch([pa.array(texts[3:])], names=["text"])]))
+    assert pa.Table.from_batches(several).to_pylist() == pa.Table.from_batches(once).to_pylist()
+
+
+def test_a_line_in_common_brings_short_texts_together_in_no_band():
+    """Two texts of 30 words with 10 of them in common share fewer keys than either would share with a text it links to."""
+    rng = random.Random(8)
+    line = [f"c{k}" for k in range(10)]
+    together = 0
+    for _ in range(200):
+        pair = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(20)] + line) for _ in range(2)]
+        left, right = ({band: (need, keys) for band, need, keys in jaccard.block_keys(t, 8, 10)} for t in jaccard.token_sets(pa.array(pair), 5))
+        together += any(len(np.intersect1d(left[b][1], right[b][1])) >= max(left[b][0], right[b][0]) for b in left.keys() & right.keys())
+    assert together == 0

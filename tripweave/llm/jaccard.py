@@ -5,15 +5,17 @@ q * |A & B| >= p * |A | B|. The join is exact up to collisions of 64-bit hashes.
 
 * Parity sketch: a token's hash picks a block, and the token flips its bits there, so a block holds the XOR of its
   tokens. A token on which two sets differ touches one block only: the number of blocks that differ is a lower bound of
-  the symmetric difference. If A is the smaller set, linked sets differ in at most d = floor(|A| (q - p) / p) tokens.
-* Pigeonhole for each size band: sets whose smaller one lies in a band use the same d and the same number of blocks, a few
-  more than d, and at most d non-empty blocks of either differ. So linked sets with x and y non-empty blocks share at least
-  max(x, y) - d keys (band, block, XOR). Of its non-empty blocks a set gives only the first few more than d, which keeps that true with
-  x and y counted up to there. A set with d non-empty blocks or fewer gives one key more, for the rest of its
-  band, which any two such sets share.
-* Keys meet by a partial aggregation. A class that meets others in fewer keys of a band than it would share with one it links to
-  leaves that band, so that a passage which very many documents share brings nothing together by itself. Classes that share a key with at most CROWD classes are paired, if their sizes
-  allow a link. A pair is dropped when it shares too few keys (unless one of them is crowded), and when the Hamming distance of its bit sketches (each token flips one bit; about a bit
+  the symmetric difference, which for linked sets is at most (|A| + |B|) (q - p) / (q + p).
+* Pigeonhole for each size band: sets whose smaller one lies in a band use the same blocks. A set bounds its difference from
+  any set it links to there by its own d: what the largest partner allows in its own band, what its size and the band's last
+  size allow in a lower one. At most d of its non-empty blocks differ from those of the other set, so of x non-empty blocks it
+  shares x - d keys (band, block, XOR). It gives only the first d + slack of them, with one slack for all sets of the band: of
+  two sets the one whose blocks end earlier shares all but d of them with the other, so that still holds with x counted up to
+  there. A set with d non-empty blocks or fewer gives one key more, for the rest of its band, which any two such sets share.
+* Keys meet in one shuffle, into which they go from the texts without being written before. A class that meets others in fewer keys of a band than it would share with one it links to
+  leaves that band, so that a passage which very many documents share brings nothing together by itself; the slack of short
+  sets is so large that a line in common does not reach it. Classes that share a key with at most CROWD classes are paired, if their sizes
+    allow a link. A pair is dropped when it shares too few keys (unless one of them is crowded), and when the Hamming distance of its bit sketches (each token flips one bit; about a bit
   for each token), which is a lower bound of the symmetric difference too, is too large. In a crowded key, each class
   hangs on the smallest one instead, so that no crowd is written out as pairs.
 * Components of these hints are independent clusters: no link leaves a cluster. In a cluster, finer sketches are compared
@@ -36,10 +38,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tripweave.session import write_through
 
 from .arrow_text import SPACED, hashed_words, mix, numbered, shingles
-from .common import connected, drop_shuffles, meeting as meet, released, sized
-
-#: A size band ends at so many times its start. Wider bands repeat fewer sets in two bands, but give short sets more keys.
-BAND = 1.4
+from .common import connected, drop_shuffles, released, sized
+
+#: A size band ends at so many times its start. Wider bands repeat fewer sets in two bands, but leave fewer tokens in a block.
+BAND = 2
+#: A task gives the keys of equal sets once, as far as it remembers so many classes.
+SEEN = 1 << 16
+#: Keys that a task holds before it hands them on.
+KEYS_HELD = 1 << 17
 #: Keys shared by more classes than this are not written out as pairs.
 CROWD = 64
 _SALT = numbered(4, 2)
@@ -65,6 +71,12 @@ def blocks(d: int) -> int:
     return math.ceil((1.5 if d < 64 else 1.2 if d < 256 else 1.15 if d < 1024 else 1.12) * (d + 1))
 
 
+def slack(d: int) -> int:
+    """Keys that a set gives beyond its own d in a band whose linked sets differ in at most d tokens. Linked sets share as many,
+    so more of them keep unlike sets apart; short sets need them most and give few keys."""
+    return 2 + max(min(d, 8), d // 16)
+
+
 def block_keys(tokens: np.ndarray, p: int, q: int) -> list[tuple[int, int, np.ndarray]]:
     """(band, need, keys) for each band in which a set (sorted distinct 64-bit hashes) can meet a set it links to. Linked
     sets share at least the need of either in the band of the smaller one."""
@@ -79,14 +91,15 @@ def block_keys(tokens: np.ndarray, p: int, q: int) -> list[tuple[int, int, np.nd
         top = starts[band + 1] - 1
         if top < smallest:
             break
-        d = top * (q - p) // p
-        k = blocks(d)
+        widest = top * (q - p) // p
+        k = blocks(widest)
+        d = size * (q - p) // p if band == own else min(widest, (top + size) * (q - p) // (q + p))
         block = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # rises with the token
         first = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
         parity = np.bitwise_xor.reduceat(tokens * _SALT[0], first)
         place = mix(block[first] + np.uint64(band << 40))
-        # Of the two sets the one whose first `most` blocks end earlier shares all but d of them with the other, within these.
-        most = d + 2 + d // 16
+        # Of the two sets the one whose first `most` blocks end earlier shares all but its d of them with the other, within these.
+        most = d + slack(widest)
         keys = mix(parity ^ place)[:most]
         if len(first) <= d:
             keys = np.append(keys, mix(np.array([band], np.uint64) + _SALT[1]))
@@ -94,6 +107,15 @@ def block_keys(tokens: np.ndarray, p: int, q: int) -> list[tuple[int, int, np.nd
     return out
 
 
+def packed(size: int, band: int, need: int) -> int:
+    """What goes with a key, as one long: 33 bits of size, 24 of need (a smaller need only keeps more), 6 of band."""
+    return size << 30 | min(need, (1 << 24) - 1) << 6 | band
+
+
+#: The columns of a packed long.
+UNPACKED = ("shiftright(info, 30) AS size", "CAST(info & 63 AS int) AS band", "CAST(shiftright(info, 6) & 16777215 AS int) AS need")
+
+
 def class_id(tokens: np.ndarray) -> int:
     total = np.array([np.add.reduce(mix(tokens ^ _SALT[2])), np.uint64(len(tokens))], np.uint64)
     return int(mix(mix(total[:1]) + total[1:]).view(np.int64)[0])
@@ -106,30 +128,52 @@ def token_sets(column, n: int) -> Iterator[np.ndarray]:
             yield np.unique(shingles(words[bounds[i] : bounds[i + 1]], n))
 
 
-def _signatures(n: int, p: int, q: int):
+def _signatures(n: int):
     def run(batches):
-        # A row holds hundreds of keys: few rows at a time keep the worker and the Arrow buffers small.
         for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-            sizes, names, keys, bands, needs, ends, sketches = [], [], [], [], [], [0], []
+            sizes, names, sketches = [], [], []
             for tokens in token_sets(batch.column(2), n):
                 sizes.append(len(tokens))
                 names.append(class_id(tokens) if len(tokens) else None)
-                found = block_keys(tokens, p, q)
-                keys += [k for _, _, k in found]
-                bands += [np.full(len(k), band, np.int32) for band, _, k in found]
-                needs += [np.full(len(k), need, np.int32) for _, need, k in found]
-                ends.append(ends[-1] + sum(len(k) for _, _, k in found))
                 sketches.append(bit_sketches([tokens], 1)[0].tobytes() if len(tokens) else b"")
-            none = np.zeros(0, np.int32)
-            flat = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.concatenate([*bands, none])), pa.array(np.concatenate([*needs, none]))],
-                names=["key", "band", "need"],
-            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(sketches, pa.binary())],
-                names=["row", "id", "size", "class", "keys", "sketch"],
-            )
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())],
+                names=["row", "id", "size", "class", "sketch"],
+            )
+
+    return run
+
+
+def _keys(n: int, p: int, q: int):
+    """Rows (class, key, info) of the texts in the first column. A text gives hundreds of keys, so batches are cut by their number."""
+
+    def batched(names, keys, infos):
+        counts = [len(k) for k in keys]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array(names, np.int64), counts)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(infos, np.int64), counts))],
+            names=["class", "key", "info"],
+        )
+
+    def run(batches):
+        seen, names, keys, infos, held = set(), [], [], [], 0
+        for batch in batches:
+            for tokens in token_sets(batch.column(0), n):
+                name = class_id(tokens) if len(tokens) else None
+                if name is None or name in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(name)
+                for band, need, found in block_keys(tokens, p, q):
+                    names.append(name)
+                    keys.append(found)
+                    infos.append(packed(len(tokens), band, need))
+                    held += len(found)
+                if held >= KEYS_HELD:
+                    yield batched(names, keys, infos)
+                    names, keys, infos, held = [], [], [], 0
+        if held:
+            yield batched(names, keys, infos)
 
     return run
 
@@ -256,6 +300,14 @@ def shared_keys(few: DataFrame, p: int, q: int) -> DataFrame:
     )
 
 
+def met_keys(keyed: DataFrame) -> DataFrame:
+    """key, class, size, band and need of the rows (class, key, info) whose key another class holds too, each once. One shuffle by
+    key serves the search for such keys, the choice of their rows and the removal of repeats."""
+    alike = W.partitionBy("key")
+    held = keyed.withColumns({"least": F.min("class").over(alike), "most": F.max("class").over(alike)}).where("least < most")
+    return held.groupBy("key", "class").agg(F.max("info").alias("info")).selectExpr("key", "class", *UNPACKED)
+
+
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
     """One row for each row of docs: row (its number in docs), id, n_shingles, n_links (rows it links to), component_id
     (smallest id reachable by links) and first_row (smallest row number of the component).
@@ -270,12 +322,12 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("similarity must be a fraction p / q, 0 < p <= q")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = write_through(rows.mapInArrow(released(_signatures(n, p, q)), f"row bigint, id {kind}, size bigint, class bigint, keys array<struct<key:bigint,band:int,need:int>>, sketch binary"))
+    signed = write_through(rows.mapInArrow(released(_signatures(n)), f"row bigint, id {kind}, size bigint, class bigint, sketch binary"))
 
-    keyed = signed.where("class IS NOT NULL").select("class", "size", F.inline("keys"))
-    shared = write_through(keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key"))
+    # Keys go from the texts into their shuffle: written with the rows they would take as much room again.
+    keyed = rows.select("text").mapInArrow(released(_keys(n, p, q)), "class bigint, key bigint, info bigint")
+    meeting = write_through(met_keys(keyed))
     drop_shuffles(docs.sparkSession)
-    meeting = write_through(meet(keyed, shared, "key").groupBy("key", "class").agg(*[F.max(c).alias(c) for c in ("size", "band", "need")]))
     own = W.partitionBy("class", "band")  # at most the keys that a set gives in a band
     enough = meeting.withColumns({"met": F.count(F.lit(1)).over(own), "needed": F.max("need").over(own)}).where("met >= needed")
     meeting = write_through(enough.drop("met", "needed"))
