@@ -11,6 +11,7 @@ from tripweave.catalog import QUERIES, forecast
 from tripweave.catalog.forecast import blocks, labelled
 from tripweave.functions.clock import Horizon
 from tripweave.operators import boosting, bundle, features, folds, models, negative_binomial, scoring, search
+from tripweave.operators import binned
 
 
 @pytest.fixture(scope="module")
@@ -344,3 +345,73 @@ def test_slot_features_read_the_events_once_for_weather(spark, own_events, monke
     rows = QUERIES["model_slot_features"](spark, own_events).collect()
     assert {r.target for r in rows} == {"arrivals", "departures"} and len({r.fold for r in rows}) * 2 == len(rows)
     assert len(read) == 1 and all(r.n > 0 and r.pred_sum > 0 for r in rows)
+
+
+def test_search_fits_as_many_trees_as_a_production_run(spark, own_events, monkeypatch):
+    """Every fit of the search is asked for 800 trees; one each is grown here."""
+    asked, real = [], boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda rows, **o: asked.append((o["depth"], o["rounds"])) or real(rows, **{**o, "rounds": 1}))
+    rows = QUERIES["model_search"](spark, own_events).collect()
+    folds_found = {r.fold for r in rows} - {None}
+    assert set(asked) == {(2, 800), (4, 800)} and len(asked) == 2 * 2 * len(folds_found)
+    assert {r.rounds for r in rows} == {800}
+
+
+@pytest.fixture(scope="module")
+def counted(spark):
+    """Assembled rows with weights; one column has more values than bins."""
+    g = random.Random(7)
+    data = []
+    for _ in range(900):
+        a, b, c = g.randint(0, 5), g.random(), float(g.randint(0, 1))
+        data.append((float(a), b, c, -999.0, max(0, int(g.gauss(a * (1 + c) + 4 * b, 1.5))), g.choice([0.25, 1.0, 2.0])))
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, n int, w double").repartition(3).persist()
+    return df, boosting.assemble(df, ["a", "b", "c", "d"], weight="w")
+
+
+def _predicted(model, df):
+    return [r["pred"] for r in model.transform(df).orderBy("a", "b").collect()]
+
+
+def test_columns_cut_once_give_the_trees_of_mllib(counted, monkeypatch, spark, tmp_path):
+    """Bins for all values: the same predictions, in one task, in many pieces, and after saving."""
+    df, rows = counted
+    for options in ({"depth": 3}, {"depth": 4, "least_rows": 25, "step": 0.3}, {"depth": 0}):
+        options |= {"rounds": 6, "bins": 1024}
+        monkeypatch.setattr(boosting, "BINNED_FROM", 50)
+        expected = _predicted(boosting.grow(rows, **options), df)
+        monkeypatch.setattr(boosting, "BINNED_FROM", 1)
+        model = boosting.grow(rows, **options)
+        assert _predicted(model, df) == pytest.approx(expected, rel=1e-9)
+    model = boosting.grow(rows, rounds=6, depth=3)
+    model.stages.write().save(str(tmp_path / "m"))
+    again = boosting.CountTrees(type(model.stages).load(str(tmp_path / "m")), model.intercept)
+    assert _predicted(again, df) == _predicted(model, df)
+
+
+def test_pieces_in_many_tasks_give_the_trees_of_one_task(counted, monkeypatch):
+    df, rows = counted
+    for name, value in (("ADVANCED_EVERY", 2), ("WRITTEN_EVERY", 2)):
+        monkeypatch.setattr(binned, name, value)
+    monkeypatch.setattr(boosting, "BINNED_FROM", 1)
+    for share in (1.0, 0.6):
+        made = []
+        for piece in (8_000_000, 900):
+            monkeypatch.setattr(binned, "PIECE", piece)
+            made.append(_predicted(boosting.grow(rows, rounds=7, depth=3, share=share), df))
+        assert made[0] == pytest.approx(made[1], rel=1e-9)
+    whole, part = (_predicted(boosting.grow(rows, rounds=7, depth=3, share=share), df) for share in (1.0, 0.6))
+    assert whole != pytest.approx(part, rel=1e-3)
+
+
+def test_many_rounds_by_hand(spark):
+    """A split on two values: 120 rounds follow the recursion of their margins."""
+    rows = [(0.0, 1), (0.0, 2), (1.0, 6), (1.0, 9), (1.0, 9)]
+    df = spark.createDataFrame(rows, "x double, n int")
+    model = boosting.fit(df, ["x"], rounds=120, depth=2, step=0.1)
+    mean = sum(n for _, n in rows) / len(rows)
+    mu = {0.0: mean, 1.0: mean}
+    level = {x: sum(n for a, n in rows if a == x) / sum(a == x for a, _ in rows) for x in mu}
+    for _ in range(120):
+        mu = {x: m * math.exp(0.1 * (level[x] - m) / max(m, 0.05 * mean)) for x, m in mu.items()}
+    assert {r["x"]: r["pred"] for r in model.transform(df).collect()} == pytest.approx(mu, rel=1e-7)

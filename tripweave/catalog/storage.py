@@ -248,10 +248,14 @@ def selected_units(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Trees of each fit of the grid search: those of a production run.
+SEARCH_ROUNDS = 800
+
+
 @query("model_search")
 def model_search(spark, sf):
     """Loss of every combination of a small grid over all folds (fold null) and on each, for both targets, with the run's
-    features, rows and weights."""
+    features, rows, weights and number of trees."""
     panel = labelled(spark, sf)
     found, rows, weather = folds.folds(panel, 3, "week_forward"), slot_rows(spark, sf, panel), weather_table(spark, sf)
 
@@ -261,7 +265,7 @@ def model_search(spark, sf):
         def make(depth, rounds):
             return models.feature_fit_predict(lambda: blocks(spark, sf, target, weather), target, rows, shared, depth=depth, rounds=rounds)
 
-        found_losses = models.search(panel, found, make, {"depth": [2, 4], "rounds": [2]}, lambda preds: models.run_loss(preds, 0.3), by_fold=True)
+        found_losses = models.search(panel, found, make, {"depth": [2, 4], "rounds": [SEARCH_ROUNDS]}, lambda preds: models.run_loss(preds, 0.3), by_fold=True)
         return found_losses.withColumn("target", F.lit(target))
 
     parts = side_by_side(spark, [lambda t=target: losses(t) for target in features.TARGETS])
